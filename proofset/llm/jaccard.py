@@ -3,7 +3,7 @@
 1. Each text becomes the sorted array of its distinct shingle hashes (64 bits), its size and a parity bitmap:
    bit h mod m is flipped by every hash h, so the bits in which two bitmaps differ bound the symmetric difference
    of the sets from below, and with the sizes their overlap from above. Equal texts share one set hash.
-2. Two sets that link share one of the smallest hashes of both (the prefix that the threshold leaves), so sets
+2. Two sets that link share one of the smallest hashes of both (see Rule.prefix for how many suffice), so sets
    meet in tiles, one for each prefix hash. A set stays in a tile only if its neighbour in order of size is
    within the size band; tiles then compare bitmaps inside the band. Each tile reports a spanning forest of the
    pairs that its bitmaps cannot exclude, so its output is linear in its members.
@@ -19,6 +19,7 @@ columns are ignored (groups) or kept as they are (deduplication).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,7 +45,12 @@ class Rule:
     den: int = 5
 
     def prefix(self, n: int) -> int:
-        return n + self.num * n // -self.den + 1
+        """How many of its smallest hashes a set of n posts. The exact prefix of the threshold, or fewer: any of
+        the q smallest hashes of a pair's union that both hold is among the q smallest of each, and each is held
+        by both with the pair's similarity, so q hashes miss a link with a chance of (1 - threshold) ** q. That is
+        kept below 1e-16, the order of two hashes of 64 bits being equal by chance."""
+        exact = n + self.num * n // -self.den + 1
+        return min(exact, math.ceil(16 / -math.log10(1 - self.num / self.den)))
 
     def overlap_enough(self, overlap, total):
         """total: sum of both sizes."""
@@ -71,8 +77,8 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
 
 
 def bitmap_words(n: int) -> int:
-    """64-bit words of a set's bitmap: about a bit for each member, 64 to 4096 bits, a power of two."""
-    return min(64, max(1, 1 << (max(0, n - 1).bit_length() - 6 if n > 64 else 0)))
+    """64-bit words of a set's bitmap: about a bit for each member, 64 to 32,768 bits, a power of two."""
+    return min(512, max(1, 1 << (max(0, n - 1).bit_length() - 6 if n > 64 else 0)))
 
 
 def parity_bitmap(hashes: np.ndarray) -> np.ndarray:

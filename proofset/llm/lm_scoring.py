@@ -145,7 +145,7 @@ def _top(c, total, kinds, further) -> np.ndarray:
     return _blend(c, total, kinds, 0.0, 0.0, further)
 
 
-def score_documents(docs: DataFrame, train: str, order: int = 4, block_bytes: int = 10 << 20, model_buckets: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, train: str, order: int = 4, block_bytes: int = 7 << 20, model_buckets: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for docs (doc_id, text, and `train`,
     a boolean column that says whether a text is learned from)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(train), F.lit(True)).alias("train"))

@@ -95,6 +95,8 @@ def near_hits(have: set[str]) -> Column:
             v = F.col(name).cast("double")
             close = (v >= line) & (v < line + slack) if above else (v > line - slack) & (v <= line)
             rules.append(F.when(close & ~F.isnan(v), F.struct(F.lit(name).alias("name"), v.alias("value"))))
+    if not rules:
+        return F.expr("cast(array() as array<struct<name:string,value:double>>)")
     return F.filter(F.array(*rules), lambda x: x.isNotNull())
 
 

@@ -21,7 +21,7 @@ def grade_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graded(spark, sf_dir).select("photo_id", "grade", F.size("reasons").alias("n_reasons"), F.array_join(F.transform("reasons", lambda r: F.substring(r, 1, 4)), ",").alias("why"))
+    return graded(spark, sf_dir).select("photo_id", "grade", F.size("reasons").alias("n_reasons"))
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,8 @@ EVENTS = {
 
 
 def list_photos(spark: SparkSession, folder: str) -> DataFrame:
-    """source, size, mtime_ns of a folder's own photos; contents are never read."""
+    """source, size, mtime_ns of a folder's own photos; contents are never read. Spark's readers pass over files
+    whose names begin with an underscore or a dot."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", "modificationTime", "length")
     name = F.url_decode(F.substring_index("path", "/", -1))
     rows = files.select(name.alias("source"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))

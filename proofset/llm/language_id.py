@@ -182,11 +182,14 @@ def pooled(net: ByteNet, texts: list[bytes], most_rows: int = 4096) -> tuple[np.
     return total / np.maximum(1, np.array([len(t) for t in texts]))[:, None], votes
 
 
-def training_sample(docs: DataFrame, allowed: Column, doc_id: str, text: str, lang: str, per_language: int, sample_chars: int) -> tuple[list[bytes], list[str]]:
-    """Texts and labels for training: the ids are chosen on narrow rows, then only their texts are fetched."""
+def training_sample(docs: DataFrame, allowed: Column, doc_id: str, text: str, lang: str, per_language: int, sample_chars: int, salts: int = 64) -> tuple[list[bytes], list[str]]:
+    """Texts and labels for training: the ids are chosen on narrow rows, then only their texts are fetched. The
+    last choice reads at most salts x per_language rows of a language, however many tasks there are."""
     labelled = docs.filter(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(doc_id), doc_id)
-    ids = labelled.select(doc_id, lang).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language).select(doc_id).distinct()
+    ids = labelled.select(F.col(doc_id), F.col(lang).alias("_lang"), F.xxhash64(doc_id).alias("_hash"))
+    for keys in (["_lang", F.pmod("_hash", F.lit(salts))], ["_lang"]):  # a language may hold most rows: first the best of each part of it, then the best of those
+        ids = ids.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_hash", doc_id))).filter(F.col("_rank") <= per_language).drop("_rank")
+    ids = ids.select(doc_id).distinct()
     rows = labelled.join(F.broadcast(ids), doc_id, "left_semi").groupBy(doc_id, lang).agg(F.min(F.substring(text, 1, sample_chars)).alias("t")).select("t", F.col(lang).alias("l"), F.xxhash64(doc_id).alias("o")).collect()
     rows.sort(key=lambda r: (r.o, r.l, r.t))
     return [r.t.encode() for r in rows], [r.l for r in rows]

@@ -155,7 +155,7 @@ def _gradients(net: ByteNet, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     return [g_wx, g_u, g_wo, g_bo]
 
 
-def pooled(net: ByteNet, texts: list[bytes], most_rows: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def pooled(net: ByteNet, texts: list[bytes], most_rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Per text: mean probability of each language over all positions, and how many positions each language
     labels (it has the largest score there)."""
     langs = len(net.langs)

@@ -14,7 +14,7 @@ other columns are ignored (report) or kept as they are (removal).
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofset.llm.common import block_count, table, text_bytes, utf8
+from proofset.llm.common import block_count, slices, table, text_bytes, utf8
 
 WORD_BYTES = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(0x80, 0x100))
 TO_WORDS = bytes(c if c in WORD_BYTES else 32 for c in bytes(range(256)).lower())
@@ -161,24 +161,28 @@ class SuffixAutomaton:
                     spans.append((start, end))
 
 
-def item_groups(benchmark: DataFrame, item_id: str, text: str, group_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in groups of about group_bytes; the driver holds one group at a time."""
+def item_groups(benchmark: DataFrame, item_id: str, text: str, group_bytes: int) -> Iterator[tuple[bool, list[tuple[str, list[bytes]]]]]:
+    """The items in groups of about group_bytes, each with whether it is the last; the driver holds one at a time."""
     rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = block_count(text_bytes(rows)[1], group_bytes)
     for g in range(n):
         part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == g)
-        yield [(r.id, words_of(r.text.encode())) for r in part.collect()]
+        yield g == n - 1, [(r.id, words_of(r.text.encode())) for r in part.collect()]
 
 
-def _matched(docs: DataFrame, benchmark: DataFrame, text: str, window: int, item_id: str, item_text: str, group_bytes: int) -> DataFrame:
-    """docs plus _spans (flat starts and ends of hit words, merged), _items and _words."""
+def _matched(docs: DataFrame, benchmark: DataFrame, text: str, window: int, item_id: str, item_text: str, group_bytes: int, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
+    """docs plus _spans (flat starts and ends of hit words, merged), _items and _words; or what `finish` makes of
+    these batches (the columns of docs), in the same pass as the last group, so a task has no second worker for it."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    marked = f"{fields}, _spans array<int>, _items array<string>, _words long"
     out, first = docs, True
-    for group in item_groups(benchmark, item_id, item_text, group_bytes):
+    for last, group in item_groups(benchmark, item_id, item_text, group_bytes):
+        end = finish if last else None
         model = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(group, window))
 
-        def scan(batches: Iterator[pa.RecordBatch], model=model, first=first) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], model=model, first=first, end=end) -> Iterator[pa.RecordBatch]:
             automaton = model.value
-            for b in batches:
+            for b in slices(batches, text, 4 << 20):
                 spans, items, counts = [], [], []
                 for i, body in enumerate(utf8(b.column(text))):
                     words = words_of(body)
@@ -191,10 +195,10 @@ def _matched(docs: DataFrame, benchmark: DataFrame, text: str, window: int, item
                     items.append(sorted(named))
                     counts.append(len(words))
                 keep = [n for n in b.schema.names if n not in ("_spans", "_items", "_words")]
-                yield pa.record_batch([*[b.column(n) for n in keep], pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(counts, pa.int64())], names=[*keep, "_spans", "_items", "_words"])
+                found = pa.record_batch([*[b.column(n) for n in keep], pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(counts, pa.int64())], names=[*keep, "_spans", "_items", "_words"])
+                yield end(found) if end else found
 
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        out = out.mapInArrow(scan, f"{fields}, _spans array<int>, _items array<string>, _words long")
+        out = out.mapInArrow(scan, fields if end else marked)
         first = False
     return out
 
@@ -220,32 +224,29 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "tex
     """docs with the hit spans cut out of their texts; a document is dropped when more than most_coverage of
     its words are hit. Same columns; n_chars, where there is one, follows the text."""
     cols = docs.columns
-    found = _matched(docs, benchmark, text, window, item_id, item_text, group_bytes)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            spans = b.column("_spans").to_pylist()
-            words = b.column("_words").to_pylist()
-            share = [sum(s[1::2]) - sum(s[::2]) for s in spans]
-            keep = [i for i in range(b.num_rows) if share[i] <= most_coverage * words[i]]
-            out = b.select(cols)
-            hit = [i for i in keep if share[i]]
-            if hit:
-                body = b.column(text).to_pylist()
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        spans = b.column("_spans").to_pylist()
+        words = b.column("_words").to_pylist()
+        share = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+        keep = [i for i in range(b.num_rows) if share[i] <= most_coverage * words[i]]
+        out = b.select(cols)
+        hit = [i for i in keep if share[i]]
+        if hit:
+            body = b.column(text).to_pylist()
+            for i in hit:
+                body[i] = cut_words(body[i], spans[i])
+            at = cols.index(text)
+            out = out.set_column(at, cols[at], pa.array(body, out.schema.field(at).type))
+            if "n_chars" in cols:
+                at = cols.index("n_chars")
+                n = out.column(at).to_pylist()
                 for i in hit:
-                    body[i] = cut_words(body[i], spans[i])
-                at = cols.index(text)
-                out = out.set_column(at, cols[at], pa.array(body, out.schema.field(at).type))
-                if "n_chars" in cols:
-                    at = cols.index("n_chars")
-                    n = out.column(at).to_pylist()
-                    for i in hit:
-                        n[i] = len(body[i])
-                    out = out.set_column(at, cols[at], pa.array(n, out.schema.field(at).type))
-            yield out if len(keep) == b.num_rows else out.take(pa.array(keep, pa.int64()))
-
-    return found.mapInArrow(cut, fields)
+                    n[i] = len(body[i])
+                out = out.set_column(at, cols[at], pa.array(n, out.schema.field(at).type))
+        return out if len(keep) == b.num_rows else out.take(pa.array(keep, pa.int64()))
+
+    return _matched(docs, benchmark, text, window, item_id, item_text, group_bytes, cut)
 
 
 def cut_words(text: str, spans: list[int]) -> str:

@@ -52,7 +52,7 @@ class WordTokenizer:
         self.cache: dict[bytes, bytes] = {}
 
     @classmethod
-    def of(cls, file: str, most_words: int = 500_000) -> WordTokenizer:
+    def of(cls, file: str, most_words: int = 150_000) -> WordTokenizer:
         """One for each worker process, which keeps its memory of words from task to task."""
         if file not in cls._made:
             cls._made[file] = cls(file, most_words)

@@ -7,9 +7,11 @@ probability is spent twice; after the empty context, all bytes left are alike. E
 which is predicted too.
 
 Nothing global is broadcast, as the trie grows with the corpus. Texts are dealt into blocks of bounded size. A
-block reports its distinct words and (order+1)-byte strings with their training counts; Spark sums them, turns
-each string into the logarithm of its last byte's probability, and sends every block just the entries that its
-own texts need. So a task holds a block and its part of the model, whatever the corpus.
+block reports its distinct words and (order+1)-byte strings with their training counts, dealt by hash into parts,
+one packed row for each part. A part sums its rows over all blocks; its strings go to the bucket of their context,
+which turns each into the logarithm of its last byte's probability. Values come back to the parts and from there
+to the blocks in the order in which both sides list their strings, so that no string is sent again. A task holds a
+block, a part or a bucket, whatever the corpus.
 
 Defined cases: a null text is an empty one (one token, the end); repeated rows are scored each by itself and
 count each in training; a null doc_id is not held out; without training texts every count is 0 and bytes
@@ -20,19 +22,21 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from itertools import repeat
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofset.llm.common import block_count, crc_of_id, table, text_bytes, utf8, written
 
 END = b""  # the end token; words are never empty
-PAIRS_DDL = "block int, word binary, gram long, n long"
-PAIRS = pa.schema([("block", pa.int32()), ("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
+COUNTS_DDL = "block int, part int, words binary, word_n binary, grams binary, gram_n binary"
+SUMS_DDL = "part int, bucket int, grams binary, gram_n binary, vocabulary long, train_tokens long"
 SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, word_sum double, score double"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Grams:
@@ -67,13 +71,13 @@ class Grams:
         self.rank, self.value = rank, value
 
     def counts(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Strings that occur at a predicted byte, and their occurrences in training texts."""
+        """Numbers of the strings that occur at a predicted byte, ascending, and their occurrences in training texts."""
         weight = np.repeat(train, self.sizes)
         used = self.rank[self.inside]
         total = np.bincount(used, minlength=len(self.value))
         trained = np.bincount(used[weight], minlength=len(self.value))
         at = np.flatnonzero(total)
-        return self.value[at], trained[at]
+        return at, trained[at]
 
     def sums(self, value: np.ndarray) -> np.ndarray:
         """Per text, the sum of a value given for each string."""
@@ -85,6 +89,57 @@ def tokens_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def planes(x: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane: the high bytes of small numbers lie together and compress away."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplaned(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def dealt(key: np.ndarray, n: int) -> np.ndarray:
+    """A number below n for each 64-bit key."""
+    return (((key * _MIX) >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+
+
+def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
+    """By the two bytes before the last, which keeps every context of two bytes and more in one place."""
+    return dealt((gram >> np.uint64(8)) & np.uint64(0xFFFF), buckets)
+
+
+def in_parts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order by part, and the parts in it."""
+    order = np.argsort(keys, kind="stable")
+    return order, keys[order]
+
+
+def word_parts(words: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    return in_parts(dealt(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), parts))
+
+
+def gram_parts(gram: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    return in_parts(dealt(gram, parts))
+
+
+class PartSums:
+    """The rows of one part, summed over blocks."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.words: list[list[bytes]] = []
+        self.total: Counter[bytes] = Counter()
+        for names, n in zip(rows.column("words").to_pylist(), rows.column("word_n").to_pylist(), strict=True):
+            own = names.split(b" ") if n else []  # the end token is an empty word
+            self.words.append(own)
+            for w, c in zip(own, unplaned(n).tolist(), strict=True):
+                self.total[w] += c
+        steps = [unplaned(g) for g in rows.column("grams").to_pylist()]
+        flat = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in steps])
+        self.gram, self.at = np.unique(flat, return_inverse=True)
+        self.ends = np.cumsum([len(x) for x in steps])
+        self.n = np.bincount(self.at, np.concatenate([unplaned(n) for n in rows.column("gram_n").to_pylist()]), len(self.gram))
+
+
 def log_probabilities(gram: np.ndarray, n: np.ndarray, order: int, low: np.ndarray) -> np.ndarray:
     """log10 probability of each string's last byte after the bytes before it.
 
@@ -150,12 +205,13 @@ def score_documents(docs: DataFrame, train: str, order: int = 4, block_bytes: in
     a boolean column that says whether a text is learned from)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(train), F.lit(True)).alias("train"))
     blocks = block_count(text_bytes(rows)[1], block_bytes)
+    parts, buckets = max(8, blocks // 2), model_buckets or max(8, blocks)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def count(t: pa.Table) -> pa.Table:
         block = t.column("block")[0].as_py()
-        texts, trained = utf8(t.column("text")), t.column("train").to_numpy(zero_copy_only=False).astype(bool) if t.num_rows else np.zeros(0, bool)
-        words, others = Counter(), set()
+        texts, trained = utf8(t.column("text")), t.column("train").to_numpy().astype(bool)
+        words, others = Counter({END: 0}), set()
         for text, own in zip(texts, trained.tolist(), strict=True):
             found = tokens_of(text)
             if own:
@@ -163,76 +219,104 @@ def score_documents(docs: DataFrame, train: str, order: int = 4, block_bytes: in
                 words[END] += 1
             else:
                 others.update(found)
-        others -= words.keys()
-        names = [*words, *others, *([] if END in words else [END])]
-        gram, n = Grams(texts, order).counts(trained)
-        a, b = len(names), len(gram)
-        return pa.Table.from_arrays([
-            pa.array(np.full(a + b, block, np.int32)),
-            pa.array([*names, *repeat(None, b)], pa.binary()),
-            pa.array(np.concatenate((np.zeros(a, np.int64), gram.astype(np.int64))), mask=np.arange(a + b) < a),
-            pa.array(np.concatenate((np.array([*words.values(), *repeat(0, a - len(words))], np.int64), n.astype(np.int64)))),
-        ], schema=PAIRS)
-
-    pairs = written(rows.groupBy("block").applyInArrow(count, PAIRS_DDL), "lm-counts")
-    word = pairs.filter("word is not null").select("block", "word", "n")
-    gram = pairs.filter("gram is not null").select("block", "gram", "n")
-    counts = word.groupBy("word").agg(F.sum("n").alias("total"))
-    size = counts.filter("total > 0").agg(F.count(F.lit(1)).alias("vocabulary"), F.coalesce(F.sum("total"), F.lit(0)).alias("train_tokens"))
-    word_values = word.select("block", "word").join(counts.hint("shuffle_hash"), "word").select("block", "word", F.lit(None).cast("long").alias("gram"), F.col("total").cast("double").alias("value"))
-    model = byte_model(gram, order, model_buckets or max(8, blocks))
-    gram_values = gram.select("block", "gram").join(model.hint("shuffle_hash"), "gram").select("block", F.lit(None).cast("binary").alias("word"), "gram", "value")
+        names = sorted(others.union(words))
+        word_n = np.fromiter(map(words.__getitem__, names), np.int64, len(names))
+        own = Grams(texts, order)
+        at, n = own.counts(trained)
+        gram = own.value[at]
+        w_order, w_part = word_parts(names, parts)
+        g_order, g_part = gram_parts(gram, parts)
+        out = []
+        for p in np.union1d(w_part, g_part).tolist():
+            w, g = (o[slice(*np.searchsorted(k, (p, p + 1)))] for o, k in ((w_order, w_part), (g_order, g_part)))
+            out.append((block, p, b" ".join([names[i] for i in w.tolist()]), planes(word_n[w]), planes(np.diff(gram[g], prepend=np.uint64(0))), planes(n[g])))
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "part", "words", "word_n", "grams", "gram_n"])
+
+    counts = written(rows.groupBy("block").applyInArrow(count, COUNTS_DDL), "lm-counts")
+
+    def add_up(t: pa.Table) -> pa.Table:
+        part, own = t.column("part")[0].as_py(), PartSums(t)
+        by, bucket = in_parts(bucket_of(own.gram, buckets))
+        out = [(part, -1, b"", b"", sum(c > 0 for c in own.total.values()), own.total.total())]
+        for k in np.unique(bucket).tolist():
+            at = by[slice(*np.searchsorted(bucket, (k, k + 1)))]
+            out.append((part, k, planes(np.diff(own.gram[at], prepend=np.uint64(0))), planes(own.n[at]), None, None))
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "bucket", "grams", "gram_n", "vocabulary", "train_tokens"])
+
+    sums = written(counts.groupBy("part").applyInArrow(add_up, SUMS_DDL), "lm-sums")
+    size = sums.agg(F.coalesce(F.sum("vocabulary"), F.lit(0)).alias("vocabulary"), F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("train_tokens"))
+
+    def price(t: pa.Table, model: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return pa.table({"block": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "totals": pa.array([], pa.binary()), "log10s": pa.array([], pa.binary())})
+        own, value = PartSums(t), np.zeros(0)
+        if model.num_rows:
+            by, _ = in_parts(bucket_of(own.gram, buckets))
+            value = np.empty(len(own.gram))
+            value[by] = np.frombuffer(b"".join(model.sort_by("bucket").column("log10s").to_pylist()))
+        log10s = [value[at].tobytes() for at in np.split(own.at, own.ends[:-1])]
+        totals = [planes(np.fromiter(map(own.total.__getitem__, w), np.int64, len(w))) for w in own.words]
+        return pa.table({"block": t.column("block"), "part": t.column("part"), "totals": pa.array(totals, pa.binary()), "log10s": pa.array(log10s, pa.binary())})
+
+    model = byte_model(sums.filter("bucket >= 0").select("part", "bucket", "grams", "gram_n"), order)
+    priced = counts.groupBy("part").cogroup(model.groupBy("part")).applyInArrow(price, "block int, part int, totals binary, log10s binary")
 
     def score(t: pa.Table, entries: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return pa.Table.from_pylist([], pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("word_sum", pa.float64()), ("score", pa.float64())]))
-        texts = utf8(t.column("text"))
-        is_word = entries.column("word").is_valid()
-        words = entries.filter(is_word)
-        total = words.column("value").to_numpy()
-        logs = dict(zip(utf8(words.column("word")), np.log10(total + 0.5).tolist(), strict=True))
+        texts, trained = utf8(t.column("text")), t.column("train").to_numpy().astype(bool)
+        entries = entries.sort_by("part")
+        tokens = [tokens_of(text) for text in texts]
+        names = sorted({END}.union(*tokens))
+        total = np.empty(len(names))
+        total[word_parts(names, parts)[0]] = np.concatenate([unplaned(x) for x in entries.column("totals").to_pylist()])
+        logs = dict(zip(names, np.log10(total + 0.5).tolist(), strict=True))
         unseen = math.log10(0.5)
-        end = logs[END]
         n_tokens, n_known, sums = [], [], []
-        for text in texts:
-            got = list(map(logs.__getitem__, tokens_of(text)))
-            got.append(end)
+        for found in tokens:
+            got = list(map(logs.__getitem__, found))
+            got.append(logs[END])
             n_tokens.append(len(got))
             n_known.append(len(got) - got.count(unseen))
             sums.append(math.fsum(got))
-        grams = entries.filter(pa.compute.invert(is_word))
-        key, value = grams.column("gram").to_numpy().astype(np.uint64), grams.column("value").to_numpy()
-        by = np.argsort(key)
         own = Grams(texts, order)
-        at = np.minimum(np.searchsorted(key[by], own.value), max(0, len(key) - 1))
-        scores = own.sums(value[by][at])
-        return pa.table({"doc_id": t.column("doc_id"), "held_out": pa.compute.invert(t.column("train")), "n_tokens": n_tokens, "n_known": n_known, "word_sum": sums, "score": scores})
+        at, _ = own.counts(trained)
+        value = np.zeros(len(own.value))
+        value[at[gram_parts(own.value[at], parts)[0]]] = np.frombuffer(b"".join(entries.column("log10s").to_pylist()))
+        return pa.table({"doc_id": t.column("doc_id"), "held_out": pa.compute.invert(t.column("train")), "n_tokens": n_tokens, "n_known": n_known, "word_sum": sums, "score": own.sums(value)})
 
-    needed = word_values.unionByName(gram_values)
-    scored = rows.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(score, SCORES_DDL)
+    scored = rows.groupBy("block").cogroup(priced.groupBy("block")).applyInArrow(score, SCORES_DDL)
     with_size = scored.crossJoin(F.broadcast(size))  # one row
     base = F.col("word_sum") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.5 * (F.col("vocabulary") + 1))
     return with_size.select("doc_id", "held_out", "n_tokens", "n_known", F.col("train_tokens").cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
-def byte_model(gram: DataFrame, order: int, buckets: int) -> DataFrame:
-    """gram, value: for every string of the corpus, log10 of its last byte's probability. Strings are dealt by the
-    two bytes before the last, which keeps every context of two bytes and more in one place; the counts of byte
-    pairs (65,536 at most) are all that goes to every task."""
-    counts = gram.groupBy("gram").agg(F.sum("n").alias("n"))
-    counts = written(counts, "lm-grams")
-    pairs = counts.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).collect()  # 65,536 rows at most
-    low = np.zeros(65536, np.float64)
-    for r in pairs:
+def byte_model(sums: DataFrame, order: int) -> DataFrame:
+    """part, bucket, log10s: for every string of `sums` (part, bucket, grams, gram_n), log10 of its last byte's
+    probability, in the same order. The counts of byte pairs (65,536 at most) are all that goes to every task."""
+
+    def last_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = np.zeros(65536)
+        for b in batches:
+            for g, n in zip(b.column("grams").to_pylist(), b.column("gram_n").to_pylist(), strict=True):
+                last = np.cumsum(unplaned(g), dtype=np.uint64) & np.uint64(0xFFFF)
+                low += np.bincount(last.astype(np.int64), unplaned(n), 65536)
+        at = np.flatnonzero(low)
+        yield pa.record_batch({"pair": at, "n": low[at]})
+
+    low = np.zeros(65536)
+    for r in sums.select("grams", "gram_n").mapInArrow(last_pairs, "pair long, n double").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
         low[r.pair] = r.n
-    shared = gram.sparkSession.sparkContext.broadcast(low.reshape(256, 256))
-    dealt = counts.withColumn("bucket", F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(buckets)).cast("int"))
+    shared = sums.sparkSession.sparkContext.broadcast(low.reshape(256, 256))
 
     def values(t: pa.Table) -> pa.Table:
-        g, n = t.column("gram").to_numpy().astype(np.uint64), t.column("n").to_numpy()
-        return pa.table({"gram": g.astype(np.int64), "value": log_probabilities(g, n, order, shared.value)})
+        grams = [np.cumsum(unplaned(g), dtype=np.uint64) for g in t.column("grams").to_pylist()]
+        n = np.concatenate([unplaned(x) for x in t.column("gram_n").to_pylist()]).astype(np.int64)
+        value = log_probabilities(np.concatenate(grams), n, order, shared.value)
+        pieces = np.split(value, np.cumsum([len(g) for g in grams])[:-1])
+        return pa.table({"part": t.column("part"), "bucket": t.column("bucket"), "log10s": pa.array([v.tobytes() for v in pieces], pa.binary())})
 
-    return dealt.groupBy("bucket").applyInArrow(values, "gram long, value double")
+    return sums.groupBy("bucket").applyInArrow(values, "part int, bucket int, log10s binary")
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -61,8 +61,7 @@ class Grams:
             there = np.zeros(len(value) * len(seen), bool)
             there[key] = True
             at = np.flatnonzero(there)
-            number = np.cumsum(there, dtype=np.int32)
-            rank = number[key] - 1
+            rank = _places(there, key)
             value = (value[at // len(seen)] << np.uint64(8)) | seen[at % len(seen)].astype(np.uint64)
         inside = np.zeros(n + 1, np.int8)
         np.add.at(inside, self.first, 1)
@@ -85,6 +84,20 @@ class Grams:
         return np.add.reduceat(per, np.cumsum(self.sizes) - self.sizes) if len(self.sizes) else np.zeros(0)
 
 
+def _places(there: np.ndarray, key: np.ndarray, chunk: int = 1 << 18) -> np.ndarray:
+    """How many marks of `there` lie before each key, from a bitmap with running counts, which stays in caches."""
+    bits = np.packbits(there, bitorder="little")
+    bits = np.concatenate([bits, np.zeros(-len(bits) % 8, np.uint8)]).view("<u8")
+    before = np.cumsum(np.bitwise_count(bits), dtype=np.int32) - np.bitwise_count(bits)
+    out = np.empty(len(key), np.int32)
+    for i in range(0, len(key), chunk):
+        k = key[i : i + chunk]
+        word = k >> 6
+        low = (np.uint64(1) << (k & 63).astype(np.uint64)) - np.uint64(1)
+        out[i : i + chunk] = before[word] + np.bitwise_count(bits[word] & low)
+    return out
+
+
 def tokens_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
@@ -200,7 +213,7 @@ def _top(c, total, kinds, further) -> np.ndarray:
     return _blend(c, total, kinds, 0.0, 0.0, further)
 
 
-def score_documents(docs: DataFrame, train: str, order: int = 4, block_bytes: int = 7 << 20, model_buckets: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, train: str, order: int = 5, block_bytes: int = 7 << 20, model_buckets: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for docs (doc_id, text, and `train`,
     a boolean column that says whether a text is learned from)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(train), F.lit(True)).alias("train"))

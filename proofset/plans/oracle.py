@@ -73,6 +73,11 @@ ORACLE_SQL: dict[str, str] = {
         WITH {_VECS}, w AS (SELECT set_id, ga, min(sim) AS sim FROM p WHERE ga = gb GROUP BY ALL), x AS (SELECT set_id, least(ga, gb) AS a, greatest(ga, gb) AS b, avg(sim) AS sim FROM p WHERE ga <> gb GROUP BY ALL),
         a AS (SELECT set_id, min(sim) AS weakest, median(sim) AS weakest_median FROM w GROUP BY set_id), c AS (SELECT set_id, max(sim) AS closest, median(sim) AS closest_median, count(*) AS n_pairs FROM x GROUP BY set_id)
         SELECT a.set_id, round(weakest, 6) AS weakest, round(weakest_median, 6) AS weakest_median, round(closest, 6) AS closest, round(closest_median, 6) AS closest_median, round(weakest - closest, 6) AS gap, n_pairs FROM a JOIN c ON a.set_id = c.set_id""",
+    "picks": f"""
+        WITH {_VECS}, r AS (SELECT *, photo_id % 5 > 0 AS known FROM v),
+        o AS (SELECT *, CASE WHEN NOT known OR photo_id % 2 > 0 THEN 0 WHEN photo_id % 3 > 0 THEN 1 ELSE 2 END AS own, CASE WHEN known THEN (photo_id % 11) / 10.0e0 ELSE 0 END AS sharp, CASE WHEN known THEN abs(0.9e0 + (photo_id % 7) / 20.0e0 - 1) ELSE 0 END AS off FROM r)
+        SELECT set_id, photo_id, group_no, row_number() OVER (PARTITION BY set_id, group_no ORDER BY idx) || '/' || count(*) OVER (PARTITION BY set_id, group_no) AS frame_of, CASE WHEN known THEN 'src' || photo_id ELSE '' END AS source,
+            row_number() OVER (PARTITION BY set_id, group_no ORDER BY own, sharp DESC, off, idx) = 1 AS pick FROM o""",
     "event_counts": f"WITH {_EVENTS} SELECT set_id, count(*) AS done, count(*) FILTER (grade = 'PASS') AS n_pass, count(*) FILTER (grade = 'REVIEW') AS n_review, count(*) FILTER (grade = 'FAIL') AS n_fail, count(*) FILTER (grade = 'SKIPPED') AS n_skipped FROM e GROUP BY set_id",
     "latest_events": f"WITH {_EVENTS} SELECT set_id, source, max(event_id) AS event_id, arg_max(grade, event_id) AS grade FROM e GROUP BY ALL",
     "event_progress": f"WITH {_EVENTS}, r AS (SELECT set_id, event_id, row_number() OVER (PARTITION BY set_id ORDER BY event_id, source) AS done, count(*) OVER (PARTITION BY set_id) AS total FROM e) SELECT set_id, event_id, done, total, CAST(round(done * 100.0e0 / total) AS INTEGER) AS percent FROM r",

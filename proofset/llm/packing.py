@@ -1,8 +1,11 @@
 """Lexical retrieval packing: a sharded BM25 inverted index fills each window with its seed's neighbours.
 
-Documents are tokenised once and written with their shard; document frequencies, document count and mean
-length are taken over all of them and only then broadcast (one number per vocabulary entry). A shard is a
-bounded number of tokens, dealt by a hash of id and text; one task indexes a shard and packs it: an open window
+Documents are tokenised once and written; document frequencies, document count and mean length are taken over
+all of them and only then broadcast (one number per vocabulary entry). A shard is a bounded number of tokens,
+dealt by content: a tree of splits in two, grown on a bounded sample of the documents' BM25 directions, has cells
+of neighbours, whose true sizes over all documents are then counted; neighbouring small cells share a shard, and
+a cell that the sample could not split is dealt over several by a hash. Neighbours beyond a shard are not found
+(the README says how many are within). One task indexes a shard and packs it: an open window
 takes its seed (the rest of the document that the last window cut), then the seed's best unused neighbours, in
 order of BM25; when it has no more, the next unused document in order of ids. Windows are filled to the last
 token. What is left at the end of a shard is cut into sequences whose lengths are powers of two, so nothing is
@@ -15,10 +18,12 @@ table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -134,10 +139,9 @@ class WordTokenizer:
         return out
 
 
-def tokenised(docs: DataFrame, tokenizer_file: str, end_id: int, shards: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, shard, ids (binary, little-endian; 16-bit where the vocabulary allows it). Ends with end_id."""
+def tokenised(docs: DataFrame, tokenizer_file: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ids (binary, little-endian; 16-bit where the vocabulary allows it). Ends with end_id."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = WordTokenizer.of(tokenizer_file)
@@ -145,9 +149,9 @@ def tokenised(docs: DataFrame, tokenizer_file: str, end_id: int, shards: int, do
         tail = np.array([end_id], "<u4").tobytes()
         for b in slices(batches, "text", 2 << 20):
             ids = [np.frombuffer(x + tail, "<u4").astype(kind).tobytes() for x in tok.encode(utf8(b.column("text")))]
-            yield pa.record_batch([b.column("doc_id"), b.column("shard"), pa.array(ids, pa.binary())], names=["doc_id", "shard", "ids"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return rows.mapInArrow(encode, "doc_id long, shard int, ids binary")
+    return rows.mapInArrow(encode, "doc_id long, ids binary")
 
 
 def _id_type(tok: WordTokenizer) -> str:
@@ -183,10 +187,144 @@ def corpus_statistics(tokens: DataFrame, width: int, vocab: int) -> tuple[np.nda
     return df, found.get(-1, 0), found.get(-2, 0)
 
 
+DIMENSIONS = 64
+
+
+@lru_cache(maxsize=2)
+def directions(vocab: int) -> np.ndarray:
+    """A fixed random direction for each vocabulary entry; every worker makes the same ones for itself."""
+    return np.random.default_rng(11).normal(0, 1, (vocab, DIMENSIONS)).astype(np.float32)
+
+
+def content_vector(ids: np.ndarray, idf: np.ndarray, mean_length: float) -> np.ndarray:
+    """A document's BM25 weights as one direction (of length 1, or 0): documents that share strong terms are near."""
+    terms, tf = np.unique(ids, return_counts=True)
+    v = bm25(idf[terms], tf.astype(np.float32), np.float32(len(ids)), mean_length) @ directions(len(idf))[terms]
+    return v / max(1e-9, float(np.linalg.norm(v)))
+
+
+class Cells:
+    """A tree of splits in two by content. Cells are numbered from left to right, so that near numbers are near in
+    the tree. Grown on a sample until a cell's share of the text is within `most`, or its documents are all alike."""
+
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, most: float, rounds: int = 8) -> None:
+        self.splits: list[np.ndarray] = []  # the two centres of each split
+        self.below: list[list[int]] = []  # for each of the two sides, a later split or -1 - cell
+        self.cells, todo = 0, [(np.arange(len(vectors)), -1, 0)]
+        while todo:
+            own, parent, side = todo.pop()
+            halves = None
+            if sizes[own].sum() > most and len(own) > 1:
+                halves = self._halves(vectors[own], sizes[own], rounds)
+            if halves is None:
+                here, self.cells = -1 - self.cells, self.cells + 1
+            else:
+                here = len(self.splits)
+                self.splits.append(halves[0])
+                self.below.append([0, 0])
+                todo += [(own[halves[1]], here, 1), (own[~halves[1]], here, 0)]
+            if parent >= 0:
+                self.below[parent][side] = here
+
+    @staticmethod
+    def _halves(x: np.ndarray, sizes: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Centres and the side of each row (spherical 2-means, begun at a far pair); None if nothing splits."""
+        a = x[np.argmin(x @ x.mean(0))]
+        centres = np.stack([a, x[np.argmin(x @ a)]])
+        for _ in range(rounds):
+            right = x @ (centres[1] - centres[0]) > 0
+            if right.all() or not right.any():
+                return None
+            centres = np.stack([x[~right].mean(0), x[right].mean(0)])
+            centres /= np.maximum(1e-9, np.linalg.norm(centres, axis=1, keepdims=True))
+        right = x @ (centres[1] - centres[0]) > 0
+        return None if right.all() or not right.any() else (centres, right)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each row."""
+        out = np.zeros(len(x), np.int64)
+        todo = [(np.arange(len(x)), 0)] if self.splits else []
+        while todo:
+            own, node = todo.pop()
+            right = x[own] @ (self.splits[node][1] - self.splits[node][0]) > 0
+            for rows, child in ((own[~right], self.below[node][0]), (own[right], self.below[node][1])):
+                if child < 0:
+                    out[rows] = -1 - child
+                elif len(rows):
+                    todo.append((rows, child))
+        return out
+
+
+def shards_of_cells(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shard, and number of shards, of each cell: neighbouring cells share one up to `most`; a cell beyond it
+    (documents that the sample could not tell apart) is dealt over several by a hash."""
+    first, parts, shard, held = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
+    for c, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            shard, held = shard + 1, 0
+        first[c], parts[c] = shard, block_count(n, most)
+        held += n
+        if parts[c] > 1:
+            shard, held = shard + int(parts[c]), 0
+    return first, parts
+
+
+def dealt(tokens: DataFrame, kind: str, idf, mean_length: float, n_docs: int, n_tokens: int, most: int, sample_docs: int = 20_000) -> DataFrame:
+    """tokens with their shard, of `most` tokens at most (a longer document, or repeated rows, may exceed it). Only
+    the vectors of a bounded sample and one size for each cell come to the driver."""
+    spark = tokens.sparkSession
+    mark = F.xxhash64("doc_id", "ids")
+
+    def vectors(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.frombuffer(x, kind) for x in b.column("ids").to_pylist()]
+        return np.stack([content_vector(x, idf.value, mean_length) for x in ids]), np.array([len(x) for x in ids], np.int64)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "ids", 2 << 20):
+            x, sizes = vectors(b)
+            yield pa.record_batch([b.column("mark"), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(sizes)], names=["mark", "v", "n"])
+
+    sample = []
+    if n_tokens > most:
+        span = 1 << 30
+        chosen = tokens.select("ids", mark.alias("mark")).filter(F.pmod("mark", F.lit(span)) < math.ceil(span * min(1.0, sample_docs / n_docs)))
+        sample = chosen.mapInArrow(sampled, "mark long, v binary, n long").groupBy("mark").agg(F.min("v").alias("v"), F.sum("n").alias("n")).orderBy("mark").collect()
+    x = np.array([np.frombuffer(r.v, np.float32) for r in sample], np.float32).reshape(-1, DIMENSIONS)
+    sizes = np.array([r.n for r in sample], np.float64)
+    tree = Cells(x, sizes * (n_tokens / max(1.0, sizes.sum())), most)
+    cells = spark.sparkContext.broadcast(tree)  # two centres for each cell
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells.value.cells, np.int64)
+        for b in slices(batches, "ids", 2 << 20):
+            x, sizes = vectors(b)
+            np.add.at(total, cells.value.of(x), sizes)
+        yield pa.record_batch([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["cell", "n"])
+
+    found = np.array([n_tokens], np.int64)
+    if tree.cells > 1:
+        found = np.zeros(tree.cells, np.int64)
+        for r in tokens.select("ids").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            found[r.cell] = r.n
+    first, parts = shards_of_cells(found, most)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "ids", 2 << 20):
+            cell = cells.value.of(vectors(b)[0]) if cells.value.cells > 1 else np.zeros(b.num_rows, np.int64)
+            shard = first[cell] + b.column("mark").to_numpy() % parts[cell]
+            yield pa.record_batch([b.column("doc_id"), pa.array(shard.astype(np.int32)), b.column("ids")], names=["doc_id", "shard", "ids"])
+
+    return tokens.select("doc_id", "ids", mark.alias("mark")).mapInArrow(deal, "doc_id long, shard int, ids binary")
+
+
+def bm25(idf: np.ndarray, tf: np.ndarray, length: np.ndarray, mean_length: float, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
+    return (idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / max(1.0, mean_length)))).astype(np.float32)
+
+
 class ShardIndex:
     """BM25 postings of a shard's documents, in numpy: for each term, documents and their weights."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int, k1: float = 1.2, b: float = 0.75) -> None:
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int) -> None:
         n, lengths = len(docs), np.array([len(d) for d in docs], np.int64)
         wide = np.uint32 if n <= 1 << 16 and len(idf) <= 1 << 16 else np.uint64
         shift = wide(16 if wide is np.uint32 else 32)
@@ -197,7 +335,7 @@ class ShardIndex:
         tf = np.diff(np.append(first, len(key))).astype(np.float32)
         key = key[first]
         term, doc = (key >> shift).astype(np.int64), (key & ((wide(1) << shift) - wide(1))).astype(np.int32)
-        weight = (idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / max(1.0, mean_length)))).astype(np.float32)
+        weight = bm25(idf[term], tf, lengths[doc], mean_length)
         self.starts = np.searchsorted(term, np.arange(len(idf) + 1))
         self.doc, self.weight = doc, weight
         order = np.lexsort((-weight, doc))
@@ -272,13 +410,16 @@ def pack_shard(docs: list[np.ndarray], index: ShardIndex, window: int, most_neig
 def pack(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = 4096, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 10 << 20, query_terms: int = 12, with_ids: bool = False) -> DataFrame:
     """The pieces (PIECES_DDL; with_ids adds the token ids of each). shard_bytes: text in a shard, about."""
     spark = docs.sparkSession
-    shards = block_count(text_bytes(docs, text)[1], shard_bytes)
-    tokens = written(tokenised(docs, tokenizer_file, end_id, shards, doc_id, text), "tokens")
+    tokens = written(tokenised(docs, tokenizer_file, end_id, doc_id, text), "tokens")
     tok = WordTokenizer.of(tokenizer_file)
     kind, vocab = _id_type(tok), tok.tok.get_vocab_size()
     df, n_docs, n_tokens = corpus_statistics(tokens, int(kind[2]), vocab)
-    idf = spark.sparkContext.broadcast(np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32))  # one float per vocabulary entry
+    weights = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
+    weights[end_id] = 0  # every document has the end token: it makes no neighbours
+    idf = spark.sparkContext.broadcast(weights)  # one float per vocabulary entry
     mean_length = n_tokens / max(1, n_docs)
+    shards = block_count(text_bytes(docs, text)[1], shard_bytes)
+    most = max(1, n_tokens if shards == 1 else math.ceil(1.5 * n_tokens / shards))  # cells fill shards by about two thirds
 
     def packed(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
@@ -296,7 +437,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = 4096,
             out = out.append_column("ids", pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(h) for h in held]))).astype(np.int32)), flat))
         return out
 
-    return tokens.groupBy("shard").applyInArrow(packed, PIECES_DDL + (", ids array<int>" if with_ids else ""))
+    return dealt(tokens, kind, idf, mean_length, n_docs, n_tokens, most).groupBy("shard").applyInArrow(packed, PIECES_DDL + (", ids array<int>" if with_ids else ""))
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:

@@ -228,6 +228,22 @@ def test_packing_keeps_every_token_once(docs, empty):
     assert packing.pack(empty, file, 2).collect() == []
 
 
+def test_packing_shards_hold_neighbours(spark):
+    rng = np.random.default_rng(4)
+    alphabet = "abcdefghijklmnopqrstuvwx"
+    topics = [["".join(rng.choice(list(alphabet[3 * t : 3 * t + 6]), 7)) for _ in range(60)] for t in range(6)]
+    rows = [(40 * t + i, " ".join(rng.choice(topics[t], 50))) for t in range(6) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    size = sum(len(t) for _, t in rows) // 6
+    shard = {p.doc_id: p.sequence_id >> 32 for p in packing.pack(frame, public_tokenizers.path("word_bpe_49k.json"), 2, window=256, shard_bytes=size).collect()}
+    assert len(shard) == len(rows) and len(set(shard.values())) >= 4
+    same = [shard[40 * t + i] == shard[40 * t + j] for t in range(6) for i in range(40) for j in range(i)]
+    assert np.mean(same) > 0.8  # by a hash: about 1/6
+    copies = spark.createDataFrame([(i, rows[0][1]) for i in range(200)], "doc_id long, text string")
+    got = packing.pack(copies, public_tokenizers.path("word_bpe_49k.json"), 2, window=256, shard_bytes=20 * len(rows[0][1])).groupBy(F.expr("sequence_id >> 32")).count().collect()
+    assert len(got) > 4 and max(r["count"] for r in got) < 100  # alike, so cut by size
+
+
 def test_ppm_equals_brute_force(docs, empty):
     order = 3
     train = (F.col("doc_id") % 3 != 1) | F.col("doc_id").isNull()

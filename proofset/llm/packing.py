@@ -7,7 +7,8 @@ of neighbours, whose true sizes over all documents are then counted; neighbourin
 a cell that the sample could not split is dealt over several by a hash. Neighbours beyond a shard are not found
 (the README says how many are within). One task indexes a shard and packs it: an open window
 takes its seed (the rest of the document that the last window cut), then the seed's best unused neighbours, in
-order of BM25; when it has no more, the next unused document in order of ids. Windows are filled to the last
+order of BM25 over all its terms; when none shares a term with it any more, the next unused document in order of
+ids and then that one's neighbours. Windows are filled to the last
 token. What is left at the end of a shard is cut into sequences whose lengths are powers of two, so nothing is
 padded at all.
 
@@ -324,7 +325,7 @@ def bm25(idf: np.ndarray, tf: np.ndarray, length: np.ndarray, mean_length: float
 class ShardIndex:
     """BM25 postings of a shard's documents, in numpy: for each term, documents and their weights."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int) -> None:
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float) -> None:
         n, lengths = len(docs), np.array([len(d) for d in docs], np.int64)
         wide = np.uint32 if n <= 1 << 16 and len(idf) <= 1 << 16 else np.uint64
         shift = wide(16 if wide is np.uint32 else 32)
@@ -336,51 +337,61 @@ class ShardIndex:
         key = key[first]
         term, doc = (key >> shift).astype(np.int64), (key & ((wide(1) << shift) - wide(1))).astype(np.int32)
         weight = bm25(idf[term], tf, lengths[doc], mean_length)
+        term, doc, weight = term[weight > 0], doc[weight > 0], weight[weight > 0]
         self.starts = np.searchsorted(term, np.arange(len(idf) + 1))
-        self.doc, self.weight = doc, weight
-        order = np.lexsort((-weight, doc))
-        owner = doc[order]
-        at = np.searchsorted(owner, np.arange(n + 1))
-        place = np.arange(len(order)) - at[owner]
-        top = order[place < query_terms]
-        self.query_at = np.searchsorted(doc[top], np.arange(n + 1))
-        self.query = term[top]
-        self.scores = np.zeros(n, np.float32)
-
-    def neighbours(self, seed: int, unused: np.ndarray, most: int) -> list[int]:
-        """The best unused documents for a seed's strongest terms, best first, ties to the earlier one."""
-        s = self.scores
-        s[:] = 0
-        for t in self.query[self.query_at[seed] : self.query_at[seed + 1]].tolist():
-            a, b = self.starts[t], self.starts[t + 1]
-            s[self.doc[a:b]] += self.weight[a:b]
-        s *= unused
-        if most < len(s):
-            best = np.argpartition(-s, most)[:most]
-            best = best[np.lexsort((best, -s[best]))]
+        self.doc, self.weight, self.n = doc, weight, n
+        order = np.argsort(doc, kind="stable")
+        self.query_at, self.query = np.searchsorted(doc[order], np.arange(n + 1)), term[order]
+        common = np.flatnonzero(np.diff(self.starts) * 4 > n)  # terms of many documents: their weights as whole rows
+        self.row = np.full(len(idf), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), n), np.float32)
+        for r, t in zip(self.rows, common.tolist(), strict=True):
+            r[doc[self.starts[t] : self.starts[t + 1]]] = weight[self.starts[t] : self.starts[t + 1]]
+
+    def neighbours(self, seed: int, unused: np.ndarray, least: int = 32) -> Iterator[int]:
+        """All unused documents that share a term with the seed, by BM25 over all its terms, best first, ties to
+        the earlier one. They are put in order as far as they are asked for."""
+        terms = self.query[self.query_at[seed] : self.query_at[seed + 1]]
+        common = self.row[terms] >= 0
+        spans = list(zip(self.starts[terms[~common]].tolist(), self.starts[terms[~common] + 1].tolist(), strict=True))
+        docs = np.concatenate([self.doc[a:b] for a, b in spans] or [self.doc[:0]])
+        weights = np.concatenate([self.weight[a:b] for a, b in spans] or [self.weight[:0]])
+        if not common.any() and len(docs) * 8 < self.n:
+            near, docs = np.unique(docs, return_inverse=True)
+            s = np.bincount(docs, weights, len(near)).astype(np.float32)
         else:
-            best = np.argsort(-s, kind="stable")
-        return best[s[best] > 0].tolist()
-
-
-def pack_shard(docs: list[np.ndarray], index: ShardIndex, window: int, most_neighbours: int = 32) -> Iterator[tuple[int, int, int, int, int]]:
+            s = np.bincount(docs, weights, self.n).astype(np.float32)
+            for r in self.row[terms[common]].tolist():
+                s += self.rows[r]
+            near = np.flatnonzero(s)
+            s = s[near]
+        near, s = near[unused[near]], s[unused[near]]
+        while len(near):
+            best = s >= np.partition(s, len(s) - least)[len(s) - least] if least < len(s) else np.ones(len(s), bool)
+            yield from near[best][np.argsort(-s[best], kind="stable")].tolist()
+            near, s, least = near[~best], s[~best], 4 * least
+
+
+def pack_shard(docs: list[np.ndarray], index: ShardIndex, window: int) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset); sequences count from 0."""
-    unused = np.ones(len(docs), np.float32)
+    unused = np.ones(len(docs), bool)
     left, order, sequence, used = len(docs), 0, 0, 0
     open_pieces: list[tuple[int, int, int]] = []
-    queue: list[int] = []
+    queue: Iterator[int] = iter(())
     rest: tuple[int, int] | None = None
     while left or rest:
+        asks = used == 0
         if rest is None:
-            doc = next((d for d in queue if unused[d]), -1)
-            if doc < 0:
+            doc = next(queue, -1)
+            if doc < 0:  # no neighbour is left: the next document brings its own
+                asks = True
                 while not unused[order]:
                     order += 1
                 doc = order
-            unused[doc], left, start = 0, left - 1, 0
+            unused[doc], left, start = False, left - 1, 0
         else:
             (doc, start), rest = rest, None
-        seed = used == 0
         n = min(len(docs[doc]) - start, window - used)
         open_pieces.append((doc, start, n))
         used += n
@@ -391,9 +402,9 @@ def pack_shard(docs: list[np.ndarray], index: ShardIndex, window: int, most_neig
             for d, s, m in open_pieces:
                 yield d, s, m, sequence, offset
                 offset += m
-            sequence, used, open_pieces, queue = sequence + 1, 0, [], []
-        elif seed:
-            queue = index.neighbours(doc, unused, most_neighbours) if left else []
+            sequence, used, open_pieces, queue = sequence + 1, 0, [], iter(())
+        elif asks and left:
+            queue = index.neighbours(doc, unused)
     while used:  # the last, partly filled window: sequences of 2**k tokens need no padding
         size = room = 1 << (used.bit_length() - 1)
         while room:
@@ -407,7 +418,7 @@ def pack_shard(docs: list[np.ndarray], index: ShardIndex, window: int, most_neig
         used, sequence = used - size, sequence + 1
 
 
-def pack(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = 4096, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 10 << 20, query_terms: int = 12, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = 4096, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 10 << 20, with_ids: bool = False) -> DataFrame:
     """The pieces (PIECES_DDL; with_ids adds the token ids of each). shard_bytes: text in a shard, about."""
     spark = docs.sparkSession
     tokens = written(tokenised(docs, tokenizer_file, end_id, doc_id, text), "tokens")
@@ -426,7 +437,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, window: int = 4096,
         shard, names = group.column("shard")[0].as_py(), group.column("doc_id").to_pylist()
         ids = [np.frombuffer(x, kind) for x in group.column("ids").to_pylist()]
         rows, held = [], []
-        for d, start, n, sequence, offset in pack_shard(ids, ShardIndex(ids, idf.value, mean_length, query_terms), window):
+        for d, start, n, sequence, offset in pack_shard(ids, ShardIndex(ids, idf.value, mean_length), window):
             piece = ids[d][start : start + n].astype("<u4")
             rows.append((names[d], start, n, zlib.crc32(piece), len(ids[d]), (shard << 32) + sequence, offset))
             if with_ids:

@@ -244,6 +244,26 @@ def test_packing_shards_hold_neighbours(spark):
     assert len(got) > 4 and max(r["count"] for r in got) < 100  # alike, so cut by size
 
 
+def test_packing_uses_all_neighbours_and_terms(spark):
+    words = [["stone", "water", "bridge", "river"], ["music", "paper", "winter", "garden"]]
+    rng = np.random.default_rng(6)
+    frame = spark.createDataFrame([(i, " ".join(rng.permutation(words[i % 2]))) for i in range(200)], "doc_id long, text string")
+    topics = defaultdict(set)
+    for p in packing.pack(frame, public_tokenizers.path("word_bpe_49k.json"), 2, window=256).collect():
+        topics[p.sequence_id].add(p.doc_id % 2)
+    assert len(topics) >= 4 and sum(len(v) == 2 for v in topics.values()) <= 1  # only where one topic ends
+    docs = [rng.integers(0, 200, rng.integers(1, 90)).astype("<u2") for _ in range(120)]
+    docs += docs[:3]
+    idf = np.linspace(0.1, 3, 200).astype(np.float32)
+    idf[7] = 0
+    index, mean, unused = packing.ShardIndex(docs, idf, 40.0), 40.0, rng.random(123) < 0.8
+    for seed in range(123):
+        scores = {d: sum(float(idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / mean))) for t, tf in Counter(x.tolist()).items() if t in docs[seed]) for d, x in enumerate(docs) if unused[d]}
+        got = list(index.neighbours(seed, unused, 5))
+        assert set(got) == {d for d, v in scores.items() if v > 0} and len(got) == len(set(got))
+        assert all(scores[a] > scores[b] - 1e-4 for a, b in zip(got, got[1:])) and all(got.index(d) < got.index(d + 120) for d in range(3) if {d, d + 120} <= set(got))
+
+
 def test_ppm_equals_brute_force(docs, empty):
     order = 3
     train = (F.col("doc_id") % 3 != 1) | F.col("doc_id").isNull()

@@ -15,10 +15,14 @@ from proofset.llm.packing import pack
 from proofset.llm.secrets import redact_live
 
 
+LEAST_SCORE = 0.5  # of a document's pooled probability, for its best language
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go; the network is fitted on this input."""
+    """Documents without a language go: no text, no letter in it, or no language to which the network gives at least
+    half of the probability over all positions. The network is fitted on this input."""
     held = F.coalesce(F.pmod(crc_of_id(F.col("doc_id")), F.lit(3)) == 1, F.lit(False))
-    return identify(docs, fit(docs, ~held)).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return identify(docs, fit(docs, ~held)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,6 +76,26 @@ def test_language_is_learned(spark, docs, empty):
     assert language_id.identify(empty, None).collect() == [] and language_id.fit(empty, F.lit(True)) is None
 
 
+def corpus(spark, folder, labelled=True):
+    """Two clear documents in each of three invented languages, more to learn from, and odd ones from id 100 on."""
+    rng = np.random.default_rng(8)
+    make = lambda chars, words: " ".join("".join(rng.choice(list(chars), 5)) for _ in range(words))
+    kinds = {"l": "abcde", "m": "klmno", "r": "vwxyz"}
+    rows = [(i, make(kinds["lmr"[i % 3]], 40), "lmr"[i % 3]) for i in range(90)]
+    rows += [(100, " ".join(make(c, 40) for c in kinds.values()), None), (101, None, "l"), (102, "", "m"), (103, "12 34 !?", "r")]
+    frame = spark.createDataFrame([(i, t, lang if labelled else None, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(0, "nothing of this is in any of the documents that the corpus holds at all")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return f"{folder}"
+
+
+def test_pipeline_rejects_by_the_network(spark, tmp_path):
+    import corpus_pipeline
+
+    kept = {r.doc_id for r in corpus_pipeline.run(spark, corpus(spark, tmp_path)).select("doc_id").collect()}
+    assert kept == set(range(90))  # 100 has letters, but a third of it is in each language
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(1)
     net = language_id.train([b"abcabcab" * 6, b"xyzxyzxy" * 6], ["a", "b"], hidden=3, segment=8, epochs=1)

@@ -7,10 +7,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofset.llm.common import crc_of_id, table, written
+from proofset.llm.common import table, written
 from proofset.llm.decontaminate import remove_contamination
 from proofset.llm.jaccard import Rule, keep_one
-from proofset.llm.language_id import UNKNOWN, fit, identify
+from proofset.llm.language_id import UNKNOWN, fit, has_letter, identify
 from proofset.llm.packing import pack
 from proofset.llm.secrets import redact_live
 
@@ -20,9 +20,12 @@ LEAST_SCORE = 0.5  # of a document's pooled probability, for its best language
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: no text, no letter in it, or no language to which the network gives at least
-    half of the probability over all positions. The network is fitted on this input."""
-    held = F.coalesce(F.pmod(crc_of_id(F.col("doc_id")), F.lit(3)) == 1, F.lit(False))
-    return identify(docs, fit(docs, ~held)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    half of the probability over all positions. The network is fitted on all labelled texts of this input; without
+    any there is none, and all texts with a letter stay."""
+    net = fit(docs, F.lit(True))
+    if net is None:
+        return docs.filter(has_letter(F.col("text")))
+    return identify(docs, net).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

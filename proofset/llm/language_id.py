@@ -221,9 +221,14 @@ def labelled_batches(net: ByteNet | None, text: str, most_bytes: int = 2 << 20):
     return predict
 
 
+def has_letter(text: Column) -> Column:
+    """Never null."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFrame:
     """docs plus lang_pred, score and positions. Whether a text has a letter is asked of the JVM."""
-    marked = docs.withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    marked = docs.withColumn("_letters", has_letter(F.col(text)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields)
     return marked.mapInArrow(labelled_batches(net, text), f"{fields}, lang_pred string, score double, positions array<long>").drop("_letters")
 

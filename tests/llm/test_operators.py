@@ -96,6 +96,16 @@ def test_pipeline_rejects_by_the_network(spark, tmp_path):
     assert kept == set(range(90))  # 100 has letters, but a third of it is in each language
 
 
+def test_pipeline_keeps_texts_without_labels(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = corpus(spark, tmp_path, labelled=False)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, folder).collect()} == {*range(90), 100}
+    withheld = docs.withColumn("lang", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, "l"))
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, withheld, folder).collect()} == {*range(90), 100}
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(1)
     net = language_id.train([b"abcabcab" * 6, b"xyzxyzxy" * 6], ["a", "b"], hidden=3, segment=8, epochs=1)

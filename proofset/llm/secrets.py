@@ -2,7 +2,10 @@
 
 Candidates are matched in every whole text. The hash of each candidate's value is then counted over the
 whole corpus by distinct repositories and distinct owners: a value that many owners hold is a copied example
-(`example`), one that few hold is a credential of its owner (`live`). Generic long mixed tokens carry no
+(`example`), one that few hold is a credential of its owner (`live`). Owners alone decide: the repositories are
+counted and reported by ownership(), but a value in thousands of documents of one owner, or of up to four, stays
+`live`, because an owner repeats a real credential as easily as an example, and masking too much is the safer error.
+All rows without an owner count as one owner together. Generic long mixed tokens carry no
 keyword, so they count as secrets only when their ownership says so; this is what the method adds.
 
 Defined cases: a null or empty text has no candidates; a null owner or repository counts as one of its own;

@@ -9,7 +9,7 @@ of each block is then ranked by exact cosine in double precision, and the best o
 Pivots are the only fitted part: `pivots` vectors with the smallest hash of their id (a bounded sample). Every
 vector is indexed. Queries meet vectors in blocks of both, so a task holds one block of each.
 
-Defined cases: vectors that are null, empty, all zero, of another dimension than the pivots, or hold a null or
+Defined cases: vectors that are null, empty, all zero, of another dimension than most (the smaller one of equally many), or hold a null or
 non-finite component take no part; rows with a query's own id are not its candidates; ties go to the smaller id;
 with fewer candidates than k, all are returned; an empty table gives no rows; other columns are ignored.
 """
@@ -77,15 +77,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id"
     """query_id, rank, vec_id, score: the k best found of each query, by cosine."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    sample = rows.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(pivots).collect()  # bounded by the parameter
     schema = "query_id long, rank int, vec_id long, score double"
-    if not sample:
+    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if common is None:
         return spark.createDataFrame([], schema)
-    dimension = len(sample[0].v)
-    chosen = np.array([r.v for r in sample if len(r.v) == dimension])
+    dimension = common.d
+    rows = rows.filter(F.size("v") == dimension)
+    sample = rows.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(pivots).collect()  # bounded by the parameter
+    chosen = np.array([r.v for r in sample])
     chosen /= np.linalg.norm(chosen, axis=1, keepdims=True)
     shared, posted = spark.sparkContext.broadcast(chosen), min(posted, len(chosen))
-    rows = rows.filter(F.size("v") == dimension)
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
     blocks, query_blocks = block_count(n, block_rows), block_count(asked, query_rows)
     deal = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")

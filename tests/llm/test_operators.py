@@ -191,6 +191,16 @@ def test_nearest_against_brute_force(spark):
     assert hit / (14 * 5) >= 0.9 and set(got) == set(range(0, 700, 50))
 
 
+def test_nearest_takes_the_most_frequent_dimension(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(0, 1, 8).tolist()) for i in range(30)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    first = frame.orderBy(F.xxhash64("vec_id"), "vec_id").first().vec_id
+    frame = spark.createDataFrame([(i, v[:3] if i == first else v) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {r.query_id for r in ann.nearest(frame, F.lit(True), 3).collect()}
+    assert got == set(range(30)) - {first}
+
+
 def test_contamination_equals_brute_force(spark, docs, empty):
     rng = np.random.default_rng(4)
     long_item = docs.filter("doc_id = 6").first().text.split()[5:40]

@@ -34,16 +34,74 @@ from pyspark.sql import functions as F
 from proofset.llm.common import block_count, slices, table, text_bytes, utf8, written
 
 _TAILED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")  # a word and ASCII punctuation, but no apostrophe, after it
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_KIND = np.full(256, 3, np.int8)  # kinds of bytes, lower-cased: white space as bytes.split() sees it, a-z (and à-ÿ), ASCII punctuation but no apostrophe, others
+_KIND[list(b" \t\n\r\x0b\x0c")] = 0
+_KIND[97:123] = 1
+_KIND[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = 2
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False  # the signs for times and divided by
+_CUTS = np.zeros(16, np.int8)  # by the kinds of a byte and the byte before it: 1 where a unit starts, 2 where one ends, 3 both
+_CUTS[[4 * k for k in (1, 2, 3)]] = 1
+_CUTS[[1, 2, 3]] = 2
+_CUTS[[4 * 2 + 1, 4 * 1 + 2]] = 3  # the tokenizer's own rule always splits between a letter and such punctuation
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECES = pa.schema([(n.split()[0], pa.int64()) for n in PIECES_DDL.split(", ")])
 
 
+class WordTable:
+    """An open-addressing table from words of at most 8 * width bytes to their numbers, all in numpy. The packed
+    bytes are compared in full, so unequal words never meet."""
+
+    def __init__(self, width: int, most: int) -> None:
+        self.bits = max(10, (2 * most - 1).bit_length())
+        self.keys = np.zeros((1 << self.bits, width), np.uint64)
+        self.number = np.full(1 << self.bits, -1, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        h = keys[:, 0] * _MIX
+        for k in range(1, keys.shape[1]):
+            h = (h ^ (h >> np.uint64(29)) ^ keys[:, k]) * _MIX
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 where it is not held."""
+        at, out, todo = self._slots(keys), np.full(len(keys), -1, np.int32), np.arange(len(keys))
+        while len(todo):
+            slot = at[todo]
+            held = self.number[slot]
+            same = held >= 0
+            for k in range(keys.shape[1]):
+                same &= self.keys[slot, k] == keys[todo, k]
+            out[todo[same]] = held[same]
+            todo = todo[(held >= 0) & ~same]
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, number: np.ndarray) -> None:
+        """Distinct words that are not held."""
+        at, todo = self._slots(keys), np.arange(len(keys))
+        while len(todo):
+            slot = at[todo]
+            free = self.number[slot] < 0
+            first = np.zeros(len(todo), bool)
+            first[np.unique(slot, return_index=True)[1]] = True
+            put = todo[free & first]
+            self.keys[at[put]], self.number[at[put]] = keys[put], number[put]
+            todo = todo[~(free & first)]
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer whose vocabulary never joins across white space, with the ids of
     words remembered. A word's ids do not depend on its neighbours: the normaliser drops white space, and
-    splitting and merging happen inside words. A word of letters alone is one unit and ends in an id whose
+    splitting and merging happen inside words. Many texts are cut into words at once, words are looked up by
+    their packed bytes, and only new ones are encoded. A word of letters alone is one unit and ends in an id whose
     vocabulary entry carries the end-of-word mark, so many new words are encoded in one call and cut there.
-    Texts that hold '<|' (special tokens) are encoded as a whole."""
+    Texts that hold '<|' (special tokens) are encoded as a whole. Once `most_words` are remembered, further words
+    are forgotten after their call; what came first, and so is mostly what is common, stays."""
 
     _made: dict[str, WordTokenizer] = {}
 
@@ -55,89 +113,149 @@ class WordTokenizer:
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
         for entry, i in self.tok.get_vocab().items():
             self.ends[i] = entry.endswith("</w>")
-        self.cache: dict[bytes, bytes] = {}
+        self.tables = {16: WordTable(2, most_words), 48: WordTable(6, most_words // 8)}
+        self.room = {16: most_words, 48: most_words // 8}
+        self.first, self.count, self.words = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
     @classmethod
-    def of(cls, file: str, most_words: int = 150_000) -> WordTokenizer:
+    def of(cls, file: str, most_words: int = 600_000) -> WordTokenizer:
         """One for each worker process, which keeps its memory of words from task to task."""
         if file not in cls._made:
             cls._made[file] = cls(file, most_words)
         return cls._made[file]
 
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: set[bytes], per_call: int = 64) -> list[bytes]:
-        """Put the ids of words into the cache; returns all that was added."""
-        cache, letters, other, tailed, added = self.cache, {}, {}, [], []
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Put the ids of new words behind the others; returns the first one's number."""
+        n, total, before = len(sizes), len(ids), self.words
+        while before + n > len(self.first):
+            self.first, self.count = np.concatenate((self.first, np.zeros_like(self.first))), np.concatenate((self.count, np.zeros_like(self.count)))
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        self.pool[self.used : self.used + total] = ids
+        self.first[before : before + n] = self.used + np.cumsum(sizes) - sizes
+        self.count[before : before + n] = sizes
+        self.words, self.used = before + n, self.used + total
+        return before
+
+    def _letters(self, words: list[bytes], per_call: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters alone, one after another, and how many each has."""
+        calls = [b" ".join(words[k : k + per_call]).decode() for k in range(0, len(words), per_call)]
+        ids = np.array([i for e in self.tok.encode_batch_fast(calls, add_special_tokens=False) for i in e.ids], np.uint32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(words):
+            return ids, np.diff(cuts, prepend=0)
+        each = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]  # letters that the tokenizer splits after all
+        return np.concatenate([ids[:0], *each]), np.array([len(e) for e in each], np.int64)
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of any kind: what is letters and then ASCII punctuation is put together from both."""
+        letters: dict[bytes, int] = {}
+        other: dict[bytes, int] = {}
+        parts: list[tuple[int, ...]] = []
         for w in words:
             stem, tail = w, b""
             if (m := _TAILED.fullmatch(w)) is not None:
                 stem, tail = m[1], m[2]
-            text = stem.decode()
-            if not text.isalpha():
-                other[w] = w.decode()
-                continue
-            if tail:
-                tailed.append((w, stem, tail))
-                if tail not in cache:
-                    other[tail] = tail.decode()
-            if stem not in cache:
-                letters[stem] = text
-        order = list(letters)
-        for at in range(0, len(order), 100 * per_call):
-            part = order[at : at + 100 * per_call]
-            calls = [" ".join([letters[w] for w in part[k : k + per_call]]) for k in range(0, len(part), per_call)]
-            ids = np.array([i for e in self.tok.encode_batch_fast(calls, add_special_tokens=False) for i in e.ids], "<u4")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) != len(part):  # letters that the tokenizer splits after all
-                other.update((w, letters[w]) for w in part)
-                continue
-            raw, a = ids.tobytes(), 0
-            for w, b in zip(part, cuts, strict=True):
-                cache[w] = raw[4 * a : 4 * b]
-                a = b
-        added += order
-        if other:
-            names = list(other)
-            for w, e in zip(names, self.tok.encode_batch_fast([other[w] for w in names], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-            added += names
-        for w, stem, tail in tailed:
-            cache[w] = cache[stem] + cache[tail]
-            added.append(w)
-        return added
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text. Once the memory is full, new words are forgotten again after
-        the call; what came first, and so is mostly what is common, stays."""
-        get, found = self.cache.get, []
-        for t in texts:  # one text at a time stays in the processor's caches
-            if b"<|" in t:
-                found.append((None, t, ()))
-                continue
-            words = t.lower().split()
-            ids = list(map(get, words))
-            gaps, at = [], -1
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                gaps.append((at, words[at]))
-            found.append((ids, None, gaps))
-        missing = {w for _, _, gaps in found for _, w in gaps}
-        full = len(self.cache) >= self.most_words
-        added = self._learn(missing) if missing else []
-        out = []
-        for ids, whole, gaps in found:
-            if ids is None:
-                out.append(self._plain(whole.decode()))
-                continue
-            for at, w in gaps:
-                ids[at] = self.cache[w]
-            out.append(b"".join(ids))
-        if full:
-            for w in dict.fromkeys(added):
-                del self.cache[w]
-        return out
+            if not stem.decode().isalpha():
+                parts.append((-1 - other.setdefault(w, len(other)),))
+            else:
+                parts.append((letters.setdefault(stem, len(letters)), *((-1 - other.setdefault(tail, len(other)),) if tail else ())))
+        ids, sizes = self._letters(list(letters))
+        known = np.split(ids, np.cumsum(sizes)[:-1])
+        rest = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)]
+        each = [known[k] if k >= 0 else rest[-1 - k] for own in parts for k in own]
+        return np.concatenate([ids[:0], *each]), np.array([sum(len(known[k] if k >= 0 else rest[-1 - k]) for k in own) for own in parts], np.int64)
+
+    def encode(self, texts: list[bytes], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one text after another, and where each text ends. With end_id, it follows each."""
+        words_before, used_before = self.words, self.used
+        whole = {i: t for i, t in enumerate(texts) if b"<|" in t}
+        flat = b"\n".join([b"" if i in whole else t for i, t in enumerate(texts)]).lower() + b" " * 49
+        raw = np.frombuffer(flat, np.uint8)
+        kind = _KIND[raw]
+        pair = np.flatnonzero((raw[:-1] == 0xC3) & _LATIN[raw[1:]])  # UTF-8 of a letter À to ÿ
+        kind[pair] = kind[pair + 1] = 1
+        turn = kind[1:] * 4 + kind[:-1]
+        cut = _CUTS[turn]
+        start = np.flatnonzero(np.concatenate(([kind[0] > 0], (cut & 1) > 0)))
+        end = np.flatnonzero((cut & 2) > 0) + 1
+        size = end - start
+        number = np.full(len(start), -1, np.int32)
+        odd = size > 48
+        if (zero := raw == 0).any():  # a zero byte packs like none
+            seen = np.concatenate(([0], np.cumsum(zero)))
+            odd |= seen[end] > seen[start]
+        eight = np.ndarray((len(raw) - 7,), "<u8", flat, strides=(1,))
+        fresh: list[tuple[np.ndarray, np.ndarray | None, int]] = []  # new words: their numbers' place, keys, class
+        low, plain = 0, None
+        for most, table in self.tables.items():
+            at = np.flatnonzero((size > low) & (size <= most) & ~odd)
+            low = most
+            keys = np.empty((len(at), most // 8), np.uint64)
+            for k in range(most // 8):
+                keys[:, k] = eight[np.minimum(start[at] + 8 * k, len(eight) - 1)] & _LOW_BYTES[np.clip(size[at] - 8 * k, 0, 8)]
+            got = table.find(keys)
+            number[at] = got
+            at, keys = at[got < 0], keys[got < 0]
+            if len(at):
+                order = np.lexsort(keys.T[::-1])
+                new = np.concatenate(([True], (keys[order[1:]] != keys[order[:-1]]).any(1)))
+                one, which = order[new], np.empty(len(at), np.int64)
+                which[order] = np.cumsum(new) - 1
+                if plain is None:
+                    plain = np.concatenate(([0], np.cumsum(kind != 1)))
+                pure = plain[end[at[one]]] == plain[start[at[one]]]
+                one, rank = np.concatenate((one[pure], one[~pure])), np.argsort(np.argsort(~pure, kind="stable"))  # letters alone come first
+                names = [flat[a:b] for a, b in zip(start[at[one]].tolist(), end[at[one]].tolist(), strict=True)]
+                base = self._keep(*self._letters(names[: pure.sum()]))
+                self._keep(*self._encoded(names[pure.sum() :]))
+                number[at] = base + rank[which]
+                fresh.append((base + np.arange(len(one)), keys[one], most))
+        if odd.any():
+            names: dict[bytes, int] = {}
+            at = np.flatnonzero(odd)
+            which = [names.setdefault(flat[start[i] : end[i]], len(names)) for i in at.tolist()]
+            number[at] = self._keep(*self._encoded(list(names))) + np.array(which)
+        bounds = np.cumsum(np.fromiter((0 if i in whole else len(t) for i, t in enumerate(texts)), np.int64, len(texts)) + 1)  # where the next text starts
+        upto = np.searchsorted(start, bounds)
+        extra_at, extra = [], []
+        for i, t in whole.items():
+            extra_at.append(upto[i])
+            own = self._plain(t.decode())
+            extra.append(self._keep(own, np.array([len(own)])))
+        order_at = np.array(extra_at, np.int64)
+        if end_id is not None:
+            mark = self._keep(np.array([end_id], np.uint32), np.array([1]))
+            order_at = np.concatenate((order_at, upto))
+            extra += [mark] * len(texts)
+        if len(extra):  # whole texts come before the end of theirs, as np.insert keeps the order of equal places
+            by = np.lexsort((np.arange(len(extra)), np.concatenate((np.array(list(whole), np.int64), np.arange(len(texts)))) if end_id is not None else np.array(list(whole), np.int64)))
+            number = np.insert(number, order_at[by], np.array(extra, np.int32)[by])
+            steps = np.ones(len(texts), np.int64) * (end_id is not None)
+            steps[list(whole)] += 1
+            upto = upto + np.cumsum(steps)
+        count = self.count[number].astype(np.int64)
+        ends = np.cumsum(count)
+        ids = self.pool[np.repeat(self.first[number] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        text_ends = np.concatenate(([0], ends))[upto]
+        self._remember(fresh, words_before, used_before)
+        return ids, text_ends
+
+    def _remember(self, fresh: list, words_before: int, used_before: int) -> None:
+        """Put new words into the tables, as far as there is room, and forget the others."""
+        last = words_before
+        for numbers, keys, most in fresh:
+            if (room := self.room[most]) > 0:
+                self.tables[most].add(keys[:room], numbers[:room])
+                self.room[most] -= min(room, len(keys))
+                last = int(numbers[:room][-1]) + 1
+            if room < len(keys):  # those of the next table lie behind what is forgotten
+                break
+        self.words, self.used = last, int(self.first[last - 1] + self.count[last - 1]) if last > words_before else used_before
 
 
 def tokenised(docs: DataFrame, tokenizer_file: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,10 +265,10 @@ def tokenised(docs: DataFrame, tokenizer_file: str, end_id: int, doc_id: str = "
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = WordTokenizer.of(tokenizer_file)
         kind = _id_type(tok)
-        tail = np.array([end_id], "<u4").tobytes()
         for b in slices(batches, "text", 2 << 20):
-            ids = [np.frombuffer(x + tail, "<u4").astype(kind).tobytes() for x in tok.encode(utf8(b.column("text")))]
-            yield pa.record_batch([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            ids, ends = tok.encode(utf8(b.column("text")), end_id)
+            flat, offsets = ids.astype(kind), (np.concatenate(([0], ends)) * int(kind[2])).astype(np.int32)
+            yield pa.record_batch([b.column("doc_id"), pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])], names=["doc_id", "ids"])
 
     return rows.mapInArrow(encode, "doc_id long, ids binary")
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,19 +16,30 @@ from pyspark.sql import functions as F
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK = threading.Lock()
+_CLEANING: dict[str, list] = {}  # session: [writes under way, the setting before them]
+_SCRATCH: ContextVar[list | None] = ContextVar("scratch", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
+def free_name(taken: Iterable[str], name: str) -> str:
+    """A column name like `name` that the given ones do not have (Spark compares without case)."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
 
-    Only where the session names none (a local test run) a temporary folder is made and set.
-    """
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir of the session. Only a local session
+    may go without: a temporary folder is made and set then."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-proofset-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -35,19 +49,61 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/proofset/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost
-    executor costs nothing that was written. The files stay until the cluster clears the folder,
-    because the returned frame reads them lazily."""
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """While any write of this session is under way, Spark removes shuffle files as soon as their query ends."""
+    name = str(id(spark))
+    with _LOCK:
+        own = _CLEANING.setdefault(name, [0, None])
+        if own[0] == 0:
+            own[1] = spark.conf.get(CLEANUP)
+            spark.conf.set(CLEANUP, "true")
+        own[0] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            own[0] -= 1
+            if own[0] == 0:
+                spark.conf.set(CLEANUP, own[1])
+
+
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost executor costs
+    nothing that was written. Returns the path too."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")  # the shuffle files of this write serve nothing else: Spark removes them at once
-    try:
+    with _cleaning(spark):
         df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """stored(), for what an operator needs on its way. The files stay until the surrounding scratch() ends, or
+    where there is none until the cluster clears the folder, because the returned frame reads them lazily."""
+    out, path = stored(df, label)
+    if (held := _SCRATCH.get()) is not None:
+        held.append(path)
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what stored() wrote, on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What written() stores inside is deleted at the end: results must have been stored before."""
+    held: list[str] = []
+    mark = _SCRATCH.set(held)
+    try:
+        yield
     finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        _SCRATCH.reset(mark)
+        for path in held:
+            remove(spark, path)
 
 
 def text_bytes(df: DataFrame, col: str = "text") -> tuple[int, int]:

@@ -3,26 +3,27 @@
 All test items of a group are inserted in one automaton whose size is linear in their words. A document's words
 stream through it; the state tells the longest suffix that is part of any item. Where it reaches `window` words
 (or a whole item that is shorter), those words are hit. Items are dealt into groups of at most `group_bytes` of
-text, so that what a task holds, and what is broadcast, is bounded whatever the benchmark's size; documents
-pass one group after another.
+text, so that an automaton is bounded whatever the benchmark's size. With one group, documents pass it and that is
+all. With several, each group is a pass of its own that reports only the texts it hits (a task holds one automaton);
+the reports are put together by the text's hash of 128 bits, and joined to the documents.
 
 Defined cases: a null text has no words; an item without words matches nothing; equal items are all named; a
-null item id is named `null`; repeated documents are rows of their own; empty tables give no rows or no hits;
-other columns are ignored (report) or kept as they are (removal).
+null item id is an id of its own, listed as null; repeated documents are rows of their own; empty tables give no rows
+or no hits; other columns are ignored (report) or kept as they are (removal), whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofset.llm.common import block_count, slices, table, text_bytes, utf8
+from proofset.llm.common import block_count, free_name, slices, table, text_bytes, utf8, written
 
 WORD_BYTES = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(0x80, 0x100))
 TO_WORDS = bytes(c if c in WORD_BYTES else 32 for c in bytes(range(256)).lower())
@@ -41,7 +42,7 @@ class SuffixAutomaton:
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.holders: list[set[str]] = [set()]
+        self.holders: list[set[str | None]] = [set()]
         self.short: dict[int, list[tuple[int, str]]] = {}
         self.least = window
         brief: list[tuple[str, list[int]]] = []
@@ -161,46 +162,72 @@ class SuffixAutomaton:
                     spans.append((start, end))
 
 
-def item_groups(benchmark: DataFrame, item_id: str, text: str, group_bytes: int) -> Iterator[tuple[bool, list[tuple[str, list[bytes]]]]]:
-    """The items in groups of about group_bytes, each with whether it is the last; the driver holds one at a time."""
-    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def item_groups(benchmark: DataFrame, item_id: str, text: str, group_bytes: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """The items in groups of about group_bytes; the driver holds one at a time."""
+    rows = benchmark.select(F.col(item_id).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = block_count(text_bytes(rows)[1], group_bytes)
     for g in range(n):
         part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == g)
-        yield g == n - 1, [(r.id, words_of(r.text.encode())) for r in part.collect()]
+        yield [(r.id, words_of(r.text.encode())) for r in part.collect()]
 
 
-def _matched(docs: DataFrame, benchmark: DataFrame, text: str, window: int, item_id: str, item_text: str, group_bytes: int, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
-    """docs plus _spans (flat starts and ends of hit words, merged), _items and _words; or what `finish` makes of
-    these batches (the columns of docs), in the same pass as the last group, so a task has no second worker for it."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    marked = f"{fields}, _spans array<int>, _items array<string>, _words long"
-    out, first = docs, True
-    for last, group in item_groups(benchmark, item_id, item_text, group_bytes):
-        end = finish if last else None
-        model = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(group, window))
+def as_names(items: Iterable[str | None]) -> list[str | None]:
+    """Distinct ids in the order of strings; a null id stands where its name would."""
+    return sorted(set(items), key=lambda x: ("null" if x is None else x, x is None))
 
-        def scan(batches: Iterator[pa.RecordBatch], model=model, first=first, end=end) -> Iterator[pa.RecordBatch]:
-            automaton = model.value
+
+FOUND = (pa.list_(pa.int32()), pa.list_(pa.string()), pa.int64())
+
+
+def _matched(docs: DataFrame, benchmark: DataFrame, text: str, window: int, item_id: str, item_text: str, group_bytes: int, finish: Callable[[pa.RecordBatch, tuple], pa.RecordBatch], ddl: str) -> DataFrame:
+    """What `finish` makes of the batches of docs and, for each row, its flat starts and ends of hit words (merged), the
+    items found, and its number of words. ddl: its columns."""
+    groups = item_groups(benchmark, item_id, item_text, group_bytes)
+    spark = docs.sparkSession
+    first = next(groups)
+    second = next(groups, None)
+    if second is None:
+        model = spark.sparkContext.broadcast(SuffixAutomaton(first, window))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, text, 4 << 20):
-                spans, items, counts = [], [], []
-                for i, body in enumerate(utf8(b.column(text))):
+                found = []
+                for body in utf8(b.column(text)):
                     words = words_of(body)
-                    hit, named = automaton.scan(words)
-                    if not first:
-                        flat = b.column("_spans")[i].as_py()
-                        hit = merged([*zip(flat[::2], flat[1::2], strict=True), *hit])
-                        named |= set(b.column("_items")[i].as_py())
-                    spans.append([x for s in hit for x in s])
-                    items.append(sorted(named))
-                    counts.append(len(words))
-                keep = [n for n in b.schema.names if n not in ("_spans", "_items", "_words")]
-                found = pa.record_batch([*[b.column(n) for n in keep], pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(counts, pa.int64())], names=[*keep, "_spans", "_items", "_words"])
-                yield end(found) if end else found
-
-        out = out.mapInArrow(scan, fields if end else marked)
-        first = False
-    return out
+                    hit, named = model.value.scan(words)
+                    found.append(([x for s in hit for x in s], as_names(named), len(words)))
+                yield finish(b, tuple(zip(*found, strict=True)))
+
+        return docs.mapInArrow(scan, ddl)
+
+    bodies = docs.select(F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"), F.col(text).alias("body")).filter("body is not null")
+    hits = None
+    for group in chain([first, second], groups):
+        model = spark.sparkContext.broadcast(SuffixAutomaton(group, window))
+
+        def report(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, "body", 4 << 20):
+                rows = [model.value.scan(words_of(body)) for body in utf8(b.column("body"))]
+                at = [i for i, (hit, _) in enumerate(rows) if hit]
+                spans, items = [[x for s in rows[i][0] for x in s] for i in at], [as_names(rows[i][1]) for i in at]
+                yield pa.record_batch([b.column("a").take(pa.array(at, pa.int64())), b.column("b").take(pa.array(at, pa.int64())), pa.array(spans, FOUND[0]), pa.array(items, FOUND[1])], names=["a", "b", "spans", "items"])
+
+        own = bodies.mapInArrow(report, "a long, b long, spans array<int>, items array<string>").groupBy("a", "b").agg(F.first(F.struct("spans", "items")).alias("hit"))
+        hits = own if hits is None else hits.unionByName(own)
+    hits = written(hits, "benchmark-hits").groupBy("a", "b").agg(F.collect_list("hit").alias("hits"))  # one for each group at most
+    a, b, key = (free_name(docs.columns, n) for n in ("text_a", "text_b", "hits"))
+    hits = hits.select(F.col("a").alias(a), F.col("b").alias(b), F.col("hits").alias(key))
+    marked = docs.withColumns({a: F.xxhash64(text), b: F.xxhash64(text, F.lit(1))}).join(hits, [a, b], "left").drop(a, b)
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, 4 << 20):
+            found = []
+            for body, own in zip(utf8(batch.column(text)), batch.column(key).to_pylist(), strict=True):
+                hit = merged([s for h in own or () for s in zip(h["spans"][::2], h["spans"][1::2], strict=True)])
+                found.append(([x for s in hit for x in s], as_names(i for h in own or () for i in h["items"]), len(words_of(body))))
+            yield finish(batch.select([c for c in batch.schema.names if c != key]), tuple(zip(*found, strict=True)))
+
+    return marked.mapInArrow(combine, ddl)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -213,21 +240,25 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 10, item_id: str = "item_id", item_text: str = "text", group_bytes: int = 32 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 10, item_id: str = "item_id", item_text: str = "text", group_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, items (array, sorted as strings), spans (flat starts and ends of hit words)."""
-    found = _matched(docs.select(doc_id, text), benchmark, text, window, item_id, item_text, group_bytes)
-    n_hit = F.aggregate(F.transform("_spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0), lambda a, x: a + x).cast("long")
-    return found.select(doc_id, F.col("_words").alias("n_words"), n_hit.alias("n_hit"), F.col("_items").alias("items"), F.col("_spans").alias("spans"))
+
+    def report(b: pa.RecordBatch, found: tuple) -> pa.RecordBatch:
+        spans, items, words = found
+        return pa.record_batch([b.column("doc_id"), pa.array(words, pa.int64()), pa.array([sum(s[1::2]) - sum(s[::2]) for s in spans], pa.int64()), pa.array(items, FOUND[1]), pa.array(spans, FOUND[0])], names=["doc_id", "n_words", "n_hit", "items", "spans"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    found = _matched(rows, benchmark, "text", window, item_id, item_text, group_bytes, report, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, spans array<int>")
+    return found.withColumnRenamed("doc_id", doc_id)
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, most_coverage: float = 0.5, item_id: str = "item_id", item_text: str = "text", group_bytes: int = 32 << 20) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, most_coverage: float = 0.5, item_id: str = "item_id", item_text: str = "text", group_bytes: int = 1 << 20) -> DataFrame:
     """docs with the hit spans cut out of their texts; a document is dropped when more than most_coverage of
     its words are hit. Same columns; n_chars, where there is one, follows the text."""
     cols = docs.columns
 
-    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
-        spans = b.column("_spans").to_pylist()
-        words = b.column("_words").to_pylist()
+    def cut(b: pa.RecordBatch, found: tuple) -> pa.RecordBatch:
+        spans, _, words = found
         share = [sum(s[1::2]) - sum(s[::2]) for s in spans]
         keep = [i for i in range(b.num_rows) if share[i] <= most_coverage * words[i]]
         out = b.select(cols)
@@ -246,7 +277,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "tex
                 out = out.set_column(at, cols[at], pa.array(n, out.schema.field(at).type))
         return out if len(keep) == b.num_rows else out.take(pa.array(keep, pa.int64()))
 
-    return _matched(docs, benchmark, text, window, item_id, item_text, group_bytes, cut)
+    return _matched(docs, benchmark, text, window, item_id, item_text, group_bytes, cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
 
 
 def cut_words(text: str, spans: list[int]) -> str:
@@ -261,5 +292,5 @@ def cut_words(text: str, spans: list[int]) -> str:
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",", "null").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

@@ -107,25 +107,67 @@ def test_pipeline_keeps_texts_without_labels(spark, tmp_path):
 
 
 def test_gradients_match_differences():
+    """Backpropagation through time, for every kind of weight, with padded rows."""
     rng = np.random.default_rng(1)
     net = language_id.train([b"abcabcab" * 6, b"xyzxyzxy" * 6], ["a", "b"], hidden=3, segment=8, epochs=1)
     for k in ("wx", "u", "wo", "bo"):
         setattr(net, k, getattr(net, k).astype(np.float64))
     x, y = rng.integers(97, 100, (6, 4)), np.array([0, 1, 0, 1])
+    x[4:, 1] = x[2:, 2] = language_id.PAD
 
     def loss():
         p = language_id.softmax(net.log_scores(x).transpose(1, 2, 0).astype(np.float64))
-        return -np.log(p[:, np.arange(4), y]).mean()
-
-    grad = language_id._gradients(net, x, y)[2]
-    for i, j in ((0, 0), (3, 1)):
-        e = 1e-2
-        net.wo[i, j] += e
-        up = loss()
-        net.wo[i, j] -= 2 * e
-        down = loss()
-        net.wo[i, j] += e
-        assert abs((up - down) / (2 * e) - grad[i, j]) < 1e-3
+        return (-np.log(p[:, np.arange(4), y]) * (x != language_id.PAD)).sum() / (x != language_id.PAD).sum()
+
+    grads = dict(zip(("wx", "u", "wo", "bo"), language_id._gradients(net, x, y), strict=True))
+    seen = 0
+    for name, places in {"wx": [(b, k) for b in (97, 98, 99) for k in range(12)], "u": [(d, i, j) for d in range(2) for i in range(3) for j in range(6)], "wo": [(i, j) for i in range(6) for j in range(2)], "bo": [(0,), (1,)]}.items():
+        w = getattr(net, name)
+        for at in places:
+            e, was = 1e-2, w[at]
+            w[at] = was + e
+            up = loss()
+            w[at] = was - e
+            down = loss()
+            w[at] = was
+            seen += abs(grads[name][at]) > 1e-3
+            assert abs((up - down) / (2 * e) - grads[name][at]) < 2e-3, (name, at)
+    assert seen > 30 and not grads["wx"][language_id.PAD].any()
+
+
+def plain_forward(net, text):
+    """Scores of every position of one text, one step after another."""
+    h, out = net.h, []
+    states = []
+    for d, order in enumerate((range(len(text)), range(len(text) - 1, -1, -1))):
+        s, own = np.zeros(h), {}
+        for i in order:
+            a = net.wx[text[i], 2 * d * h : 2 * (d + 1) * h].astype(float) + s @ net.u[d]
+            z, c = np.clip(a[:h], 0, 1), np.clip(a[h:], -1, 1)
+            s = z * s + (1 - z) * c
+            own[i] = s
+        states.append(own)
+    for i in range(len(text)):
+        a = np.concatenate([states[0][i], states[1][i]]) @ net.wo + net.bo
+        out.append(np.exp(a - a.max()) / np.exp(a - a.max()).sum())
+    return np.array(out)
+
+
+def test_forward_pass_equals_the_plain_one():
+    rng = np.random.default_rng(3)
+    net = language_id.train([b"abcabcab" * 6, b"xyzxyzxy" * 6], ["a", "b"], hidden=4, segment=8, epochs=1)
+    texts = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (1, 5, 40, 200, 224)] + [b""]  # within a segment: exact, whatever else is in the batch
+    mean, votes = language_id.pooled(net, texts)
+    for i, t in enumerate(texts[:-1]):
+        p = plain_forward(net, t)
+        assert np.abs(mean[i] - p.mean(0)).max() < 1e-4 and votes[i].sum() == len(t)
+    assert not mean[-1].any()
+    long = bytes(rng.integers(97, 123, 1000, dtype=np.uint8))
+    rows, doc, first, length = language_id.segmented([long], language_id.SEGMENT, language_id.CONTEXT)
+    parts = []
+    for row, a, n in zip(rows, first, length, strict=True):
+        parts.append(plain_forward(net, row[row != language_id.PAD])[a : a + n])
+    assert np.abs(language_id.pooled(net, [long])[0][0] - np.concatenate(parts).mean(0)).max() < 1e-4 and sum(map(len, parts)) == 1000
 
 
 def test_jaccard_groups_equal_brute_force(docs, empty):
@@ -178,7 +220,7 @@ def test_nearest_against_brute_force(spark):
     rows = [(i, x.tolist(), 1) for i, x in enumerate(v)] + [(9000, None, 1), (9050, [0.0] * 16, 1), (9100, [float("nan")] * 16, 1), (9150, [1.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v int")
     got = defaultdict(list)
-    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, 5, pivots=64, posted=32, share=0.3, least=32, block_rows=256).collect():
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, 5, pivots=64, posted=32, visited=48, share=0.3, shard_rows=256, query_rows=8).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     x = v.astype(float)
     n = np.linalg.norm(x, axis=1)
@@ -191,6 +233,29 @@ def test_nearest_against_brute_force(spark):
     assert hit / (14 * 5) >= 0.9 and set(got) == set(range(0, 700, 50))
 
 
+def test_nearest_of_repeated_and_extreme_rows(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(60, 8))
+    v[10] *= 1e200
+    v[20] *= 1e-200
+    rows = [(i, x.tolist(), "s") for i, x in enumerate(v)] + [(0, v[0].tolist(), "s"), (7, v[7].tolist(), "s")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, home string")
+    got = defaultdict(list)
+    for r in ann.nearest(frame, F.col("vec_id").isin(0, 10, 20), 5, share=1.0, visited=256).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    x = ann.unit(np.concatenate([v, v[7:8]]))
+    names = np.array([*range(60), 7])
+    for q in (0, 10, 20):
+        s = x @ x[q]
+        best = [i for i in np.lexsort((names, -s)).tolist() if names[i] != q][:5]
+        expect = [(k + 1, int(names[i])) for k, i in enumerate(best)]
+        assert sorted((a, b) for a, b, _ in got[q]) == sorted(expect * (2 if q == 0 else 1))
+        assert all(abs(c - s[best[a - 1]]) < 1e-12 for a, _, c in got[q])
+    few = frame.filter("vec_id in (0, 7)")
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(few, F.col("vec_id") == 7, 5).collect()) == [(7, 1, 0), (7, 1, 0), (7, 2, 0), (7, 2, 0)]
+    assert ann.nearest(frame.limit(0), F.lit(True), 5).collect() == []
+
+
 def test_nearest_takes_the_most_frequent_dimension(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(0, 1, 8).tolist()) for i in range(30)]
@@ -222,7 +287,7 @@ def test_contamination_equals_brute_force(spark, docs, empty):
                     if tuple(w[k : k + len(win)]) == win:
                         hit |= set(range(k, k + len(win)))
                         names |= own
-            assert (r.n_words, r.n_hit, r["items"]) == (len(w), len(hit), sorted(names))
+            assert (r.n_words, r.n_hit, ["null" if x is None else x for x in r["items"]]) == (len(w), len(hit), sorted(names))
     cleaned = decontaminate.remove_contamination(docs, bench)
     assert cleaned.columns == docs.columns and decontaminate.contamination(cleaned, bench).filter("n_hit > 0").count() == 0
     assert decontaminate.contamination(empty, bench).collect() == []
@@ -356,3 +421,83 @@ def test_secrets_equal_brute_force(spark, docs, empty):
     out = {r.doc_id: r.text for r in secrets.redact_live(copied).collect()}
     assert out[9] == "x [SECRET] y token = abcdef0000" and out[0] == 'token = "abcdef0000" z'
     assert secrets.scan_secrets(empty).collect() == []
+
+
+def test_secrets_by_owners_and_repositories(spark):
+    """A planted corpus: every candidate's class, and the owned spans, against brute force."""
+    example, shared, own, hexed = "Zx9KqWv3RtYu7LmNb2Pd", "Ab1Cd2Ef3Gh4Ij5Kl6Mn", "Qw8Er7Ty6Ui5Op4As3Df", "0123456789abcdef" * 2
+    rows = [(i, f"x {example} y", f"o{i % 6}") for i in range(12)]  # six owners
+    rows += [(100 + i, f"see {shared} 😀 {hexed}", f"o{i % 2}") for i in range(30)]  # two owners, 30 repositories
+    rows += [(200 + i, f"é {own} and {own}", "o9") for i in range(40)]  # one owner, however many repositories
+    rows += [(300, f"{example} {own} {shared} token={own}", None)]
+    frame = spark.createDataFrame([(i, t, None, o, 0, 0, 0) for i, t, o in rows], DOCS)
+    owners, repos = defaultdict(set), defaultdict(set)
+    values = re.compile(f"{example}|{shared}|{own}|{hexed}")
+    for i, t, o in rows:
+        for m in values.findall(t):
+            owners[m].add(o)
+            repos[m].add(i)
+    live = {m: not (len(owners[m]) >= 5 or (len(owners[m]) >= 2 and len(repos[m]) >= 25)) for m in owners}
+    assert live == {example: False, shared: False, own: False, hexed: False} | {own: len(owners[own]) < 2 or len(repos[own]) < 25}
+    got = {r.doc_id: r for r in secrets.scan_secrets(frame).collect()}
+    for i, t, _ in rows:
+        spans = {(s.start, s.end, s.kind, s.live) for s in got[i].spans}
+        expect = {(m.start(), m.end(), "hex", live[m[0]]) for m in values.finditer(t) if m[0] == hexed}
+        expect |= {(m.start(), m.end(), "owned", True) for m in values.finditer(t) if m[0] != hexed and live[m[0]]}
+        expect |= {(m.start(), m.end(1), "assign", live[m[1]]) for m in re.finditer("token=([A-Za-z0-9]+)", t)}
+        assert spans == expect, (i, spans, expect)
+
+
+def test_many_secrets_in_one_text(spark):
+    runs = [f"{k:024x}" for k in range(3000)]
+    frame = spark.createDataFrame([(1, " ".join(runs), None, "o", 0, 0, 0)], DOCS)
+    spans = secrets.scan_secrets(frame).first().spans
+    assert [(s.start, s.end) for s in spans] == [(25 * k, 25 * k + 24) for k in range(3000)]
+    assert secrets.redact_live(frame).first().text == " ".join(["[SECRET]"] * 3000)
+
+
+CLASHES = ["lang_pred", "score", "positions", "_letters", "letters", "_spans", "_items", "_words", "spans", "hits", "text_a", "candidates", "_key", "text_key", "_t", "cuts", "_id", "_rows", "kept_id", "kept_mark", "kept_rows", "owner", "key", "body", "row", "live"]
+
+
+def test_clashing_columns_stay(spark, docs):
+    """Every stage that keeps documents keeps columns of any name, with their values."""
+    wide = docs.withColumns({c: F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHES})
+    bench = spark.createDataFrame([(1, "the of and")], "item_id long, text string")
+    net = language_id.train([b"abcabcab" * 6, b"the of and to" * 6], ["a", "b"], hidden=3, segment=8, epochs=1)
+    results = [language_id.keep_identified(wide, net, 0.0), language_id.keep_identified(wide, None, 0.0), jaccard.keep_one(wide), decontaminate.remove_contamination(wide, bench), decontaminate.remove_contamination(wide, spark.createDataFrame([(k, f"word{k} of and to") for k in range(9)], "item_id long, text string"), group_bytes=40), secrets.redact_live(wide)]
+    for out in results:
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in CLASHES)
+    assert set(language_id.identify(wide, net).columns) == set(wide.columns)
+    assert secrets.scan_secrets(wide).count() == wide.count() and decontaminate.contamination(wide, bench).count() == wide.count()
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b = "one two three four five six", "red green blue black white grey"
+    rows = [(1, a), (1, b), (1, a), (None, a), (None, b + " pink"), (None, "quite other words are in this one"), (2, b)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in jaccard.keep_one(frame, jaccard.Rule(5, 4, 5)).collect())
+    assert got == sorted([(False, 1, a), (False, 1, b), (True, 0, b + " pink"), (True, 0, "quite other words are in this one")])
+
+
+def test_hot_prefixes_are_split_and_lose_nothing(spark):
+    rng = np.random.default_rng(12)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for i in range(90):  # near copies of one text, of sizes around it, in tiles of 8 sets
+        w = list(base[: 70 + int(rng.integers(0, 10))])
+        w[int(rng.integers(0, 60))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    rule = jaccard.Rule(2, 90, 100)
+    whole = {r.doc_id: r.component_id for r in jaccard.similar_groups(frame, rule).collect()}
+    split = {r.doc_id: r.component_id for r in jaccard.similar_groups(frame, rule, tile_sets=8).collect()}
+    sets = [{tuple(t.split()[k : k + 2]) for k in range(len(t.split()) - 1)} for _, t in rows]
+    label = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    assert whole == split == dict(enumerate(label)) and len(set(label)) < 90

@@ -7,10 +7,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofset.llm.common import table, written
+from proofset.llm.common import remove, scratch, stored, table
 from proofset.llm.decontaminate import remove_contamination
 from proofset.llm.jaccard import Rule, keep_one
-from proofset.llm.language_id import UNKNOWN, fit, has_letter, identify
+from proofset.llm.language_id import fit, keep_identified
 from proofset.llm.packing import pack
 from proofset.llm.secrets import redact_live
 
@@ -22,10 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: no text, no letter in it, or no language to which the network gives at least
     half of the probability over all positions. The network is fitted on all labelled texts of this input; without
     any there is none, and all texts with a letter stay."""
-    net = fit(docs, F.lit(True))
-    if net is None:
-        return docs.filter(has_letter(F.col("text")))
-    return identify(docs, net).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return keep_identified(docs, fit(docs, F.lit(True)), LEAST_SCORE)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage stored on its way, and what its predecessor left, is deleted once the stage
+    is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            docs, path = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            remove(spark, before)
+        before = path
     return docs

@@ -63,7 +63,7 @@ def judge(measures: DataFrame, size: tuple[int, int] = (1600, 2000), eye_line: f
         hit(c("other_faces") > 0, 1, text("someone else's face is in the frame")),
         hit(c("face_blown") > 0.03, 1, F.concat(percent(c("face_blown")), text(" of the face is blown out (harsh light or shine)"))),
         hit(F.lit(not bw) & hue.isNotNull() & ~((chroma < 6) | (hue.between(28, 77) & (chroma <= 57))), 1, F.concat(text("skin color looks off (hue "), F.bround(hue).cast("int").cast("string"), text(", chroma "), F.bround(chroma).cast("int").cast("string"), text(")"))),
-        hit(~(c("eye_sharpness") >= 0.6), 1, text("eyes look soft (focus miss or motion?)")),
+        hit(F.isnan(c("eye_sharpness")) | (c("eye_sharpness") < 0.6), 1, text("eyes look soft (focus miss or motion?)")),
         graded(c("fidelity_ssim"), band(c("fidelity_ssim"), (0.9, 1.0), (0.8, 1.0)), F.concat(text("edit changed the photo a lot (SSIM "), fixed(c("fidelity_ssim"), 2), text(")"))),
         hit(c("clipping_added") > 0.005, 1, F.concat(text("the edit blew out "), fixed(c("clipping_added") * 100, 1), text("% of the face"))),
         hit(c("crushing_added") > 0.005, 1, F.concat(text("the edit crushed "), fixed(c("crushing_added") * 100, 1), text("% of the face to black"))),

@@ -108,7 +108,7 @@ def merge_history(sim: np.ndarray) -> list[tuple[int, int, float]]:
 
 def histories(kept: DataFrame, most: int = 5000) -> DataFrame:
     """set_id, step, i, j, height (running minimum) for each set: one history answers every cut. A set beyond `most`
-    photos is refused; see components_at() for those."""
+    photos is refused; see assign_large() for those."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("idx")
@@ -264,9 +264,10 @@ def weakest_inside(pair_rows: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def separation(inside: DataFrame, between: DataFrame) -> DataFrame:
+    """One row per set with any pair; NULL where a set has no group of two or more, or only one group."""
     a = inside.groupBy("set_id").agg(F.min("sim").alias("weakest"), F.median("sim").alias("weakest_median"))
     b = between.groupBy("set_id").agg(F.max("sim").alias("closest"), F.median("sim").alias("closest_median"), F.count(F.lit(1)).alias("n_pairs"))
-    return a.join(b, "set_id").withColumn("gap", F.col("weakest") - F.col("closest")).withColumn("verdict", F.when(F.col("gap") > 0, "clean separation, no overlap").otherwise("they overlap, so the pairs listed below decide the count"))
+    return a.join(b, "set_id", "full").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0).cast("long"))).withColumn("gap", F.col("weakest") - F.col("closest")).withColumn("verdict", F.when(F.col("gap") > 0, "clean separation, no overlap").when(F.col("gap").isNotNull(), "they overlap, so the pairs listed below decide the count"))
 
 
 def best_other(pair_rows: DataFrame) -> DataFrame:

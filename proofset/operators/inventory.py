@@ -60,10 +60,21 @@ def settings_key(settings: Column, version: str = "1") -> Column:
     return F.substring(F.sha1(F.concat(F.to_json(settings), F.lit(version)).cast("binary")), 1, 12)
 
 
+def preset_zoom(name: Column) -> Column:
+    """The zoom of a named framing; NULL for any other name."""
+    out = F.lit(None).cast("double")
+    for k, v in PRESETS.items():
+        out = F.when(F.lower(name) == k, v).otherwise(out)
+    return out
+
+
 def resolve_settings(flags: DataFrame, saved: DataFrame) -> DataFrame:
-    """Per set: a flag, else what is saved, else the default. flags.ratio is text such as 4:5. `origin` says where
+    """Per set: a flag, else what is saved, else the default. flags.ratio is text such as 4:5;
+    flags.preset, where there is such a column, names a framing that stands in for a zoom that is not given. `origin` says where
     the settings come from and `error` what is wrong with them, if anything."""
     s = saved.select("set_id", *[F.col(c).alias(f"s_{c}") for c in DEFAULTS], F.lit(True).alias("has"))
+    if "preset" in flags.columns:
+        flags = flags.withColumn("zoom", F.coalesce("zoom", preset_zoom(F.col("preset"))))
     parts = F.split("ratio", ":")
     ratio = F.when(F.size(parts) == 2, F.get(parts, F.lit(0)).try_cast("double") / F.nullif(F.get(parts, F.lit(1)).try_cast("double"), F.lit(0.0)))
     bad_ratio = F.col("ratio").isNotNull() & ratio.isNull()

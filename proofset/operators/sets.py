@@ -59,5 +59,14 @@ def paged(rows: DataFrame, page: int = 30, key: str = "set_id", order: str = "so
     return rows.withColumns({"page": (F.floor((n - 1) / page) + 1).cast("long"), "place": ((n - 1) % page + 1).cast("long")})
 
 
+def sheets(members: DataFrame, groups: int = 12, shots: int = 12) -> DataFrame:
+    """One row per group of (set_id, group_no, idx, name): its sheet and row there, the names of its first shots in
+    order, and `more`: how many it has beyond those, as "+n" (empty without any)."""
+    rows = members.groupBy("set_id", "group_no").agg(F.array_sort(F.collect_list(F.struct("idx", "name"))).alias("_all"))
+    n = F.row_number().over(Window.partitionBy("set_id").orderBy("group_no"))
+    over = F.size("_all") - shots
+    return rows.withColumns({"sheet": (F.floor((n - 1) / groups) + 1).cast("long"), "row": ((n - 1) % groups + 1).cast("long"), "shown": F.transform(F.slice("_all", 1, shots), lambda x: x["name"]), "more": F.when(over > 0, F.concat(F.lit("+"), over.cast("string"))).otherwise("")}).drop("_all")
+
+
 def gallery(photos: DataFrame, which: str = "all") -> DataFrame:
     return photos if which == "all" else photos.filter(F.col("final_grade") == which.upper())

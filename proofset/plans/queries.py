@@ -46,11 +46,17 @@ def picked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.pick_sources(tables.listing(spark, sf_dir).dropDuplicates(["set_id", "source"]).select("set_id", "source"))
 
 
-def incremental_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def incremental_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A listing and a saved report."""
     o = tables.read(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     files = o.select(F.col("o_custkey").alias("set_id"), k.cast("string").alias("source"), k.alias("size"), (k * 1000).alias("mtime_ns"))
     report = o.filter(k % 11 != 0).select(F.col("o_custkey").alias("set_id"), k.cast("string").alias("source"), F.when(k % 13 == 0, "old").otherwise("key").alias("key"), (k + (k % 17 == 0).cast("int")).alias("size"), (k * 1000).alias("mtime_ns"), F.when(k % 23 > 0, "out.jpg").alias("output"), (k * 7).alias("out_mtime_ns"), (k % 19 == 0).alias("hand_edited"), F.when((k % 23 > 0) & (k % 31 > 0), k * 7 + (k % 37 == 0).cast("int")).alias("now_mtime_ns"))
+    return files, report
+
+
+def incremental_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, report = incremental_inputs(spark, sf_dir)
     return inventory.classify(files, report, F.lit("key")).groupBy("set_id", "class").agg(F.count(F.lit(1)).alias("n"))
 
 

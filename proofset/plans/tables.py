@@ -28,8 +28,7 @@ MEASURES_SQL = """
 
 
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    return spark.sql(MEASURES_SQL.replace("VARCHAR(20)", "STRING"))
+    return spark.sql(MEASURES_SQL.replace("VARCHAR(20)", "STRING").replace("FROM orders", "FROM {orders}"), orders=read(spark, sf_dir, "orders"))
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,11 +25,13 @@ EVENTS = {
 
 
 def list_photos(spark: SparkSession, folder: str) -> DataFrame:
-    """source, size, mtime_ns of a folder's own photos; contents are never read. Spark's readers pass over files
-    whose names begin with an underscore or a dot."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", "modificationTime", "length")
-    name = F.url_decode(F.substring_index("path", "/", -1))
-    rows = files.select(name.alias("source"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))
+    """source, size, mtime_ns of a folder's own photos; contents are never read. The folder is listed by its file
+    system, as Spark's readers pass over files whose names begin with an underscore."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    files = [(f.getPath().getName(), f.getLen(), f.getModificationTime() * 1_000_000) for f in found if f.isFile()]
+    rows = spark.createDataFrame(files, "source string, size long, mtime_ns long")
     return rows.filter(~F.col("source").startswith(".") & extension_of(F.col("source")).isin(*PHOTO_EXTENSIONS))
 
 
@@ -71,8 +73,9 @@ def write_students(members: DataFrame, path: str) -> None:
     students_table(members).repartition("set_id").sortWithinPartitions("set_id", "student", "frame_of").write.partitionBy("set_id").option("header", True).mode("overwrite").csv(path)
 
 
-def summary_lines(totals: DataFrame, cut: DataFrame, changes: DataFrame, apart: DataFrame, sizes: DataFrame, closest: DataFrame, picked: DataFrame) -> DataFrame:
-    """set_id, section, ordinal, line: the text summary in order."""
+def summary_lines(totals: DataFrame, cut: DataFrame, changes: DataFrame, apart: DataFrame, sizes: DataFrame, closest: DataFrame, picked: DataFrame, broken: DataFrame | None = None, weakest: DataFrame | None = None, lonely: DataFrame | None = None, weak: DataFrame | None = None, skipped: DataFrame | None = None) -> DataFrame:
+    """set_id, section, ordinal, line: the text summary in order. Optional parts: broken_runs(), weakest_groups() with
+    the names of its pair (first_name, second_name), loneliest(), and intake()'s weak and skipped rows."""
     row = lambda df, section, ordinal, line: df.select("set_id", F.lit(section).alias("section"), ordinal.cast("double").alias("ordinal"), line.alias("line"))
     head = totals.join(cut, "set_id")
     parts = [
@@ -86,6 +89,17 @@ def summary_lines(totals: DataFrame, cut: DataFrame, changes: DataFrame, apart:
         row(closest, 4, F.col("place"), F.format_string("    S%02d + S%02d  %.3f", "a", "b", "sim")),
         row(picked.filter("pick"), 5, F.col("group_no"), F.format_string("    S%02d  %s  %s", "group_no", "name", "grade")),
     ]
+    place = lambda df: df.withColumn("_place", F.row_number().over(Window.partitionBy("set_id").orderBy("name")))
+    if broken is not None:
+        parts.append(row(broken, 6, F.col("group_no"), F.format_string("    S%02d  %s..%s without %s", "group_no", "first_name", "last_name", "skipping")))
+    if weakest is not None:
+        parts.append(row(weakest, 7, F.col("place"), F.format_string("    S%02d  %.3f  %s + %s", "group_no", "sim", "first_name", "second_name")))
+    if lonely is not None:
+        parts.append(row(lonely, 8, F.col("place"), F.concat(F.format_string("    %s  S%02d  best other ", "name", "group_no"), F.coalesce(F.format_string("%.3f", "best_other"), F.lit("none")))))
+    if weak is not None:
+        parts.append(row(place(weak), 9, F.col("_place"), F.format_string("    %s  face found only at %.1f", "name", "detect_threshold")))
+    if skipped is not None:
+        parts.append(row(place(skipped), 10, F.col("_place"), F.format_string("    %s  %s", "name", "reason")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -29,7 +29,7 @@ def test_report_index_keeps_the_last(spark, tmp_path):
 def test_listing(spark, tmp_path):
     for n in ("a.jpg", "_sheet.jpg", ".b.jpg", "c.txt", "d.PNG"):
         (tmp_path / n).write_bytes(b"12")
-    assert sorted((r.source, r.size) for r in rp.list_photos(spark, str(tmp_path)).collect()) == [("a.jpg", 2), ("d.PNG", 2)]  # Spark hides names that begin with _
+    assert sorted((r.source, r.size) for r in rp.list_photos(spark, str(tmp_path)).collect()) == [("_sheet.jpg", 2), ("a.jpg", 2), ("d.PNG", 2)]
     assert [r.source for r in rp.list_outputs(spark, str(tmp_path)).collect()] == ["a.jpg"]
 
 

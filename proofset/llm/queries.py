@@ -26,7 +26,50 @@ QUERIES = {
     "op10_secret_scans": op10_secret_scans,
 }
 
+# The letters that the contracts lower-case, and the patterns of secrets (their groups as RE2 has them).
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_PLACES = "list_transform(range(1, len(m) + 1), lambda i: CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT))"
+
+
+def _kind(name: str, rank: int, pattern: str, keep: str, value: str = "m[i]") -> str:
+    return f"""SELECT doc_id, source, {rank} AS rank, '{name}' AS kind, s[i] AS a, s[i] + length(m[i]) AS b, {value} AS v FROM (
+        SELECT *, {_PLACES} AS s, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, source, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', 1) AS g, regexp_split_to_array(t, '{pattern}') AS p FROM d)) WHERE {keep}"""
+
+
+_SECRETS = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+    c AS ({_kind("assign", 0, _ASSIGN, "length(g[i]) >= 6", "g[i]")}
+        UNION ALL {_kind("access", 1, "(AKIA[A-Z0-9]{16,})", "TRUE")} UNION ALL {_kind("hex", 2, "([0-9a-f]{24,})", "TRUE")}
+        UNION ALL {_kind("owned", 3, "([A-Za-z0-9_-]{20,})", "regexp_matches(m[i], '[a-z]') AND regexp_matches(m[i], '[A-Z]') AND regexp_matches(m[i], '[0-9]')")}),
+    o AS (SELECT v, count(DISTINCT coalesce(source, ' none')) AS owners, count(DISTINCT (coalesce(source, ' none'), doc_id)) AS repositories FROM c GROUP BY v),
+    l AS (SELECT c.*, NOT (owners >= 5 OR (owners >= 2 AND repositories >= 25)) AS live FROM c JOIN o USING (v)),
+    k AS (SELECT doc_id, rank, a, kind || ':' || a || ':' || b AS s, live FROM l WHERE rank < 3 OR live)
+    SELECT d.doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+        sha256(coalesce(string_agg(s, ',' ORDER BY a, rank) FILTER (rank < 3), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY a, rank), '') AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
+    FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS s FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) g ON g.a = w.doc_id
+    """,
+    "op6_decontamination": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        i AS (SELECT CAST(item_id AS VARCHAR) AS id, regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+        iw AS (SELECT DISTINCT id, k, s FROM (SELECT id, least(10, len(w)) AS k, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda j: array_to_string(w[j:j+least(10, len(w))-1], ' '))) AS s FROM i WHERE len(w) > 0)),
+        dw AS (SELECT doc_id, k, j, array_to_string(w[j:j+k-1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)),
+        h AS (SELECT doc_id, j, dw.k, id FROM dw JOIN iw ON dw.k = iw.k AND dw.s = iw.s),
+        hit AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(j, j + k)) AS pos FROM h) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(DISTINCT id) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM h GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id
+    """,
+    "op10_secret_scans": _SECRETS,
     "op4_warc": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages

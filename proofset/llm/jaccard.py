@@ -3,13 +3,16 @@
 1. Each text becomes the sorted array of its distinct shingle hashes (64 bits), its size and a parity bitmap:
    bit h mod m is flipped by every hash h, so the bits in which two bitmaps differ bound the symmetric difference
    of the sets from below, and with the sizes their overlap from above. Equal texts share one set hash.
-2. Two sets that link share one of the smallest hashes of both (see Rule.prefix for how many suffice), so sets
-   meet in tiles, one for each prefix hash. A set stays in a tile only if its neighbour in order of size is
-   within the size band; tiles then compare bitmaps inside the band. Each tile reports a spanning forest of the
-   pairs that its bitmaps cannot exclude, so its output is linear in its members.
-3. Components of these near pairs hold every link. Only their members' arrays are fetched, once per component,
-   in tiles of size bands and bounded numbers of hashes; there the bitmaps go first and exact intersection of the
-   arrays decides. Pairs that are already connected are skipped. The components of the links are the result.
+2. Two sets that link share one of the smallest hashes of both (the exact prefix, see Rule.prefix), so sets meet
+   under their prefix hashes. A set stays there only if its neighbour in order of size is within the size band.
+   The sets of one hash, in order of size, are cut into parts of `tile_sets`; a tile is one part, or a pair of
+   parts whose sizes are within the band, so a hash that many sets share is compared by many tasks. Tiles compare
+   bitmaps inside the band and report a spanning forest of the pairs that these cannot exclude.
+3. Components of these near pairs hold every link. Only their members' texts are fetched, once per component,
+   into tiles of size bands and bounded numbers of hashes; there the bitmaps go first and exact intersection of the
+   sorted arrays decides. Pairs that are already connected are skipped. The components of the links are the result.
+
+A shingle is known by a hash of 64 bits, a whole set by the 64 bits of another hash and its size.
 
 Defined cases: a null, empty or blank text has no shingles, size 0, and links with nothing; a text of fewer
 words than a shingle is one shingle; a null doc_id takes part but never names a group that has other ids;
@@ -19,7 +22,6 @@ columns are ignored (groups) or kept as they are (deduplication).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,11 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofset.llm.common import slices, table, utf8, written
+from proofset.llm.common import free_name, slices, table, utf8, written
 from proofset.llm.components import components
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-SETS_DDL = "doc_id long, n long, set_hash long, bitmap binary, prefix binary"
+SETS_DDL = "doc_id long, mark long, n long, set_hash long, bitmap binary, prefix binary"
 
 
 @dataclass(frozen=True)
@@ -45,12 +47,9 @@ class Rule:
     den: int = 5
 
     def prefix(self, n: int) -> int:
-        """How many of its smallest hashes a set of n posts. The exact prefix of the threshold, or fewer: any of
-        the q smallest hashes of a pair's union that both hold is among the q smallest of each, and each is held
-        by both with the pair's similarity, so q hashes miss a link with a chance of (1 - threshold) ** q. That is
-        kept below 1e-16, the order of two hashes of 64 bits being equal by chance."""
-        exact = n + self.num * n // -self.den + 1
-        return min(exact, math.ceil(16 / -math.log10(1 - self.num / self.den)))
+        """How many of its smallest hashes a set of n posts: with one fewer left over than a link needs in common,
+        a linked pair must share one of them."""
+        return n + self.num * n // -self.den + 1
 
     def overlap_enough(self, overlap, total):
         """total: sum of both sizes."""
@@ -76,6 +75,10 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return acc[np.flatnonzero(np.concatenate(([True], acc[1:] != acc[:-1])))]
 
 
+def set_hash(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - (1 << 63)
+
+
 def bitmap_words(n: int) -> int:
     """64-bit words of a set's bitmap: about a bit for each member, 64 to 32,768 bits, a power of two."""
     return min(512, max(1, 1 << (max(0, n - 1).bit_length() - 6 if n > 64 else 0)))
@@ -102,22 +105,26 @@ def signatures(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame
         told: set[int] = set()
         for b in slices(batches, "text", 4 << 20):
             rows = []
-            for name, body in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), strict=True):
+            for name, mark, body in zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), utf8(b.column("text")), strict=True):
                 s = shingle_set(body, rule.width)
                 if not len(s):
-                    rows.append((name, 0, None, None, None))
+                    rows.append((name, mark, 0, None, None, None))
                     continue
-                own = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+                own = set_hash(s)
                 new = own not in told
                 told.add(own)
-                rows.append((name, len(s), own, parity_bitmap(s).tobytes() if new else None, s[: rule.prefix(len(s))].tobytes() if new else None))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "n", "set_hash", "bitmap", "prefix"])
+                rows.append((name, mark, len(s), own, parity_bitmap(s).tobytes() if new else None, s[: rule.prefix(len(s))].tobytes() if new else None))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.binary(), pa.binary()), strict=True)], names=["doc_id", "mark", "n", "set_hash", "bitmap", "prefix"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text")).mapInArrow(make, SETS_DDL)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(make, SETS_DDL)
 
+POSTINGS_DDL = "token long, part long, set_hash long, n long"
 
-def banded_postings(sets: DataFrame, rule: Rule) -> DataFrame:
-    """token, set_hash, n: of each prefix hash, the sets that have a different set of their size band there."""
+
+def banded_postings(sets: DataFrame, rule: Rule, tile_sets: int) -> DataFrame:
+    """token, part, set_hash, n: of each prefix hash, the sets that have a different set of their size band there,
+    in parts of tile_sets by size."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,6 +135,17 @@ def banded_postings(sets: DataFrame, rule: Rule) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by token, size, set; only the last row waits for its neighbour."""
         wait, kept = np.zeros((3, 0), np.int64), np.zeros(0, bool)
+        token, before = None, 0  # of the last kept row: its token, and how many rows that has had
+
+        def numbered(out: np.ndarray) -> pa.RecordBatch:
+            nonlocal token, before
+            first = np.flatnonzero(np.concatenate(([True], out[0, 1:] != out[0, :-1])))
+            place = np.arange(out.shape[1]) - np.repeat(first, np.diff(np.append(first, out.shape[1])))
+            if out[0, 0] == token:
+                place[: first[1] if len(first) > 1 else None] += before
+            token, before = out[0, -1], int(place[-1]) + 1
+            return pa.record_batch({"token": out[0], "part": place // tile_sets, "set_hash": out[2], "n": out[1]})
+
         for b in batches:
             rows = np.concatenate([wait, np.stack([b.column(c).to_numpy() for c in ("token", "n", "set_hash")])], 1)
             flag = np.concatenate([kept, np.zeros(b.num_rows, bool)])
@@ -139,13 +157,23 @@ def banded_postings(sets: DataFrame, rule: Rule) -> DataFrame:
             wait, kept = rows[:, -1:], flag[-1:]
             out = rows[:, :-1][:, flag[:-1]]
             if out.shape[1]:
-                yield pa.record_batch({"token": out[0], "set_hash": out[2], "n": out[1]})
-        out = wait[:, kept]
-        yield pa.record_batch({"token": out[0], "set_hash": out[2], "n": out[1]})
+                yield numbered(out)
+        if kept.any():
+            yield numbered(wait)
 
-    ddl = "token long, set_hash long, n long"
-    posted = sets.filter("prefix is not null").select("set_hash", "n", "prefix").mapInArrow(post, ddl)
-    return posted.repartition("token").sortWithinPartitions("token", "n", "set_hash").mapInArrow(keep, ddl)
+    posted = sets.filter("prefix is not null").select("set_hash", "n", "prefix").mapInArrow(post, "token long, set_hash long, n long")
+    return posted.repartition("token").sortWithinPartitions("token", "n", "set_hash").mapInArrow(keep, POSTINGS_DDL)
+
+
+def tiles_of(postings: DataFrame, rule: Rule) -> DataFrame:
+    """token, a, b, part, set_hash, n: each part by itself (a = b), and pairs of parts of one token within the band."""
+    parts = postings.groupBy("token", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    many = parts.join(parts.filter("part = 1").select("token"), "token", "left_semi")
+    left, right = many.select("token", F.col("part").alias("a"), "high"), many.select("token", F.col("part").alias("b"), "low")
+    pairs = left.join(right, "token").filter((F.col("a") < F.col("b")) & (F.col("high") * rule.den >= F.col("low") * rule.num))
+    both = pairs.select("token", "a", "b", F.explode(F.array("a", "b")).alias("part"))
+    own = postings.select("token", F.col("part").alias("a"), F.col("part").alias("b"), "part", "set_hash", "n")
+    return own.unionByName(postings.join(both, ["token", "part"]).select("token", "a", "b", "part", "set_hash", "n"))
 
 
 class Forest:
@@ -174,16 +202,20 @@ class Forest:
         return at, self.label[at]
 
 
-def near_rows(n: np.ndarray, bits: list[np.ndarray], rule: Rule, forest: Forest, block: int = 128, wide: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_rows(n: np.ndarray, bits: list[np.ndarray], rule: Rule, forest: Forest, cross: int = 0, block: int = 128, wide: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i < j in order of size, n ascending) inside the size band that the bitmaps cannot exclude and that
-    are not connected yet, in arrays, block by block."""
+    are not connected yet, in arrays, block by block. With cross, only pairs of the first so many with the others."""
     words = np.array([len(x) for x in bits])
     ends = np.searchsorted(n, rule.den * n // rule.num, side="right")
-    for i0 in range(0, len(n), block):
-        i1 = min(len(n), i0 + block)
+    last, i1 = cross or len(n), 0
+    while i1 < last:
+        i0 = i1
         w = int(words[i0])
+        i1 = min(last, i0 + block, int(np.searchsorted(words, w, side="right")))  # bitmaps are only folded to the width of the smaller set
+        if (forest.label[i0:] == forest.label[i0]).all():
+            continue
         mine = np.concatenate([folded(x[None], w) for x in bits[i0:i1]])
-        for j0 in range(i0, int(ends[i1 - 1]), wide):
+        for j0 in range(max(i0, cross), int(ends[i1 - 1]), wide):
             j1 = min(int(ends[i1 - 1]), j0 + wide)
             other = np.concatenate([folded(x[None], w) for x in bits[j0:j1]])
             differ = np.zeros((i1 - i0, j1 - j0), np.int32)
@@ -200,21 +232,23 @@ def near_rows(n: np.ndarray, bits: list[np.ndarray], rule: Rule, forest: Forest,
 def near_edges(postings: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """a, b: spanning forests, tile by tile, of the pairs that bitmaps cannot exclude."""
     bitmaps = sets.filter("bitmap is not null").groupBy("set_hash").agg(F.first("bitmap").alias("bitmap"))
-    tiles = postings.join(bitmaps, "set_hash").select("token", "n", "set_hash", "bitmap")
+    tiles = tiles_of(postings, rule).join(bitmaps.hint("merge"), "set_hash").select("token", "a", "b", "part", "n", "set_hash", "bitmap")
 
-    def small(rows: list[np.ndarray], bits: list[bytes], bounds: np.ndarray, done: set) -> Iterator[tuple[int, int]]:
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if b - a < 2:
+    def tile_edges(t: pa.Table, bounds: np.ndarray, done: set) -> Iterator[tuple[int, int]]:
+        n, own, part, a_col = (t.column(c).to_numpy() for c in ("n", "set_hash", "part", "a"))
+        b_col, bits = t.column("b").to_numpy(), t.column("bitmap")
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if y - x < 2:
                 continue
-            names = rows[1][a:b]
-            key = names.tobytes()
+            cross = int((part[x:y] == a_col[x]).sum()) if a_col[x] < b_col[x] else 0
+            names = own[x:y]
+            key = hash((cross, names.tobytes()))
             if key in done:  # the same sets met in an earlier tile of this task
                 continue
             if len(done) < 200_000:
                 done.add(key)
-            n, own = rows[0][a:b], [np.frombuffer(x, np.uint64) for x in bits[a:b]]
-            forest = Forest(b - a)
-            for i, j in near_rows(n, own, rule, forest):
+            forest = Forest(y - x)
+            for i, j in near_rows(n[x:y], [np.frombuffer(v, np.uint64) for v in bits[x:y].to_pylist()], rule, forest, cross):
                 forest.join(i, j)
             for i, j in zip(*forest.edges(), strict=True):
                 yield int(names[i]), int(names[j])
@@ -223,29 +257,28 @@ def near_edges(postings: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         done: set = set()
         told: set = set()
         held: list[pa.RecordBatch] = []
+        key = ("token", "a", "b")
         for b in _and_none(batches):
             if b is not None:
                 held.append(b)
-                t = b.column("token")
-                if t[0].as_py() == t[b.num_rows - 1].as_py():
+                if all(held[0].column(c)[0] == b.column(c)[b.num_rows - 1] for c in key):
                     continue  # one tile goes on
             if not held:
                 break
             t = pa.Table.from_batches(held).combine_chunks()
-            token = t.column("token").to_numpy()
-            cut = len(token) if b is None else int(np.searchsorted(token, token[-1]))
-            rows = [t.column("n").to_numpy()[:cut], t.column("set_hash").to_numpy()[:cut]]
-            bounds = np.append(np.flatnonzero(np.diff(token[:cut], prepend=token[0] - 1 if cut else 0)), cut) if cut else np.zeros(1, np.int64)
-            out = [e for e in small(rows, t.column("bitmap")[:cut].to_pylist(), bounds, done) if e not in told]
+            rows = np.stack([t.column(c).to_numpy() for c in key])
+            starts = np.flatnonzero(np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(0))))
+            bounds = np.append(starts, len(t)) if b is None else starts
+            out = [e for e in tile_edges(t, bounds, done) if e not in told]
             if len(told) < 1_000_000:
                 told.update(out)
             out = list(dict.fromkeys(out))
             yield pa.record_batch({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-            held = [] if b is None else t.slice(cut).to_batches()
+            held = [] if b is None else t.slice(int(bounds[-1])).to_batches()
             if b is None:
                 break
 
-    return tiles.repartition("token").sortWithinPartitions("token", "n", "set_hash").mapInArrow(compare, "a long, b long")
+    return tiles.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "part", "n", "set_hash").mapInArrow(compare, "a long, b long")
 
 
 def _and_none(batches):
@@ -278,26 +311,20 @@ def exact_edges(docs: DataFrame, sets: DataFrame, near: DataFrame, rule: Rule, d
     sized = sets.filter("set_hash is not null").groupBy("set_hash").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"))
     members = near.select(F.col("node").alias("set_hash"), "component").join(sized, "set_hash")
     plan = tile_plan(members.select("set_hash", "component", "n"), rule, tile_hashes).join(members.select("set_hash", "rep"), "set_hash")
-    bodies = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    wanted = bodies.join(plan.select("rep", "set_hash", "tiles"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("set_hash", "tiles", "text")
-
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4 << 20):
-            out = []
-            for own, body in zip(b.column("set_hash").to_pylist(), utf8(b.column("text")), strict=True):
-                s = shingle_set(body, rule.width)
-                out.append(s.tobytes() if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) == own else None)  # another text under the same id: not it
-            yield pa.record_batch([b.column("set_hash"), b.column("tiles"), pa.array(out, pa.binary())], names=["set_hash", "tiles", "hashes"])
-
-    found = wanted.mapInArrow(arrays, "set_hash long, tiles array<string>, hashes binary").filter("hashes is not null")
-    return found.select("set_hash", "hashes", F.explode("tiles").alias("tile")).groupBy("tile").applyInArrow(lambda t: verified(t, rule), "a long, b long")
+    bodies = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text is not null")
+    wanted = bodies.join(plan.select("rep", "set_hash", "tiles"), F.col("doc_id").eqNullSafe(F.col("rep")))
+    return wanted.select("set_hash", "text", F.explode("tiles").alias("tile")).groupBy("tile").applyInArrow(lambda t: verified(t, rule), "a long, b long")
 
 
 def verified(t: pa.Table, rule: Rule) -> pa.Table:
-    """One tile: exact links among its sets, as a spanning forest."""
+    """One tile (set_hash, text): exact links among its sets, as a spanning forest."""
     own: dict[int, np.ndarray] = {}
-    for k, x in zip(t.column("set_hash").to_pylist(), t.column("hashes").to_pylist(), strict=True):
-        own[k] = np.frombuffer(x, np.uint64)
+    for piece in t.to_batches(max_chunksize=64):  # few texts at a time as Python objects
+        for k, body in zip(piece.column("set_hash").to_pylist(), utf8(piece.column("text")), strict=True):
+            if k not in own and len(s := shingle_set(body, rule.width)) and set_hash(s) == k:  # else another text under the same id: not it
+                own[k] = s
+    if not own:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     names = sorted(own, key=lambda k: (len(own[k]), k))
     sets = [own[k] for k in names]
     n = np.array([len(s) for s in sets], np.int64)
@@ -323,31 +350,32 @@ def verified(t: pa.Table, rule: Rule) -> pa.Table:
     return pa.table({"a": keys[i], "b": keys[j]})
 
 
-def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text", salts: int = 8) -> DataFrame:
-    """doc_id, n_shingles, set_hash (null without shingles), component_id: the smallest doc_id of its group."""
+def similar_groups(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text", salts: int = 8, tile_sets: int = 4096) -> DataFrame:
+    """doc_id, mark (hash of the text), n_shingles, group (null without shingles; one number for each group),
+    component_id: the smallest doc_id of the group."""
     sets = written(signatures(docs, rule, doc_id, text), "shingle-sets")
-    postings = banded_postings(sets, rule)
+    postings = written(banded_postings(sets, rule, tile_sets), "shingle-postings")
     near = components(near_edges(postings, sets, rule))
     links = components(exact_edges(docs, sets, near, rule, doc_id, text))
     by_set = sets.filter("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     labelled = by_set.join(links.withColumnRenamed("node", "set_hash"), "set_hash", "left").filter("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "set_hash"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = labelled.join(least, "component").select("set_hash", "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "set_hash").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    return rows.join(named, ["set_hash", "salt"], "left").select("doc_id", "n_shingles", "set_hash", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = labelled.join(least, "component").select("set_hash", "component", "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    rows = sets.select("doc_id", "mark", F.col("n").alias("n_shingles"), "set_hash").withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(salts)))
+    return rows.join(named, ["set_hash", "salt"], "left").select("doc_id", "mark", "n_shingles", F.coalesce("component", "set_hash").alias("group"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group: the one with the smallest id (of repeated rows, one). Documents
-    without words stay, as they link with nothing."""
-    groups = similar_groups(docs, rule, doc_id, text)
+    """docs with one row of each group: the one with the smallest id (null ids come last; of two texts under one id,
+    either). Documents without words stay, as they link with nothing. Same columns, whatever their names."""
     blank = F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    stay = groups.filter(F.col("set_hash").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = docs.filter(~blank).join(stay, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")))
-    once = kept.filter("_rows = 1").select(*docs.columns)
-    repeated = kept.filter("_rows > 1").select(*docs.columns).dropDuplicates([doc_id, text])  # only ids that stand on several rows
-    kept = once.unionByName(repeated)
-    return docs.filter(blank).unionByName(kept)
+    first = similar_groups(docs, rule, doc_id, text).filter("group is not null").groupBy("group", "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows")).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "mark", "rows")).alias("first"))
+    names = [free_name(docs.columns, n) for n in ("kept_id", "kept_mark", "kept_rows")]
+    stay = first.select(*[F.col(f"first.{c}").alias(n) for c, n in zip(("doc_id", "mark", "rows"), names, strict=True)])
+    kept = docs.filter(~blank).join(stay.hint("merge"), F.col(doc_id).cast("long").eqNullSafe(F.col(names[0])) & (F.xxhash64(F.col(text)) == F.col(names[1])))
+    once = kept.filter(F.col(names[2]) == 1).select(*docs.columns)
+    repeated = kept.filter(F.col(names[2]) > 1).select(*docs.columns).dropDuplicates([doc_id, text])  # only rows that stand several times
+    return docs.filter(blank).unionByName(once).unionByName(repeated)
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,7 +120,7 @@ class WordTokenizer:
         self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
     @classmethod
-    def of(cls, file: str, most_words: int = 600_000) -> WordTokenizer:
+    def of(cls, file: str, most_words: int = 900_000) -> WordTokenizer:
         """One for each worker process, which keeps its memory of words from task to task."""
         if file not in cls._made:
             cls._made[file] = cls(file, most_words)
@@ -277,23 +278,30 @@ def _id_type(tok: WordTokenizer) -> str:
     return "<u2" if tok.tok.get_vocab_size() <= 1 << 16 else "<u4"
 
 
+def flat_ids(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a binary column, and where each row's end."""
+    sizes = pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // int(kind[2])
+    return np.frombuffer(b"".join(column.to_pylist()), kind), np.cumsum(sizes)
+
+
 def corpus_statistics(tokens: DataFrame, width: int, vocab: int) -> tuple[np.ndarray, int, int]:
     """Document frequency by id, documents and tokens, over all documents. The result has one row per
     vocabulary entry at most, whatever the corpus."""
     kind = f"<u{width}"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, seen, docs, total = np.zeros(vocab, np.int64), np.zeros(vocab, bool), 0, 0
-        for b in batches:
-            for raw in b.column("ids").to_pylist():
-                ids = np.frombuffer(raw, kind)
-                docs, total = docs + 1, total + len(ids)
-                if len(ids) < 4096:
-                    df[np.unique(ids)] += 1
-                else:
-                    seen[ids] = True
-                    df += seen
-                    seen[ids] = False
+        df, docs, total = np.zeros(vocab, np.int64), 0, 0
+        for b in slices(batches, "ids", 1 << 20):
+            ids, ends = flat_ids(b.column("ids"), kind)
+            for at in range(0, len(ends), 1 << 16):  # a document's place and an id make a key of 32 bits
+                part = np.diff(ends[at : at + (1 << 16)], prepend=ends[at - 1] if at else 0)
+                own = ids[ends[at] - part[0] : ends[min(len(ends), at + (1 << 16)) - 1]]
+                wide = np.uint32 if vocab <= 1 << 16 else np.uint64
+                key = np.repeat(np.arange(len(part), dtype=wide) << wide(16 if wide is np.uint32 else 32), part) | own
+                key.sort()
+                first = key[np.flatnonzero(np.diff(key, prepend=~key[:1]))] & wide((1 << (16 if wide is np.uint32 else 32)) - 1)
+                df += np.bincount(first.astype(np.int64), minlength=vocab)
+            docs, total = docs + len(ends), total + len(ids)
         at = np.flatnonzero(df)
         yield pa.record_batch({"id": pa.array(np.concatenate((at, [-1, -2]))), "n": pa.array(np.concatenate((df[at], [docs, total])))})
 
@@ -413,27 +421,23 @@ def dealt(tokens: DataFrame, kind: str, idf, mean_length: float, n_docs: int, n_
     tree = Cells(x, sizes * (n_tokens / max(1.0, sizes.sum())), most)
     cells = spark.sparkContext.broadcast(tree)  # two centres for each cell
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells.value.cells, np.int64)
-        for b in slices(batches, "ids", 2 << 20):
-            x, sizes = vectors(b)
-            np.add.at(total, cells.value.of(x), sizes)
-        yield pa.record_batch([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["cell", "n"])
-
-    found = np.array([n_tokens], np.int64)
-    if tree.cells > 1:
-        found = np.zeros(tree.cells, np.int64)
-        for r in tokens.select("ids").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-            found[r.cell] = r.n
-    first, parts = shards_of_cells(found, most)
+    if tree.cells == 1:
+        first, parts = shards_of_cells(np.array([n_tokens], np.int64), most)
+        return tokens.select("doc_id", (F.pmod(mark, F.lit(int(parts[0])))).cast("int").alias("shard"), "ids")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "ids", 2 << 20):
-            cell = cells.value.of(vectors(b)[0]) if cells.value.cells > 1 else np.zeros(b.num_rows, np.int64)
-            shard = first[cell] + b.column("mark").to_numpy() % parts[cell]
-            yield pa.record_batch([b.column("doc_id"), pa.array(shard.astype(np.int32)), b.column("ids")], names=["doc_id", "shard", "ids"])
-
-    return tokens.select("doc_id", "ids", mark.alias("mark")).mapInArrow(deal, "doc_id long, shard int, ids binary")
+            cell = cells.value.of(vectors(b)[0]).astype(np.int32)
+            yield pa.record_batch([b.column("doc_id"), pa.array(cell), b.column("ids")], names=["doc_id", "cell", "ids"])
+
+    # written, because the sizes of all cells decide about shards: directions are taken once for each document
+    rows = written(tokens.select("doc_id", "ids").mapInArrow(celled, "doc_id long, cell int, ids binary"), "token-cells")
+    found = np.zeros(tree.cells, np.int64)
+    for r in rows.groupBy("cell").agg(F.sum(F.octet_length("ids")).alias("n")).collect():  # one row a cell
+        found[r.cell] = r.n // int(kind[2])
+    first, parts = shards_of_cells(found, most)
+    of_cell = lambda x: F.element_at(F.array(*[F.lit(int(v)) for v in x]), F.col("cell") + 1)
+    return rows.select("doc_id", (of_cell(first) + F.pmod(mark, of_cell(parts))).cast("int").alias("shard"), "ids")
 
 
 def bm25(idf: np.ndarray, tf: np.ndarray, length: np.ndarray, mean_length: float, k1: float = 1.2, b: float = 0.75) -> np.ndarray:

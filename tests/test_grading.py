@@ -86,3 +86,8 @@ def test_set_checks(spark):
     assert got[("t", 2.0)] == [] and got[("s", 9.0)] == []
     notes = {r.set_id: r.set_note for r in sets.set_note(sets.set_medians(photos)).collect()}
     assert notes == {"s": "backdrop brightness varies a lot across the set (100-150 of 255): shoot everyone in one spot", "t": None}
+
+
+def test_a_sharpness_that_is_no_number_is_looked_at(spark):
+    m = spark.createDataFrame([(1600, 2000, True, 0, 1, x) for x in (float("nan"), 0.6, 0.59, None)], "width int, height int, srgb boolean, metadata_tags int, face int, eye_sharpness double")
+    assert [r.grade for r in g.judge(m).collect()] == ["REVIEW", "PASS", "REVIEW", "PASS"]

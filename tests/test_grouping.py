@@ -1,102 +1,143 @@
+"""Photos as directions in a plane, given by an angle: two photos are as alike as the cosine of the angle between."""
+
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from proofset.operators import grouping as gr
+from proofset.operators import sets
+from proofset.plans import passes
 
+PRINTS = "set_id string, photo_id long, name string, vec array<double>, detect_threshold double"
 
-def blocks(sizes, within=0.85, between=0.15, seed=1):
-    rng = np.random.default_rng(seed)
-    who = np.repeat(np.arange(len(sizes)), sizes)
-    s = np.where(who[:, None] == who[None], within, between) + rng.normal(0, 0.01, (len(who), len(who)))
-    s = (s + s.T) / 2
-    np.fill_diagonal(s, 1)
-    return s, who
 
+def likeness(degrees):
+    a = np.radians(np.array(degrees, float))
+    return np.cos(a[:, None] - a[None])
 
-def groups_at(sim, cut):
-    slot = np.arange(len(sim))
-    for i, j, h in gr.merge_history(sim):
-        if h < cut:
+
+def at_cut(sim, cut):
+    owner = list(range(len(sim)))
+    for keep, gone, height in gr.merge_history(sim):
+        if height < cut:
             break
-        slot[slot == j] = i
-    return slot
+        owner = [keep if o == gone else o for o in owner]
+    return owner
 
 
-def plain(sim, cut):
-    """Average linkage, all means taken anew for every merge."""
-    groups = [[i] for i in range(len(sim))]
-    while len(groups) > 1:
-        best = max(((sim[np.ix_(a, b)].mean(), -i, -j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j))
-        if best[0] < cut:
-            break
-        i, j = -best[1], -best[2]
-        groups[i] = groups[i] + groups.pop(j)
-    return sorted(sorted(g) for g in groups)
+def by_definition(sim, cut):
+    """The owner of each photo: the two groups with the highest mean likeness join, while it is at least the cut."""
+    owner = list(range(len(sim)))
+    while True:
+        names = sorted(set(owner))
+        rows = {n: [k for k, o in enumerate(owner) if o == n] for n in names}
+        ranked = sorted((-sim[np.ix_(rows[x], rows[y])].mean(), x, y) for x in names for y in names if x < y)
+        if not ranked or -ranked[0][0] < cut:
+            return owner
+        _, x, y = ranked[0]
+        owner = [x if o == y else o for o in owner]
 
 
-@pytest.mark.parametrize("sizes", [[7, 5, 3, 9], [6, 1, 6], [4, 4, 4, 2, 8]])
-def test_planted_people_are_found(sizes):
-    sim, who = blocks(sizes)
-    slot = groups_at(sim, 0.5)
-    assert sorted(np.unique(slot, return_counts=True)[1]) == sorted(sizes)
-    assert all(len(set(who[slot == s])) == 1 for s in set(slot))
+@pytest.mark.parametrize("seed", range(6))
+def test_history_answers_every_cut(seed):
+    rng = np.random.default_rng(seed)
+    sim = likeness(rng.uniform(0, 180, 17))
+    for cut in (-0.9, 0.1, 0.45, 0.8, 0.97, 0.9999):
+        assert at_cut(sim, cut) == by_definition(sim, cut)
 
 
-def test_history_equals_plain_clustering_at_every_cut():
-    rng = np.random.default_rng(3)
-    v = rng.normal(size=(40, 6))
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    sim = v @ v.T
-    for cut in (0.2, 0.35, 0.5, 0.7, 0.9):
-        slot = groups_at(sim, cut)
-        assert sorted(sorted(np.flatnonzero(slot == s).tolist()) for s in set(slot)) == plain(sim, cut)
+def test_three_fans_of_photos():
+    fans = [3.0, 4.5, 1.0, 62.0, 60.5, 121.0, 119.0, 122.5, 118.0, 120.0]
+    sim = likeness(fans)
+    assert len(set(at_cut(sim, math.cos(math.radians(30))))) == 3
+    assert len(set(at_cut(sim, -1.0))) == 1 and at_cut(sim, 1.1) == list(range(10))
+    assert gr.merge_history(sim[:1, :1]) == [] == gr.merge_history(sim[:0, :0])
 
 
-def test_cuts_and_chaining():
-    sim, _ = blocks([5, 5], 0.8, 0.4)
-    assert [len(set(groups_at(sim, c))) for c in (0.3, 0.6, 0.95)] == [1, 2, 10]
-    sim, _ = blocks([5, 5])
-    sim[0, 5] = sim[5, 0] = 0.72
-    assert len(set(groups_at(sim, 0.5))) == 2
-    assert gr.merge_history(np.zeros((0, 0))) == []
+def test_no_chain_of_small_steps():
+    """Steps of 20 degrees: neighbours are alike, the ends are not, and means keep them apart."""
+    owner = at_cut(likeness([0, 20, 40, 60, 80, 100]), math.cos(math.radians(35)))
+    assert owner == by_definition(likeness([0, 20, 40, 60, 80, 100]), math.cos(math.radians(35))) and len(set(owner)) > 1
 
 
-def test_plateau(spark):
-    counts = [2, 3, 4, 4, 5] + [7] * 20 + [9, 11]
-    rows = spark.createDataFrame([("s", round(0.30 + k / 100, 2), n) for k, n in enumerate(counts)], "set_id string, cut double, students int")
-    p = gr.plateau(rows).first()
-    assert (p.students, p.low, p.high, p.middle) == (7, 0.35, 0.54, 0.45)
+def test_plateau_takes_the_later_of_equal_runs(spark):
+    ladder = [(0.25, 1), (0.31, 3), (0.32, 3), (0.33, 3), (0.34, 5), (0.35, 8), (0.36, 8), (0.37, 8), (0.79, 8), (0.80, 8)]
+    rows = spark.createDataFrame([("a", c, n) for c, n in ladder] + [("b", 0.1, 2)], "set_id string, cut double, students int")
+    found = {r.set_id: r for r in gr.plateau(rows).collect()}
+    assert set(found) == {"a"} and (found["a"].students, found["a"].low, found["a"].high, found["a"].middle) == (8, 0.35, 0.37, 0.36)
+    cuts = {r.set_id: r.cut for r in gr.operating_cut(rows, gr.plateau(rows)).collect()}
+    assert cuts == {"a": 0.36, "b": gr.PAIR_LINE}
+    marked = [(r.cut, r.marked) for r in gr.change_points(rows.filter("set_id = 'a'")).orderBy("cut").collect()]
+    assert marked == [(0.25, False), (0.31, False), (0.34, False), (0.35, False), (0.36, True)]
 
 
-def planted(spark, sizes, sets=2, dim=32):
-    rng = np.random.default_rng(0)
+def fans(spark, spread=1.5, sets=("x", "y")):
+    rng = np.random.default_rng(21)
     rows = []
-    for s in range(sets):
-        for person, n in enumerate(sizes):
-            c = rng.normal(size=dim)
-            rows += [(f"s{s}", len(rows) + k, f"IMG_{len(rows) + k:04d}.jpg", (c + rng.normal(0, 0.25, dim)).tolist(), 0.9, person) for k in range(n)]
-    rows.append(("s0", 9000, "x.jpg", None, None, -1))
-    rows.append(("s0", 9001, "y.jpg", [0.0] * dim, 0.9, -1))
-    return spark.createDataFrame(rows, "set_id string, photo_id long, name string, vec array<double>, detect_threshold double, person int")
-
-
-def test_a_set_from_vectors_to_groups(spark):
-    prints = planted(spark, [6, 4, 5])
-    kept, skipped, _ = gr.intake(prints)
-    assert sorted((r.name, r.reason) for r in skipped.collect()) == [("x.jpg", "unreadable"), ("y.jpg", "empty fingerprint")]
-    history = gr.histories(kept)
-    counts = gr.sweep(history, kept)
-    assert counts.count() == 2 * 71
-    cut = gr.operating_cut(kept, gr.plateau(counts))
-    got = gr.assign(history, kept, cut).join(kept, ["set_id", "idx"]).groupBy("set_id", "group_no").agg(F.countDistinct("person").alias("p"), F.count(F.lit(1)).alias("n")).collect()
-    assert all(r.p == 1 for r in got) and sorted(r.n for r in got) == [4, 4, 5, 5, 6, 6]
-    large = gr.assign_large(kept, 0.5).groupBy("set_id", "group_no").count().collect()
-    assert sorted(r["count"] for r in large) == [4, 4, 5, 5, 6, 6]
-
-
-def test_blocked_pairs_equal_the_plain_join(spark):
-    kept, _, _ = gr.intake(planted(spark, [3, 4]))
-    a = {(r.set_id, r.i, r.j): r.sim for r in gr.pairs(kept).collect()}
-    b = {(r.set_id, r.i, r.j): r.sim for r in gr.pair_blocks(kept, block=3).collect()}
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+    for s in sets:
+        for person, (middle, n) in enumerate([(10, 4), (100, 3), (190, 5), (280, 2)]):
+            for _ in range(n):
+                a = math.radians(middle + rng.uniform(-spread, spread))
+                k = len(rows)
+                rows.append((s, k, f"A{k:03d}_{person}.jpg", [7 * math.cos(a), 7 * math.sin(a)], 0.5 if k % 6 == 0 else 0.9))
+    rows += [("x", 500, "dark.jpg", None, None), ("x", 501, "flat.jpg", [0.0, 0.0], 0.9), ("y", 502, "empty.jpg", [1.0, 1.0], None)]
+    return spark.createDataFrame(rows, PRINTS)
+
+
+def test_a_whole_pass_groups_every_set(spark):
+    report = spark.createDataFrame([("x", "A000_0.jpg", "raw0", "FAIL", ["soft"], 0.9, 1.0)], "set_id string, output string, source string, grade string, reasons array<string>, eye_sharpness double, head_size double")
+    got = passes.analyze_sets(fans(spark), report)
+    members = got.members.collect()
+    groups = {(r.set_id, r.group_no): set() for r in members}
+    for r in members:
+        groups[r.set_id, r.group_no].add(r.name[-5])
+    assert len(members) == 28 and len(groups) == 8 and all(len(v) == 1 for v in groups.values())
+    assert sum(r.pick for r in members) == 8 and not next(r.pick for r in members if r.name == "A000_0.jpg") and all(r.fit > 0.99 for r in members)
+    text = [r.line for r in got.lines.orderBy("set_id", "section", "ordinal").collect() if r.set_id == "x"]
+    assert text[0] == "4 students across 14 photos"
+    assert sum("unreadable" in t or "empty fingerprint" in t for t in text) == 2 and sum("found only at 0.5" in t for t in text) == 3
+    nested = {r.set_id: r for r in got.result.collect()}
+    assert [len(g.photos) for g in nested["y"].groups] == [4, 3, 5, 2] and len(nested["y"].sweep) == 71
+
+
+def test_large_sets_by_components_give_the_same_groups(spark):
+    kept, _, _ = gr.intake(fans(spark))
+    cut = 0.8
+    small = gr.assign(gr.histories(kept), kept, kept.select("set_id").distinct().withColumn("cut", F.lit(cut)))
+    large = gr.assign_large(kept, cut, most=6)
+    key = lambda df: sorted((r.set_id, r.idx, r.group_no) for r in df.collect())
+    assert key(small) == key(large)
+    with pytest.raises(Exception, match="more than 6"):
+        gr.histories(kept, most=6).collect()
+
+
+def test_pairs_of_blocks_are_all_pairs(spark):
+    kept, skipped, weak = gr.intake(fans(spark))
+    assert {(r.name, r.reason) for r in skipped.collect()} == {("dark.jpg", "unreadable"), ("flat.jpg", "empty fingerprint"), ("empty.jpg", "no face found")} and weak.count() == 5
+    for floor in (None, 0.5):
+        want = {(r.set_id, r.i, r.j): r.sim for r in gr.pairs(kept, floor).collect()}
+        got = {(r.set_id, r.i, r.j): r.sim for r in gr.pair_blocks(kept, floor, block=4).collect()}
+        assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-12 for k in want)
+
+
+def test_separation_has_a_row_for_every_set(spark):
+    kept, _, _ = gr.intake(fans(spark, sets=("x", "y", "z")))
+    groups = kept.withColumn("group_no", F.when(F.col("set_id") == "x", F.col("idx")).when(F.col("set_id") == "y", 1).otherwise(F.col("idx") % 2))
+    rows = gr.pair_blocks(kept)
+    got = {r.set_id: r for r in gr.separation(gr.weakest_inside(rows, groups), gr.group_pairs(rows, groups)).collect()}
+    assert got["x"].weakest is None and got["x"].closest is not None and got["x"].gap is None and got["x"].verdict is None
+    assert got["y"].closest is None and got["y"].n_pairs == 0 and got["z"].gap < 0
+
+
+def test_sheets_and_broken_runs(spark):
+    rows = [("s", k, f"n{k:02d}", 1 if k < 15 and k != 4 else 2 + k // 10) for k in range(40)]
+    members = spark.createDataFrame(rows, "set_id string, idx long, name string, group_no long")
+    got = {r.group_no: r for r in sets.sheets(members, groups=2).collect()}
+    assert (got[1].sheet, got[1].row, len(got[1].shown), got[1].more) == (1, 1, 12, "+2") and got[2].more == "" and (got[4].sheet, got[4].row) == (2, 2)
+    broken = {r.group_no: r.skipping for r in gr.broken_runs(members).collect()}
+    assert broken == {1: "n04"}
+    many = spark.createDataFrame([("s", k, f"n{k:03d}", k % 30) for k in range(90)], "set_id string, idx long, name string, group_no long")
+    shown = gr.broken_runs(many).collect()
+    assert len(shown) == 20 and all(r.skipping.endswith(" ...") and r.skipping.count(",") == 5 for r in shown)

@@ -65,3 +65,11 @@ def test_sidecars(spark):
     good = pack(json.dumps({"adjustments": [{"identifier": "Crop"}, {"identifier": "Odd"}, {"enabled": True}, {"identifier": "Effect", "enabled": False}]}).encode())
     files = spark.createDataFrame([("a", good), ("b", b"broken")], "path string, content binary")
     assert {r.path: r.edits for r in inv.sidecar_edits(files).collect()} == {"a": ["crop", "Odd", "edit"], "b": ["unknown edits"]}
+
+
+def test_named_framings(spark):
+    flags = spark.createDataFrame([("a", None, "close"), ("b", 0.9, "wide"), ("c", None, "other"), ("d", None, None)], "set_id string, zoom double, preset string")
+    for c, kind in (("ratio", "string"), ("width", "int"), ("eye_line", "double"), ("finish", "boolean"), ("bw", "boolean")):
+        flags = flags.withColumn(c, F.lit(None).cast(kind))
+    saved = spark.createDataFrame([], "set_id string, ratio double, width int, zoom double, eye_line double, finish boolean, bw boolean")
+    assert {r.set_id: r.zoom for r in inv.resolve_settings(flags, saved).collect()} == {"a": 1.15, "b": 0.9, "c": 1.0, "d": 1.0}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from proofset.functions.paths import shot_number
+from proofset.session import computed_once
 
 LOW, HIGH, STEP = 0.20, 0.90, 0.01
 STABLE = (0.30, 0.78)
@@ -50,27 +51,69 @@ def pairs(kept: DataFrame, floor: float | None = None) -> DataFrame:
     return out if floor is None else out.filter(F.col("sim") >= floor)
 
 
-def pair_blocks(kept: DataFrame, floor: float | None = None, block: int = 1024) -> DataFrame:
-    """What pairs() returns, by matrix products over blocks of a set; a task holds two blocks."""
+def _tiles(kept: DataFrame, block: int, *more: str) -> DataFrame:
+    """Rows of (set_id, idx, vec, ...) dealt to pairs of blocks (lo, hi) of their set; _p is a row's own block."""
     parts = kept.groupBy("set_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_parts"))
-    rows = kept.select("set_id", "idx", "vec").join(parts, "set_id").withColumn("_p", F.floor(F.col("idx") / block).cast("int"))
+    rows = kept.select("set_id", "idx", "vec", *more).join(parts, "set_id").withColumn("_p", F.floor(F.col("idx") / block).cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda q: F.struct(F.least("_p", q).alias("lo"), F.greatest("_p", q).alias("hi")))
-    dealt = rows.select("set_id", "idx", "vec", "_p", F.explode(F.array_distinct(tiles)).alias("t")).select("set_id", "idx", "vec", "_p", "t.lo", "t.hi")
+    return rows.select("set_id", "idx", "vec", *more, "_p", F.explode(F.array_distinct(tiles)).alias("t")).select("set_id", "idx", "vec", *more, "_p", "t.lo", "t.hi")
+
+
+def _vectors(t: pa.Table) -> np.ndarray:
+    return t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+
+
+def _product(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tile in order of idx, its rows of block lo and of block hi, their similarities, and which are pairs i < j."""
+    t = t.sort_by("idx")
+    p, idx, v = t.column("_p").to_numpy(), t.column("idx").to_numpy(), _vectors(t)
+    a, b = np.flatnonzero(p == t.column("lo")[0].as_py()), np.flatnonzero(p == t.column("hi")[0].as_py())
+    return t, a, b, np.clip(v[a] @ v[b].T, -1, 1), idx[a][:, None] < idx[b][None]
+
+
+def _of_set(t: pa.Table, n: int) -> pa.Array:
+    return pa.array([t.column("set_id")[0].as_py()] * n, t.schema.field("set_id").type)
+
+
+def pair_blocks(kept: DataFrame, floor: float | None = None, block: int = 1024) -> DataFrame:
+    """What pairs() returns, by matrix products over blocks of a set; a task holds two blocks."""
 
     def product(t: pa.Table) -> pa.Table:
-        p, idx = t.column("_p").to_numpy(), t.column("idx").to_numpy()
-        v = np.array(t.column("vec").to_pylist(), float)
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        a, b = np.flatnonzero(p == lo), np.flatnonzero(p == hi)
-        sim = np.clip(v[a] @ v[b].T, -1, 1)
-        keep = idx[a][:, None] < idx[b][None]
-        if floor is not None:
-            keep &= sim >= floor
-        i, j = np.nonzero(keep)
-        return pa.table({"set_id": pa.array([t.column("set_id")[0].as_py()] * len(i), t.schema.field("set_id").type), "i": idx[a][i], "j": idx[b][j], "sim": sim[i, j]})
+        t, a, b, sim, keep = _product(t)
+        idx = t.column("idx").to_numpy()
+        i, j = np.nonzero(keep if floor is None else keep & (sim >= floor))
+        return pa.table({"set_id": _of_set(t, len(i)), "i": idx[a][i], "j": idx[b][j], "sim": sim[i, j]})
 
     kind = kept.schema["set_id"].dataType.simpleString()
-    return dealt.groupBy("set_id", "lo", "hi").applyInArrow(product, f"set_id {kind}, i long, j long, sim double")
+    return _tiles(kept, block).groupBy("set_id", "lo", "hi").applyInArrow(product, f"set_id {kind}, i long, j long, sim double")
+
+
+def group_links(kept: DataFrame, members: DataFrame, block: int = 1024) -> DataFrame:
+    """set_id, a, b, n, total, sim, i, j: number and summed similarity of the pairs between groups a <= b, and for
+    a = b the least similar pair. Pairs are added up inside their tile, so that no row stands for a pair of photos."""
+    rows = kept.select("set_id", "idx", "vec").join(members.select("set_id", "idx", F.col("group_no").cast("long").alias("_g")), ["set_id", "idx"])
+
+    def links(t: pa.Table) -> pa.Table:
+        t, a, b, sim, keep = _product(t)
+        idx, g = t.column("idx").to_numpy(), t.column("_g").to_numpy()
+        by_group = np.ix_(np.argsort(g[a], kind="stable"), np.argsort(g[b], kind="stable"))
+        (ga, from_a), (gb, from_b) = (np.unique(np.sort(g[x]), return_index=True) for x in (a, b))
+        added = lambda x: np.add.reduceat(np.add.reduceat(x[by_group], from_a, 0), from_b, 1)
+        n, total = added(keep.astype(np.int64)), added(np.where(keep, sim, 0.0))
+        p, q = np.nonzero(n)
+        own = [None] * len(p)
+        for k in np.flatnonzero(ga[p] == gb[q]).tolist():
+            r, c = np.flatnonzero(g[a] == ga[p[k]]), np.flatnonzero(g[b] == ga[p[k]])
+            part = np.where(keep[np.ix_(r, c)], sim[np.ix_(r, c)], np.inf)
+            i, j = np.unravel_index(part.argmin(), part.shape)  # in order of idx: of equal ones the smallest
+            own[k] = (float(part[i, j]), int(idx[a][r[i]]), int(idx[b][c[j]]))
+        cols = [pa.array([x and x[f] for x in own], kind) for f, kind in enumerate((pa.float64(), pa.int64(), pa.int64()))]
+        return pa.table([_of_set(t, len(p)), np.minimum(ga[p], gb[q]), np.maximum(ga[p], gb[q]), n[p, q].astype(np.int64), total[p, q].astype(float), *cols], names=["set_id", "a", "b", "n", "total", "sim", "i", "j"])
+
+    kind = kept.schema["set_id"].dataType.simpleString()
+    found = _tiles(rows, block, "_g").groupBy("set_id", "lo", "hi").applyInArrow(links, f"set_id {kind}, a long, b long, n long, total double, sim double, i long, j long")
+    least = F.min(F.when(F.col("sim").isNotNull(), F.struct("sim", "i", "j"))).alias("w")
+    return found.groupBy("set_id", "a", "b").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), least).select("set_id", "a", "b", "n", "total", "w.*")
 
 
 def merge_history(sim: np.ndarray) -> list[tuple[int, int, float]]:
@@ -114,7 +157,7 @@ def histories(kept: DataFrame, most: int = 5000) -> DataFrame:
         t = t.sort_by("idx")
         if t.num_rows > most:
             raise ValueError(f"a set has {t.num_rows} photos; more than {most} need a cut, see assign_large()")
-        v = np.array(t.column("vec").to_pylist(), float)
+        v = _vectors(t)
         found = merge_history(np.clip(v @ v.T, -1, 1))
         low = np.minimum.accumulate([h for *_, h in found]) if found else []
         key = pa.array([t.column("set_id")[0].as_py()] * len(found), t.schema.field("set_id").type)
@@ -125,12 +168,15 @@ def histories(kept: DataFrame, most: int = 5000) -> DataFrame:
 
 
 def sweep(history: DataFrame, kept: DataFrame) -> DataFrame:
-    """set_id, cut, students for the 71 cuts: photos less the merges at or above the cut."""
-    spark = kept.sparkSession
-    grid = F.broadcast(spark.createDataFrame(cuts(), "raw double, cut double"))  # 71 rows
-    n = kept.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
-    merges = history.join(grid, F.col("height") >= F.col("raw")).groupBy("set_id", "cut").agg(F.count(F.lit(1)).alias("m"))
-    return n.crossJoin(grid.select("cut")).join(merges, ["set_id", "cut"], "left").select("set_id", "cut", (F.col("n") - F.coalesce("m", F.lit(0))).cast("int").alias("students"))
+    """set_id, cut, students for the 71 cuts: photos less the merges at or above the cut. A merge counts once, at the
+    last cut that it reaches; the others follow by a running sum over the cuts of a set."""
+    grid = cuts()
+    raws = F.array(*[F.lit(raw) for raw, _ in grid])
+    last = F.size(F.filter(raws, lambda raw: raw <= F.col("height"))) - 1
+    merges = history.groupBy("set_id", last.alias("place")).agg(F.count(F.lit(1)).alias("m"))
+    rows = kept.groupBy("set_id").agg(F.count(F.lit(1)).alias("n")).select("set_id", "n", F.posexplode(F.array(*[F.lit(cut) for _, cut in grid])).alias("place", "cut"))
+    reached = F.sum(F.coalesce("m", F.lit(0))).over(Window.partitionBy("set_id").orderBy(F.desc("place")))
+    return rows.join(merges, ["set_id", "place"], "left").select("set_id", "cut", (F.col("n") - reached).cast("int").alias("students"))
 
 
 def plateau(counts: DataFrame) -> DataFrame:
@@ -189,13 +235,13 @@ def near_components(kept: DataFrame, cut: float) -> DataFrame:
     """set_id, idx, part: components of the pairs at or above a cut, by shortest labels; no merge crosses them, so a
     set too large for one task is clustered part by part."""
     edges = pair_blocks(kept, cut)
-    both = edges.select("set_id", "i", "j").unionByName(edges.select("set_id", F.col("j").alias("i"), F.col("i").alias("j"))).checkpoint()
-    label = kept.select("set_id", F.col("idx").alias("i"), F.col("idx").alias("part")).checkpoint()
+    both = computed_once(edges.select("set_id", "i", "j").unionByName(edges.select("set_id", F.col("j").alias("i"), F.col("i").alias("j"))))
+    label = computed_once(kept.select("set_id", F.col("idx").alias("i"), F.col("idx").alias("part")))
     while True:
         least = both.join(label.withColumnRenamed("i", "j"), ["set_id", "j"]).groupBy("set_id", "i").agg(F.min("part").alias("near"))
         new = label.join(least, ["set_id", "i"], "left").select("set_id", "i", F.least("part", F.coalesce("near", "part")).alias("part"))
         hop = new.select("set_id", F.col("i").alias("part"), F.col("part").alias("far"))
-        new = new.join(hop, ["set_id", "part"]).select("set_id", "i", F.col("far").alias("part")).checkpoint()
+        new = computed_once(new.join(hop, ["set_id", "part"]).select("set_id", "i", F.col("far").alias("part")))
         if not new.join(label.withColumnRenamed("part", "old"), ["set_id", "i"]).filter("part <> old").limit(1).count():
             return new.withColumnRenamed("i", "idx")
         label = new
@@ -245,22 +291,14 @@ def broken_runs(members: DataFrame, most: int = 20, names: int = 6) -> DataFrame
     return broken.join(gaps, ["set_id", "group_no"]).withColumn("place", place).filter(F.col("place") <= most).select("set_id", "group_no", "first_name", "last_name", text.alias("skipping"))
 
 
-def _grouped_pairs(pair_rows: DataFrame, members: DataFrame) -> DataFrame:
-    m = members.select("set_id", "idx", "group_no")
-    a, b = m.toDF("set_id", "i", "ga"), m.toDF("set_id", "j", "gb")
-    return pair_rows.join(a, ["set_id", "i"]).join(b, ["set_id", "j"])
-
+def group_pairs(links: DataFrame) -> DataFrame:
+    """Mean similarity of every two groups, from group_links(): set_id, a, b (a < b), sim."""
+    return links.filter("a <> b").select("set_id", "a", "b", (F.col("total") / F.col("n")).alias("sim"))
 
-def group_pairs(pair_rows: DataFrame, members: DataFrame) -> DataFrame:
-    """Mean similarity of every two groups: set_id, a, b (a < b), sim."""
-    rows = _grouped_pairs(pair_rows, members).filter("ga <> gb")
-    return rows.groupBy("set_id", F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).agg(F.avg("sim").alias("sim"))
 
-
-def weakest_inside(pair_rows: DataFrame, members: DataFrame) -> DataFrame:
-    """The least similar pair of each group of two or more: set_id, group_no, sim, i, j."""
-    rows = _grouped_pairs(pair_rows, members).filter("ga = gb")
-    return rows.groupBy("set_id", F.col("ga").alias("group_no")).agg(F.min_by(F.struct("sim", "i", "j"), F.struct("sim", "i", "j")).alias("w")).select("set_id", "group_no", "w.sim", "w.i", "w.j")
+def weakest_inside(links: DataFrame) -> DataFrame:
+    """The least similar pair of each group of two or more, from group_links(): set_id, group_no, sim, i, j."""
+    return links.filter("a = b").select("set_id", F.col("a").alias("group_no"), "sim", "i", "j")
 
 
 def separation(inside: DataFrame, between: DataFrame) -> DataFrame:
@@ -270,10 +308,21 @@ def separation(inside: DataFrame, between: DataFrame) -> DataFrame:
     return a.join(b, "set_id", "full").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0).cast("long"))).withColumn("gap", F.col("weakest") - F.col("closest")).withColumn("verdict", F.when(F.col("gap") > 0, "clean separation, no overlap").when(F.col("gap").isNotNull(), "they overlap, so the pairs listed below decide the count"))
 
 
-def best_other(pair_rows: DataFrame) -> DataFrame:
-    """Largest similarity of each photo to any other."""
-    both = pair_rows.select("set_id", F.col("i").alias("idx"), "sim").unionByName(pair_rows.select("set_id", F.col("j").alias("idx"), "sim"))
-    return both.groupBy("set_id", "idx").agg(F.max("sim").alias("best_other"))
+def best_other(kept: DataFrame, block: int = 1024) -> DataFrame:
+    """Largest similarity of each photo to any other of its set; none for the only photo of a set."""
+
+    def best(t: pa.Table) -> pa.Table:
+        t, a, b, sim, keep = _product(t)
+        idx, top = t.column("idx").to_numpy(), np.full(t.num_rows, -np.inf)
+        part = np.where(keep, sim, -np.inf)
+        top[a] = part.max(1)
+        top[b] = np.maximum(top[b], part.max(0))
+        have = np.flatnonzero(top > -np.inf)
+        return pa.table({"set_id": _of_set(t, len(have)), "idx": idx[have], "best_other": top[have]})
+
+    kind = kept.schema["set_id"].dataType.simpleString()
+    found = _tiles(kept, block).groupBy("set_id", "lo", "hi").applyInArrow(best, f"set_id {kind}, idx long, best_other double")
+    return found.groupBy("set_id", "idx").agg(F.max("best_other").alias("best_other"))
 
 
 def first_rows(rows: DataFrame, n: int, *order: Column | str) -> DataFrame:

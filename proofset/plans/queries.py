@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from proofset.functions import color, framing, grading, paths
 from proofset.operators import grouping, inventory, sets
 from proofset.plans import tables
+from proofset.session import computed_once
 from proofset.sources.report import read_events
 from proofset.streaming.watch import grade_progress, latest, progress, quiet_sessions
 
@@ -112,14 +113,14 @@ def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def pair_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, members = _members(spark, sf_dir)
-    pair_rows = grouping.pair_blocks(kept)
-    apart = grouping.separation(grouping.weakest_inside(pair_rows, members), grouping.group_pairs(pair_rows, members))
+    links = computed_once(grouping.group_links(kept, members))
+    apart = grouping.separation(grouping.weakest_inside(links), grouping.group_pairs(links))
     return apart.select("set_id", *[F.round(c, 6).alias(c) for c in ("weakest", "weakest_median", "closest", "closest_median", "gap")], "n_pairs")
 
 
 def lonely_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, members = _members(spark, sf_dir)
-    return grouping.loneliest(grouping.best_other(grouping.pair_blocks(kept)), members).select("set_id", "place", "photo_id", "group_no", F.round("best_other", 6).alias("best_other"))
+    return grouping.loneliest(grouping.best_other(kept), members).select("set_id", "place", "photo_id", "group_no", F.round("best_other", 6).alias("best_other"))
 
 
 def group_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +138,7 @@ def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of each set at its own most stable cut."""
     kept, _, _ = grouping.intake(tables.fingerprints(spark, sf_dir))
-    history = grouping.histories(kept)
+    history = computed_once(grouping.histories(kept))
     cut = grouping.operating_cut(kept, grouping.plateau(grouping.sweep(history, kept)))
     return grouping.assign(history, kept, cut).select("set_id", "idx", "group_no", "student")
 

@@ -55,14 +55,14 @@ def group_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT set_id, a, b, round(sim, 6) AS sim, CAST(place AS INTEGER) AS place FROM r WHERE place <= 4""")
 def closest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, members = _members(spark, sf_dir)
-    return grouping.closest_groups(grouping.group_pairs(grouping.pair_blocks(kept), members)).select("set_id", "a", "b", F.round("sim", 6).alias("sim"), "place")
+    return grouping.closest_groups(grouping.group_pairs(grouping.group_links(kept, members))).select("set_id", "a", "b", F.round("sim", 6).alias("sim"), "place")
 
 
 @query(f"""WITH {_VECS}, w AS (SELECT *, row_number() OVER (PARTITION BY set_id, ga ORDER BY sim, i, j) AS n FROM p WHERE ga = gb), r AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY sim, ga) AS place FROM w WHERE n = 1)
     SELECT set_id, ga AS group_no, i, j, round(sim, 6) AS sim, CAST(place AS INTEGER) AS place FROM r WHERE place <= 4""")
 def weakest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, members = _members(spark, sf_dir)
-    return grouping.weakest_groups(grouping.weakest_inside(grouping.pair_blocks(kept), members)).select("set_id", "group_no", "i", "j", F.round("sim", 6).alias("sim"), "place")
+    return grouping.weakest_groups(grouping.weakest_inside(grouping.group_links(kept, members))).select("set_id", "group_no", "i", "j", F.round("sim", 6).alias("sim"), "place")
 
 
 @query(f"""WITH {_VECS}, g AS (SELECT set_id, group_no, list('IMG_' || photo_id || '.jpg' ORDER BY idx) AS names FROM v GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY group_no) - 1 AS k FROM g)

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -25,3 +25,15 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(here.rglob("*.py")):
             z.write(p, p.relative_to(here.parent))
     spark.sparkContext.addPyFile(str(target))
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """df, computed now and once: a checkpoint in the folder that the session names in spark.checkpoint.dir. Only a
+    local session may go without; a temporary folder is taken then."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", "") or ""
+        if not base and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="spark-proofset-"))
+    return df.checkpoint()

@@ -122,11 +122,44 @@ def test_pairs_of_blocks_are_all_pairs(spark):
         assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-12 for k in want)
 
 
+def test_reduced_pairs_are_all_pairs_reduced(spark):
+    kept, _, _ = gr.intake(fans(spark, sets=("x", "y")))
+    groups = kept.withColumn("group_no", F.col("idx") % 3)
+    own = {(r.set_id, r.idx): r.group_no for r in groups.collect()}
+    between, inside, best = {}, {}, {}
+    for r in gr.pairs(kept).collect():
+        a, b = sorted((own[r.set_id, r.i], own[r.set_id, r.j]))
+        between.setdefault((r.set_id, a, b), []).append(r.sim)
+        if a == b:
+            inside.setdefault((r.set_id, a), []).append((r.sim, r.i, r.j))
+        for k in (r.i, r.j):
+            best[r.set_id, k] = max(best.get((r.set_id, k), -2), r.sim)
+    for block in (2, 5, 1024):
+        links = gr.group_links(kept, groups, block).cache()
+        means = {(r.set_id, r.a, r.b): r.sim for r in gr.group_pairs(links).collect()}
+        assert means == pytest.approx({k: sum(v) / len(v) for k, v in between.items() if k[1] < k[2]})
+        weak = {(r.set_id, r.group_no): r.sim for r in gr.weakest_inside(links).collect()}
+        assert weak == pytest.approx({k: min(v)[0] for k, v in inside.items()})
+        assert {(r.set_id, r.idx): r.best_other for r in gr.best_other(kept, block).collect()} == pytest.approx(best)
+
+
+def test_sweep_counts_the_merges_of_every_cut(spark):
+    kept, _, _ = gr.intake(fans(spark, sets=("x", "y")))
+    history = gr.histories(kept).cache()
+    heights, photos = {}, {}
+    for r in history.collect():
+        heights.setdefault(r.set_id, []).append(r.height)
+    for r in kept.collect():
+        photos[r.set_id] = photos.get(r.set_id, 0) + 1
+    got = {(r.set_id, r.cut): r.students for r in gr.sweep(history, kept).collect()}
+    assert got == {(s, cut): n - sum(h >= raw for h in heights.get(s, [])) for s, n in photos.items() for raw, cut in gr.cuts()}
+
+
 def test_separation_has_a_row_for_every_set(spark):
     kept, _, _ = gr.intake(fans(spark, sets=("x", "y", "z")))
     groups = kept.withColumn("group_no", F.when(F.col("set_id") == "x", F.col("idx")).when(F.col("set_id") == "y", 1).otherwise(F.col("idx") % 2))
-    rows = gr.pair_blocks(kept)
-    got = {r.set_id: r for r in gr.separation(gr.weakest_inside(rows, groups), gr.group_pairs(rows, groups)).collect()}
+    rows = gr.group_links(kept, groups, block=3)
+    got = {r.set_id: r for r in gr.separation(gr.weakest_inside(rows), gr.group_pairs(rows)).collect()}
     assert got["x"].weakest is None and got["x"].closest is not None and got["x"].gap is None and got["x"].verdict is None
     assert got["y"].closest is None and got["y"].n_pairs == 0 and got["z"].gap < 0
 

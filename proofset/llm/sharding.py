@@ -90,7 +90,7 @@ def shard_bounded(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: st
     schema = T.StructType([T.StructField(n, T.IntegerType() if n in ("arc", "cell", "shard") else T.LongType(), False) for n in ("arc", "cell", "first", "end", "shard", "base")])
     intervals = F.broadcast(spark.createDataFrame(placed, schema))  # bounded by the cells, see settle()
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("arc", "cell").orderBy("pos", "doc_id", "size")).cast("long") - 1)
-    homes = F.element_at(F.array(*[F.lit(s) for s in owners]), F.col("arc") + 1)
+    homes = F.element_at(_numbers(owners, "int"), F.col("arc") + 1)
     joined = ranked.join(intervals, ["arc", "cell"]).filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
     return joined.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("base") + F.col("rank") - F.col("first")).alias("slot"), homes.alias("home_shard"))
 
@@ -103,11 +103,16 @@ def _arc(at, positions: list[int]):
     first = [bisect_right(positions, k * width - 1) for k in range(slots)]
     within = [[p for p in positions if k * width <= p < (k + 1) * width] for k in range(slots)]
     slot = F.floor(at / width).cast("int")
-    start = F.element_at(F.array(*[F.lit(x) for x in first]), slot + 1)
-    nodes = F.element_at(F.array(*[F.array(*[F.lit(p).cast("long") for p in w]) if w else F.expr("cast(array() as array<bigint>)") for w in within]), slot + 1)
+    start = F.element_at(_numbers(first, "int"), slot + 1)
+    nodes = F.element_at(F.array(*[_numbers(w, "bigint") for w in within]), slot + 1)
     return F.pmod(start + F.size(F.filter(nodes, lambda p: p < at)), F.lit(len(positions))).cast("int")
 
 
+def _numbers(values: list[int], kind: str):
+    """An array literal, parsed from one string: a call into the JVM for each number would take seconds."""
+    return F.expr(f"cast(array({', '.join(map(str, values))}) as array<{kind}>)")
+
+
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
     out = shard_bounded(table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", "law", F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "home_shard")

@@ -32,11 +32,11 @@ def grade_progress(photos: DataFrame) -> DataFrame:
     return photos.groupBy("set_id").agg(F.count(F.lit(1)).alias("done"), *counts)
 
 
-def latest(photos: DataFrame, order: str = "seen_at", late: str | None = None) -> DataFrame:
-    """The latest event of each (set_id, source); late bounds the state of a stream by dropping older events."""
-    rows = photos.withWatermark(order, late) if late and photos.isStreaming else photos
+def latest(photos: DataFrame, order: str = "seen_at") -> DataFrame:
+    """The latest event of each (set_id, source), however late an older one arrives. A stream keeps one row for each
+    photo (update or complete mode); no watermark would drop any, as the time is not part of the key."""
     rest = [c for c in photos.columns if c not in ("set_id", "source")]
-    return rows.groupBy("set_id", "source").agg(F.max_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order])).alias("e")).select("set_id", "source", "e.*")
+    return photos.groupBy("set_id", "source").agg(F.max_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order])).alias("e")).select("set_id", "source", "e.*")
 
 
 def progress(photos: DataFrame, totals: DataFrame, order: str = "seen_at") -> DataFrame:

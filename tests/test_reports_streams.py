@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -45,6 +46,21 @@ def test_streamed_progress_equals_the_batch(spark, tmp_path):
     assert spark.table("progress").collect() == batch and batch[0].done == 12
 
 
+def test_late_events_do_not_replace_newer_ones(spark, tmp_path):
+    src = tmp_path / "log"
+    src.mkdir()
+    for k, rows in enumerate([[("p", 9, "FAIL"), ("q", 1, "PASS")], [("p", 3, "PASS"), ("q", 2, "REVIEW")], [("p", 8, "REVIEW"), ("r", 0, "PASS")]]):
+        (src / f"{k}.json").write_text("\n".join(json.dumps({"set_id": "s", "source": n, "seen_at": at, "grade": g}) for n, at, g in rows))
+        os.utime(src / f"{k}.json", (1000 + k, 1000 + k))
+    schema = "set_id string, source string, seen_at long, grade string"
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
+    q = watch.latest(events).writeStream.outputMode("complete").format("memory").queryName("latest").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination()
+    got = sorted(tuple(r) for r in spark.table("latest").collect())
+    assert got == [("s", "p", 9, "FAIL"), ("s", "q", 2, "REVIEW"), ("s", "r", 0, "PASS")]
+    assert got == sorted(tuple(r) for r in watch.latest(spark.read.schema(schema).json(str(src))).collect())
+
+
 def test_watch_reports_settled_sets(spark, tmp_path):
     src = tmp_path / "changes"
     src.mkdir()

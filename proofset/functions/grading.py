@@ -128,19 +128,22 @@ def decide(rows: DataFrame, look: Column | None = None, by: str = "local", saved
     grade is SKIPPED. look: scores from elsewhere, used when finite and within 0..1, else the local look is. saved:
     an earlier `decide` struct, taken again if it was made by the same decider on an equal basis."""
     have = set(rows.columns)
-    hits, grade, reasons = near_hits(have), F.col("grade"), F.coalesce("reasons", F.array().cast("array<string>"))
-    local = local_look(grade, reasons, hits)
+    grade, reasons = F.col("grade"), F.coalesce("reasons", F.array().cast("array<string>"))
+    # each step reads the one before as a column, so that nothing is computed again for every place that needs it
+    steps = rows.withColumn("_near", near_hits(have)).withColumn("_local", local_look(grade, reasons, F.col("_near")))
+    hits, local = F.col("_near"), F.col("_local")
     given = look if look is not None else F.lit(None).cast("double")
-    usable = F.coalesce(given.between(0.0, 1.0) & ~F.isnan(given), F.lit(False))
-    used = F.when(usable, given).otherwise(local)
-    final, confidence = settled(used, grade)
+    steps = steps.withColumn("_given", F.when(given.between(0.0, 1.0) & ~F.isnan(given), given))
+    usable = F.col("_given").isNotNull()
+    steps = steps.withColumn("_look", F.coalesce("_given", local))
+    final, confidence = settled(F.col("_look"), grade)
     maker = F.when(usable, by).otherwise("local")
     note = F.when(~usable & (grade == "PASS") & (local >= LOOK_AT), near_note(hits)).otherwise("")
     made = F.struct(maker.alias("by"), final.alias("grade"), confidence.alias("confidence"), note.alias("note"), basis_of(maker, grade, reasons, have).alias("basis"), F.when(~usable & F.lit(by != "local"), F.lit(by)).alias("requested"))
     if saved is not None:
         same = (saved["by"] == by) & (saved["basis"] == basis_of(F.lit(by), grade, reasons, have)) & saved["grade"].isin(*GRADES) & saved["confidence"].isNotNull() & ~F.isnan(saved["confidence"]) & (F.lit(by) != "local")
         made = F.when(F.coalesce(same, F.lit(False)), saved).otherwise(made)
-    return rows.withColumn("decide", F.when(F.col("output").isNotNull() & (grade != "SKIPPED"), made))
+    return steps.withColumn("decide", F.when(F.col("output").isNotNull() & (grade != "SKIPPED"), made)).drop("_near", "_local", "_given", "_look")
 
 
 def final_grade(set_reasons: Column, decided: Column | None = None) -> Column:

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from proofset.functions.grading import GRADES, final_grade, percent
 
 
+def _graded() -> Column:
+    return F.col("output").isNotNull() & F.col("head_size").isNotNull()
+
+
+def _spread() -> list[Column]:
+    backdrop = F.when(_graded(), F.col("backdrop_luma"))
+    return [F.min(backdrop).alias("low"), F.max(backdrop).alias("high"), F.count(backdrop).alias("n_backdrops")]
+
+
 def set_medians(photos: DataFrame) -> DataFrame:
     """set_id, head_median, n_heads, lowest and highest backdrop, n_backdrops: of photos with output and head size."""
-    graded = F.col("output").isNotNull() & F.col("head_size").isNotNull()
-    backdrop = F.when(graded, F.col("backdrop_luma"))
-    return photos.groupBy("set_id").agg(F.median(F.when(graded, F.col("head_size"))).alias("head_median"), F.count(F.when(graded, 1)).alias("n_heads"), F.min(backdrop).alias("low"), F.max(backdrop).alias("high"), F.count(backdrop).alias("n_backdrops"))
+    return photos.groupBy("set_id").agg(F.median(F.when(_graded(), F.col("head_size"))).alias("head_median"), F.count(F.when(_graded(), 1)).alias("n_heads"), *_spread())
 
 
 def set_note(stats: DataFrame) -> DataFrame:
@@ -38,18 +45,23 @@ def with_final_grade(photos: DataFrame) -> DataFrame:
     return photos.withColumn("final_grade", final_grade(F.col("set_reasons"), decided))
 
 
+def _counts() -> list[Column]:
+    counts = [F.count_if(F.col("final_grade") == g).alias(f"n_{g.lower()}") for g in (*GRADES, "SKIPPED")]
+    return [*counts, F.count_if(F.size("set_reasons") > 0).alias("n_flagged"), F.max(F.col("final_grade") == "FAIL").alias("failed")]
+
+
 def grade_counts(photos: DataFrame, totals: bool = False) -> DataFrame:
     """Photos of each shown grade per set, zeros included; totals adds a row with a NULL set_id for all sets."""
     groups = photos.rollup("set_id") if totals else photos.groupBy("set_id")
-    counts = [F.count_if(F.col("final_grade") == g).alias(f"n_{g.lower()}") for g in (*GRADES, "SKIPPED")]
-    return groups.agg(*counts, F.count_if(F.size("set_reasons") > 0).alias("n_flagged"), F.max(F.col("final_grade") == "FAIL").alias("failed"))
+    return groups.agg(*_counts())
 
 
 def run_summary(photos: DataFrame, page: int = 30) -> DataFrame:
-    """One row per set: processed, unchanged, counts, flagged, note and pages. `reused` marks unchanged rows."""
-    counts = grade_counts(photos)
-    more = photos.groupBy("set_id").agg(F.count_if(~F.col("reused")).alias("processed"), F.count_if("reused").alias("unchanged"), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / page)).cast("long").alias("pages"))
-    return counts.join(more, "set_id").join(set_note(set_medians(photos)).select("set_id", "set_note"), "set_id")
+    """One row per set: processed, unchanged, counts, flagged, note and pages, all in one aggregation. `reused` marks
+    unchanged rows."""
+    pages = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / page)).cast("long").alias("pages")
+    more = [F.count_if(~F.col("reused")).alias("processed"), F.count_if("reused").alias("unchanged"), pages]
+    return set_note(photos.groupBy("set_id").agg(*_counts(), *more, *_spread())).drop("low", "high", "n_backdrops")
 
 
 def paged(rows: DataFrame, page: int = 30, key: str = "set_id", order: str = "source") -> DataFrame:

@@ -23,14 +23,15 @@ class SetRun:
 def run_sets(listing: DataFrame, report: DataFrame, measures: DataFrame, key: Column, sidecars: DataFrame | None = None, force: bool = False) -> SetRun:
     """From a listing (set_id, source, size, mtime_ns), the saved report's rows (see classify(), plus its grade, reasons,
     output, head_size and backdrop_luma) and measures of photos (set_id, source, output, ...): unchanged rows are taken
-    over, hand-edited ones judged anew without the upscale check, all others judged and decided."""
+    over, hand-edited ones judged anew without the upscale check, all others judged and decided. The decided rows, which
+    the checks over the set, the summary and the events all need, are computed once, at the call."""
     classified = inventory.classify(inventory.pick_sources(listing, sidecars), report, key, force).select("set_id", "source", "class")
     saved = report.join(classified.filter(F.col("class") == "reuse"), ["set_id", "source"]).select("set_id", "source", "class", "output", "grade", "reasons", "head_size", "backdrop_luma")
     todo = classified.filter(F.col("class") != "reuse").join(measures, ["set_id", "source"])
     fresh = grading.decide(grading.stored(grading.judge(todo.filter(F.col("class") == "todo"))))
     edited = todo.filter(F.col("class") == "hand_edited").withColumn("notes", F.array().cast("array<string>"))
     again = grading.decide(grading.stored(grading.rejudged(edited)))
-    photos = inventory.merged_report(inventory.merged_report(fresh, again), saved).withColumn("reused", F.col("class") == "reuse")
+    photos = computed_once(inventory.merged_report(inventory.merged_report(fresh, again), saved).withColumn("reused", F.col("class") == "reuse"))
     photos = sets.with_final_grade(sets.judge_set(photos))
     none = F.array().cast("array<string>")
     events = photos.select("set_id", reports.event_line("photo", F.col("source"), F.col("final_grade").alias("grade"), F.concat("reasons", "set_reasons").alias("reasons"), F.coalesce("notes", none).alias("notes"), F.col("output")).alias("value"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofset.llm.common import table
+from proofset.llm.common import slices, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 WINDOWS_DDL = "conv_id long, window long, first_turn long, n_repeated int, n_tokens long, formatted string, loss array<struct<start:int,end:int>>"
@@ -121,15 +121,16 @@ class Windows:
         return row
 
 
-def count_tokens(tokenizer_file: str):
-    """Batches with one more column, n_tokens: ids of role and text plus the three marks of a turn."""
+def count_tokens(tokenizer_file: str, most_bytes: int = 1 << 20):
+    """Batches with one more column, n_tokens: ids of role and text plus the three marks of a turn. About most_bytes
+    of text are encoded at once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(tokenizer_file)
-        for b in batches:
+        for b in slices(batches, "text", most_bytes):
             n = [len(x.ids) + 3 for x in tok.encode_batch_fast([f"{r}\n{t}" for r, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True)], add_special_tokens=False)]
             yield pa.record_batch([*b.columns, pa.array(n, pa.int64())], names=[*b.schema.names, "n_tokens"])
 
@@ -192,6 +193,8 @@ def read_back(windows: DataFrame) -> DataFrame:
 
 
 def op7_chat_formatting(spark, sf_dir: str) -> DataFrame:
+    """All conversations and one more, -1. Should the table have turns of a conversation -1 itself, they and the two
+    added ones are one conversation."""
     import public_tokenizers
 
     said = "<|im_end|><|im_start|>assistant ok"

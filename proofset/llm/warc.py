@@ -49,11 +49,21 @@ def _page(urn: bytes) -> int | None:
     return None if name == b"unknown" else int(name)
 
 
+def _escaped(url: str) -> str:
+    """A url for a header line; one that looks like the urn of a page has its first letter escaped too."""
+    plain = url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    return "%75" + plain[1:] if plain.startswith("urn:page:") else plain
+
+
+def _unescaped(url: str) -> str:
+    return url.replace("%75", "u").replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, length: int, digest: str, refers_to: int | None) -> bytes:
     """One WARC record. A revisit (refers_to given) keeps the HTTP headers only."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
     block = http if refers_to is not None else http + payload
-    target = _urn(page_id) if url is None else b"<" + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A").encode() + b">"
+    target = _urn(page_id) if url is None else b"<" + _escaped(url).encode() + b">"
     head = [VERSION, b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"), b"WARC-Record-ID: " + _urn(page_id), b"WARC-Date: " + DATE, b"WARC-Target-URI: " + target, b"WARC-Payload-Digest: sha1:" + digest.encode(), b"Content-Type: application/http; msgtype=response"]
     if refers_to is not None:
         head += [b"WARC-Profile: " + PROFILE, b"WARC-Refers-To: " + _urn(refers_to)]
@@ -84,13 +94,14 @@ def parse(raw: bytes) -> tuple:
     elif kind != "revisit" or payload or b"warc-refers-to" not in head:
         raise ValueError(f"not a valid {kind} record")
     target = head[b"warc-target-uri"][1:-1]
-    url = None if target.startswith(b"urn:page:") else target.decode().replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+    url = None if target.startswith(b"urn:page:") else _unescaped(target.decode())
     return _page(head[b"warc-record-id"]), url, kind, _page(head[b"warc-refers-to"]) if kind == "revisit" else None, size, digest, payload if kind == "response" else None
 
 
 class ArchiveWriter:
     """Archives of about `archive_bytes` each in one folder. The first records of an archive, up to
-    `sample_bytes`, train its dictionary; too few or too small samples leave it without one."""
+    `sample_bytes`, train its dictionary; where they are too few or too small for that, the first of their bytes are
+    the dictionary themselves."""
 
     def __init__(self, folder: str, archive_bytes: int, sample_bytes: int = 1 << 20, dictionary_bytes: int = 1 << 15, level: int = 3) -> None:
         self.folder, self.archive_bytes, self.sample_bytes, self.dictionary_bytes, self.level = folder, archive_bytes, sample_bytes, dictionary_bytes, level
@@ -116,14 +127,14 @@ class ArchiveWriter:
         fs, at = pafs.FileSystem.from_uri(self.folder)
         fs.create_dir(at, recursive=True)
         name = f"{uuid.uuid4().hex}.warc.zst"
-        self.out, self.path, self.written, self.records = fs.open_output_stream(f"{at}/{name}"), f"{self.folder}/{name}", 0, 0
+        self.out, self.path, self.written, self.records = fs.open_output_stream(f"{at}/{name}", compression=None), f"{self.folder}/{name}", 0, 0
         try:
-            trained = zstandard.train_dictionary(self.dictionary_bytes, self.waiting) if len(self.waiting) >= 16 else None
+            dictionary = zstandard.train_dictionary(self.dictionary_bytes, self.waiting)
         except zstandard.ZstdError:
-            trained = None
-        body = trained.as_bytes() if trained else b""
+            dictionary = zstandard.ZstdCompressionDict(b"".join(self.waiting)[: self.dictionary_bytes], zstandard.DICT_TYPE_RAWCONTENT)
+        body = dictionary.as_bytes()
         self.out.write(struct.pack("<II", SKIPPABLE_DICTIONARY, len(body)) + body)
-        self.packer = zstandard.ZstdCompressor(level=self.level, dict_data=trained, write_content_size=True, write_checksum=True) if trained else zstandard.ZstdCompressor(level=self.level, write_content_size=True, write_checksum=True)
+        self.packer = zstandard.ZstdCompressor(level=self.level, dict_data=dictionary, write_content_size=True, write_checksum=True)
         for raw in self.waiting:
             self._put(raw)
         self.waiting, self.held = [], 0
@@ -148,11 +159,12 @@ class ArchiveWriter:
 
 
 def read_archive(uri: str, chunk: int = 1 << 18) -> Iterator[bytes]:
-    """The raw records of one archive, a frame at a time; memory holds one chunk and one record."""
+    """The raw records of one archive, a frame at a time; memory holds one chunk and one record. The name's ending must
+    not make the file system unpack the file, here as in writing: the frames are read one by one."""
     from pyarrow import fs as pafs
 
     fs, at = pafs.FileSystem.from_uri(uri)
-    with fs.open_input_stream(at) as stream:
+    with fs.open_input_stream(at, compression=None) as stream:
         head = stream.read(8)
         magic, size = struct.unpack("<II", head) if len(head) == 8 else (0, 0)
         if magic != SKIPPABLE_DICTIONARY:
@@ -160,6 +172,8 @@ def read_archive(uri: str, chunk: int = 1 << 18) -> Iterator[bytes]:
         body = stream.read(size)
         if len(body) != size:
             raise ValueError(f"{uri}: the dictionary is cut off")
+        if body.startswith(zstandard.FRAME_HEADER):  # a dictionary may be packed itself
+            body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
         reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(body)) if size else zstandard.ZstdDecompressor()
         left = b""
         while left or (left := stream.read(chunk)):

@@ -4,12 +4,14 @@ long texts, repeated rows, ties and extra columns."""
 import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from proofset.llm import ann, chat, decontaminate, jaccard, language_id, lm_scoring, packing, secrets, sharding, warc
@@ -240,7 +242,7 @@ def test_jaccard_groups_equal_brute_force(docs, empty):
 
 def test_archives_round_trip(spark, tmp_path):
     big = "<html>" + "x" * 2000
-    rows = [(1, "http://a", big, "e"), (2, None, big, "e"), (3, "u\n>", "small", "e"), (4, "u", "small", "e"), (5, "u", None, "e"), (5, "u", big, "e"), (None, "u", big, "e"), (7, "é", "ü" * 700, "e")]
+    rows = [(1, "http://a", big, "e"), (2, None, big, "e"), (3, "u\n>", "small", "e"), (4, "u", "small", "e"), (5, "u", None, "e"), (5, "u", big, "e"), (None, "u", big, "e"), (7, "é", "ü" * 700, "e"), (8, "urn:page:3", "s", "e"), (9, "%75rn:page:%0A", "s", "e")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string").repartition(2)
     manifest = warc.write_archives(warc.with_revisits(pages), new_path(spark, "t"))
     got = warc.read_archives(manifest).collect()
@@ -251,12 +253,32 @@ def test_archives_round_trip(spark, tmp_path):
         revisit = len(body) >= 1000 and h == big and p != best
         expect[(p, u, "revisit" if revisit else "response", best if revisit else None, len(body), hashlib.sha1(body).hexdigest(), None if revisit else body)] += 1
     assert Counter((r.page_id, r.url, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest, None if r.payload is None else bytes(r.payload)) for r in got) == expect
+    assert warc.read_archives(warc.write_archives(warc.with_revisits(pages.limit(0)), new_path(spark, "t"))).collect() == []
     raw = warc.record(1, "u", b"abc", 3, hashlib.sha1(b"abc").hexdigest(), None)
     for bad in (raw[:-1], raw.replace(b"abc", b"abd"), raw.replace(b"WARC/1.1", b"WARC/0.9"), raw.replace(b"WARC-Date", b"WARC-Dote")):
         with pytest.raises(ValueError):
             warc.parse(bad)
 
 
+@pytest.mark.parametrize("count", [1, 5, 400])
+def test_every_archive_has_a_dictionary_that_its_frames_need(tmp_path, count):
+    raws = [warc.record(k, f"http://x/{k}", body := b"<p>page %d</p> the same foot" % k, len(body), hashlib.sha1(body).hexdigest(), None) for k in range(count)]
+    writer = warc.ArchiveWriter(tmp_path.as_uri(), 1 << 20)
+    for raw in raws:
+        writer.add(raw)
+    ((path, n),) = writer.close()
+    assert n == count and list(warc.read_archive(path)) == raws
+    data = (tmp_path / path.rsplit("/", 1)[1]).read_bytes()
+    magic, size = struct.unpack("<II", data[:8])
+    assert magic == warc.SKIPPABLE_DICTIONARY and size > 0
+    packed = zstandard.ZstdCompressor().compress(data[8 : 8 + size])  # the dictionary packed, the frames as they are
+    (tmp_path / "packed").write_bytes(struct.pack("<II", magic, len(packed)) + packed + data[8 + size :])
+    assert list(warc.read_archive((tmp_path / "packed").as_uri())) == raws
+    (tmp_path / "bare").write_bytes(struct.pack("<II", magic, 0) + data[8 + size :])
+    with pytest.raises((zstandard.ZstdError, ValueError)):
+        list(warc.read_archive((tmp_path / "bare").as_uri()))
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(700, 16)).astype(np.float32)
@@ -350,6 +372,8 @@ def test_chats_round_trip(spark):
         loss = "".join(t for role, t in turns if role == "assistant")
         assert (got[k].n_turns, got[k].turns_sha256) == (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest())
         assert (got[k].loss_chars, got[k].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    nothing = chat.format_windows(df.limit(0), public_tokenizers.path("byte_bpe_50k.json"))
+    assert nothing.collect() == [] and chat.read_back(nothing).collect() == []
 
 
 def test_packing_keeps_every_token_once(docs, empty):

@@ -38,12 +38,16 @@ def to_lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return 116 * y - 16, 500 * (x - y), 200 * (y - z)
 
 
-def from_lab(L: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
+def light_of_lab(L: Column, a: Column, b: Column) -> list[Column]:
+    """Linear r, g and b, cut to 0..1."""
     y = (L + 16) / 116
     cube = lambda t: F.when(t > 6 / 29, t * t * t).otherwise((116 * t - 16) * 27 / 24389)
     xyz = [cube(t) * w for t, w in zip((y + a / 500, y, y - b / 200), WHITE, strict=True)]
-    back = np.linalg.inv(np.array(TO_XYZ)).tolist()
-    return tuple(from_linear(_dot(row, xyz)) for row in back)
+    return [F.greatest(F.lit(0.0), F.least(F.lit(1.0), _dot(row, xyz))) for row in np.linalg.inv(np.array(TO_XYZ)).tolist()]
+
+
+def from_lab(L: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
+    return tuple(from_linear(v) for v in light_of_lab(L, a, b))
 
 
 def luma(r: Column, g: Column, b: Column) -> Column:
@@ -69,11 +73,11 @@ def cast_fix(L: Column, a: Column, b: Column) -> tuple[Column, Column]:
     needed = (chroma >= 6) & (off | strong)
     new_hue = F.radians(F.when(off, F.when(hue < SKIN_HUE[0], SKIN_HUE[0] + 4).otherwise(SKIN_HUE[1] - 4)).otherwise(hue))
     new_chroma = F.when(strong, SKIN_CHROMA - 6).otherwise(chroma)
-    goal = [to_linear(v) for v in from_lab(L, new_chroma * F.cos(new_hue), new_chroma * F.sin(new_hue))]
-    now = [F.greatest(to_linear(v), F.lit(1e-4)) for v in from_lab(L, a, b)]
-    gain = [g / n for g, n in zip(goal, now, strict=True)]
-    even = _dot(LUMA, gain)
-    gains = F.array(*[F.greatest(F.lit(0.75), F.least(F.lit(1.3), g / even)) for g in gain])
+    goal = light_of_lab(L, new_chroma * F.cos(new_hue), new_chroma * F.sin(new_hue))
+    now = [F.greatest(v, F.lit(1e-4)) for v in light_of_lab(L, a, b)]
+    gain = F.array(*[g / n for g, n in zip(goal, now, strict=True)])
+    level = lambda v: F.array(*[F.greatest(F.lit(0.75), F.least(F.lit(1.3), v[i] / _dot(LUMA, v))) for i in range(3)])
+    gains = F.transform(F.array(gain), level)[0]  # the gains are named once, so each is worked out once
     name = F.when(~off, "warm/orange").when(hue < SKIN_HUE[0], "magenta/blue").otherwise("yellow-green")
     return F.when(needed, gains), F.when(needed, F.concat(F.lit("fixed a "), name, F.lit(" color cast")))
 

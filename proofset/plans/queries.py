@@ -103,7 +103,7 @@ def skin_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = color.skin_lab(pixels(spark, sf_dir))
     gains, cast = color.cast_fix(F.col("skin_L"), F.col("skin_a"), F.col("skin_b"))
     hue, chroma = color.hue_chroma(F.col("skin_a"), F.col("skin_b"))
-    return s.select("photo_id", *[F.round(c, 4).alias(c) for c in ("skin_L", "skin_a", "skin_b")], F.round(hue, 3).alias("hue"), F.round(chroma, 4).alias("chroma"), F.transform(gains, lambda g: F.round(g, 4)).alias("gains"), cast.alias("cast"))
+    return s.select("photo_id", *[F.round(c, 4).alias(c) for c in ("skin_L", "skin_a", "skin_b")], F.round(hue, 3).alias("hue"), F.round(chroma, 4).alias("chroma"), *[F.round(gains[i], 4).alias(f"gain_{c}") for i, c in enumerate("rgb")], cast.alias("cast"))
 
 
 def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,12 +192,15 @@ _LIN = "CASE WHEN {0} / 255.0e0 <= 0.04045e0 THEN {0} / 255.0e0 / 12.92e0 ELSE p
 _F = "CASE WHEN {0} > 216.0e0 / 24389 THEN cbrt({0}) ELSE (24389.0e0 / 27 * {0} + 16) / 116 END"
 
 
-@query(f"""WITH p AS (SELECT l_suppkey AS photo_id, l_partkey * 5 % 256 AS r, l_partkey * 3 % 256 AS g, (l_partkey + l_suppkey) % 256 AS b FROM lineitem),
+_SKIN = f"""WITH p AS (SELECT l_suppkey AS photo_id, l_partkey * 5 % 256 AS r, l_partkey * 3 % 256 AS g, (l_partkey + l_suppkey) % 256 AS b FROM lineitem),
     l AS (SELECT photo_id, {_LIN.format('r')} AS r, {_LIN.format('g')} AS g, {_LIN.format('b')} AS b FROM p),
     x AS (SELECT photo_id, (0.4124564e0 * r + 0.3575761e0 * g + 0.1804375e0 * b) / 0.95047e0 AS x, 0.2126729e0 * r + 0.7151522e0 * g + 0.0721750e0 * b AS y, (0.0193339e0 * r + 0.1191920e0 * g + 0.9503041e0 * b) / 1.08883e0 AS z FROM l),
     f AS (SELECT photo_id, {_F.format('x')} AS x, {_F.format('y')} AS y, {_F.format('z')} AS z FROM x), c AS (SELECT photo_id, 116 * y - 16 AS L, 500 * (x - y) AS a, 200 * (y - z) AS b FROM f),
     m AS (SELECT photo_id, count(*) FILTER (L > 20 AND L < 92) AS n, median(L) FILTER (L > 20 AND L < 92) AS L, median(a) FILTER (L > 20 AND L < 92) AS a, median(b) FILTER (L > 20 AND L < 92) AS b FROM c GROUP BY photo_id),
-    k AS (SELECT photo_id, CASE WHEN n >= 20 THEN L END AS L, CASE WHEN n >= 20 THEN a END AS a, CASE WHEN n >= 20 THEN b END AS b FROM m), h AS (SELECT *, degrees(atan2(b, a)) AS hue, sqrt(a * a + b * b) AS chroma FROM k)
+    k AS (SELECT photo_id, CASE WHEN n >= 20 THEN L END AS L, CASE WHEN n >= 20 THEN a END AS a, CASE WHEN n >= 20 THEN b END AS b FROM m), h AS (SELECT *, degrees(atan2(b, a)) AS hue, sqrt(a * a + b * b) AS chroma FROM k)"""
+
+
+@query(f"""{_SKIN}
     SELECT photo_id, round(L, 4) AS skin_L, round(a, 4) AS skin_a, round(b, 4) AS skin_b, round(hue, 3) AS hue, round(chroma, 4) AS chroma, chroma < 6 OR (hue BETWEEN 28 AND 77 AND chroma <= 57) AS fine FROM h""")
 def skin_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = color.skin_lab(pixels(spark, sf_dir))
@@ -221,6 +225,23 @@ ORACLE_SQL["intake"] = """WITH i AS (SELECT page_id % 90 AS request_id, '/drop/'
 ORACLE_SQL["group_runs"] = f"""WITH {_VECS}, n AS (SELECT *, 'IMG_' || photo_id || '.jpg' AS name FROM v), g AS (SELECT set_id, group_no, min(idx) AS first, max(idx) AS last, count(*) AS shots, arg_min(name, idx) || '..' || arg_max(name, idx) AS span FROM n GROUP BY ALL),
     x AS (SELECT g.set_id, g.group_no, list(n.name ORDER BY n.idx) AS gap FROM g JOIN n ON n.set_id = g.set_id AND n.idx > g.first AND n.idx < g.last AND n.group_no <> g.group_no WHERE g.last - g.first + 1 <> g.shots GROUP BY ALL)
     SELECT g.set_id, g.group_no, first, last, shots, span, last - first + 1 = shots AS one_run, array_to_string(gap[1:6], ', ') || CASE WHEN len(gap) > 6 THEN ' ...' ELSE '' END AS skipping FROM g LEFT JOIN x ON g.set_id = x.set_id AND g.group_no = x.group_no"""
+_BACK = [[float(v) for v in row] for row in np.linalg.inv(np.array(color.TO_XYZ))]
+_CUBE = "CASE WHEN {0} > 6.0e0 / 29 THEN {0} * {0} * {0} ELSE (116 * {0} - 16) * 27 / 24389.0e0 END"
+
+
+def _light(a: str, b: str) -> str:
+    """Linear r, g and b (a list) of Lab, for L and these a and b."""
+    y = "((L + 16) / 116)"
+    x, y, z = (f"({_CUBE.format(v)}) * {w!r}" for v, w in zip((f"({y} + {a} / 500)", y, f"({y} - {b} / 200)"), color.WHITE, strict=True))
+    return "[" + ", ".join(f"least(1.0e0, greatest(0.0e0, {m[0]!r}::DOUBLE * {x} + {m[1]!r}::DOUBLE * {y} + {m[2]!r}::DOUBLE * {z}))" for m in _BACK) + "]"
+
+
+ORACLE_SQL["skin_colour"] = f"""{_SKIN},
+    w AS (SELECT *, chroma >= 6 AND (hue NOT BETWEEN 30 AND 75 OR chroma > 55) AS needed, radians(CASE WHEN hue < 30 THEN 34.0e0 WHEN hue > 75 THEN 71.0e0 ELSE hue END) AS turn, CASE WHEN chroma > 55 THEN 49.0e0 ELSE chroma END AS reach FROM h),
+    g AS (SELECT *, list_transform(list_zip({_light('(reach * cos(turn))', '(reach * sin(turn))')}, {_light('a', 'b')}), lambda v: v[1] / greatest(v[2], 1e-4)) AS gain FROM w),
+    e AS (SELECT *, list_transform(gain, lambda v: round(greatest(0.75e0, least(1.3e0, v / (0.2126e0 * gain[1] + 0.7152e0 * gain[2] + 0.0722e0 * gain[3]))), 4)) AS gains FROM g)
+    SELECT photo_id, round(L, 4) AS skin_L, round(a, 4) AS skin_a, round(b, 4) AS skin_b, round(hue, 3) AS hue, round(chroma, 4) AS chroma, CASE WHEN needed THEN gains[1] END AS gain_r, CASE WHEN needed THEN gains[2] END AS gain_g, CASE WHEN needed THEN gains[3] END AS gain_b,
+        CASE WHEN needed THEN 'fixed a ' || CASE WHEN hue BETWEEN 30 AND 75 THEN 'warm/orange' WHEN hue < 30 THEN 'magenta/blue' ELSE 'yellow-green' END || ' color cast' END AS cast FROM e"""
 _LUMA = "0.2126e0 * {0} + 0.7152e0 * {1} + 0.0722e0 * {2}"
 ORACLE_SQL["pixel_shares"] = f"""WITH p AS (SELECT l_suppkey AS photo_id, l_partkey * 5 % 256 AS r, l_partkey * 3 % 256 AS g, (l_partkey + l_suppkey) % 256 AS b FROM lineitem),
     q AS (SELECT photo_id, greatest(r, g, b) AS peak, greatest(r // 2, g // 2, b // 2) AS peak0, {_LUMA.format('r', 'g', 'b')} AS y, {_LUMA.format('(r // 2)', '(g // 2)', '(b // 2)')} AS y0, round(0.299e0 * r + 0.587e0 * g + 0.114e0 * b) AS gray FROM p)

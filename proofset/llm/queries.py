@@ -9,6 +9,7 @@ from proofset.llm.jaccard import op3_jaccard_join
 from proofset.llm.language_id import op2_language_id
 from proofset.llm.lm_scoring import op9_lm_scoring
 from proofset.llm.packing import op8_packing
+from proofset.llm.repair import op11_conversation_repair
 from proofset.llm.secrets import op10_secret_scans
 from proofset.llm.sharding import op1_sharding
 from proofset.llm.warc import op4_warc
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_secret_scans": op10_secret_scans,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 # The letters that the contracts lower-case, and the patterns of secrets (their groups as RE2 has them).
@@ -48,7 +50,28 @@ _SECRETS = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM do
         sha256(coalesce(string_agg(s, ',' ORDER BY a, rank) FILTER (rank < 3), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY a, rank), '') AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
     FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""
 
+# CRC-32 bit by bit, over the characters of an ASCII text k.
+_CRC = "xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, n: xor(x >> 1, 3988292384::BIGINT * (x & 1)))))"
+
+# Row after row, the lightest repair (cost, audit, repaired turns) that leaves the grammar in each of its four states.
+_REPAIR = f"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS kind FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations)),
+    d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM d),
+    f AS (SELECT *, substr(role, 1, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM o),
+    g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+        FROM (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM f) GROUP BY conv_id),
+    ed(q, letter, ini, to_q, cost) AS (VALUES (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0), (0, 'R', NULL, 2, 1), (1, 'R', NULL, 2, 1), (2, 'R', NULL, 3, 1), (3, 'R', NULL, 2, 1), (0, 'D', NULL, 0, 2), (1, 'D', NULL, 1, 2), (2, 'D', NULL, 2, 2), (3, 'D', NULL, 3, 2)),
+    ins(q, to_q, a, t) AS (VALUES (0, 0, '', []), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']), (1, 2, 'I', ['user:']), (2, 3, 'I', ['assistant:']), (3, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 3, 'II', ['user:', 'assistant:']), (2, 2, 'II', ['assistant:', 'user:']), (3, 3, 'II', ['user:', 'assistant:'])),
+    s AS (SELECT conv_id, 0::BIGINT AS i, ins.to_q AS q, {{'c': 5 * len(a)::BIGINT, 'a': a, 't': t}} AS w FROM (SELECT DISTINCT conv_id FROM f), ins WHERE ins.q = 0
+        UNION ALL SELECT conv_id, i, to_q AS q, min(w) AS w FROM (
+            SELECT s.conv_id, f.i, ins.to_q, {{'c': s.w.c + ed.cost + CASE WHEN fault = 'truncated' AND letter <> 'D' THEN 5 ELSE 0 END + 5 * len(ins.a)::BIGINT, 'a': s.w.a || letter || ins.a, 't': s.w.t || CASE letter WHEN 'K' THEN [f.role || ':' || f.text] WHEN 'R' THEN [CASE WHEN ed.to_q = 3 THEN 'assistant' ELSE 'user' END || ':' || f.text] ELSE [] END || ins.t}} AS w
+            FROM s JOIN f ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = s.i + 1 JOIN ed ON ed.q = s.q AND (ed.ini IS NULL OR ed.ini = f.ini) AND (letter = 'D' OR fault NOT IN ('blank', 'duplicate')) JOIN ins ON ins.q = ed.to_q) GROUP BY ALL),
+    best AS (SELECT s.conv_id, min(w) AS w FROM s JOIN g ON s.conv_id IS NOT DISTINCT FROM g.conv_id AND s.i = g.n WHERE q IN (0, 3) GROUP BY s.conv_id)
+    SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(w.c, 0) AS cost, coalesce(w.a, '') AS audit, sha256(coalesce(array_to_string(w.t, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON c.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN best ON c.conv_id IS NOT DISTINCT FROM best.conv_id"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_conversation_repair": _REPAIR,
     "op3_jaccard_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS s FROM w)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from proofset.llm.ann import op5_permutation_index
 from proofset.llm.chat import op7_chat_formatting
 from proofset.llm.decontaminate import op6_decontamination
+from proofset.llm.divergence import op13_source_divergence
 from proofset.llm.jaccard import op3_jaccard_join
 from proofset.llm.language_id import op2_language_id
 from proofset.llm.lm_scoring import op9_lm_scoring
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_secret_scans": op10_secret_scans,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 # The letters that the contracts lower-case, and the patterns of secrets (their groups as RE2 has them).
@@ -70,7 +72,21 @@ _REPAIR = f"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS
     SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(w.c, 0) AS cost, coalesce(w.a, '') AS audit, sha256(coalesce(array_to_string(w.t, chr(10)), '')) AS repaired_sha256
     FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON c.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN best ON c.conv_id IS NOT DISTINCT FROM best.conv_id"""
 
+_DIVERGENCE = f"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOW}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS k FROM documents),
+    t AS (SELECT lang, source, k, term, count(*) AS n FROM (SELECT lang, source, k, unnest(w) AS term FROM d) GROUP BY ALL),
+    kept AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM t GROUP BY ALL HAVING count(*) >= 10),
+    g AS (SELECT DISTINCT lang, source FROM d), v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n) AS n FROM kept GROUP BY lang),
+    c AS (SELECT lang, source, term, sum(t.n)::HUGEINT AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+    gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS n FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+    m AS (SELECT gn.lang, gn.source, kept.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (gn.n + 2 * v.v) AS p, 1 + (1000000000::HUGEINT * (kept.n + 2)) // (v.n + 2 * v.v) AS q
+        FROM gn JOIN v ON gn.lang = v.lang JOIN kept ON kept.lang = gn.lang LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = kept.term),
+    p AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM m a JOIN m b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+        UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM m WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 10"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_source_divergence": _DIVERGENCE,
     "op11_conversation_repair": _REPAIR,
     "op3_jaccard_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),

@@ -9,6 +9,7 @@ from proofset.llm.divergence import op13_source_divergence
 from proofset.llm.jaccard import op3_jaccard_join
 from proofset.llm.language_id import op2_language_id
 from proofset.llm.lm_scoring import op9_lm_scoring
+from proofset.llm.near_vectors import op12_embedding_near_dedup
 from proofset.llm.packing import op8_packing
 from proofset.llm.repair import op11_conversation_repair
 from proofset.llm.secrets import op10_secret_scans
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_secret_scans": op10_secret_scans,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -86,6 +88,14 @@ _DIVERGENCE = f"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source,
     SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 10"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, row_number() OVER () AS k FROM embeddings),
+        u AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+        p AS (SELECT a.k AS a, b.k AS b FROM u a JOIN u b ON a.k <> b.k AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.9),
+        r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+        n AS (SELECT a, count(*) AS n FROM p GROUP BY a), c AS (SELECT a, min(vec_id) AS least FROM r JOIN v ON r.b = v.k GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least, vec_id)) AS kept FROM v LEFT JOIN n ON n.a = v.k LEFT JOIN c ON c.a = v.k
+    """,
     "op13_source_divergence": _DIVERGENCE,
     "op11_conversation_repair": _REPAIR,
     "op3_jaccard_join": f"""

@@ -31,10 +31,13 @@ def parent_of(path: Column) -> Column:
 
 
 def normal_path(path: Column) -> Column:
-    """Repeated and trailing separators go; a path of backslashes alone keeps them."""
-    slashes = F.regexp_replace(F.regexp_replace(path, "/+", "/"), "(?<=.)/$", "")
+    """Repeated and trailing separators and components that are a dot go, but two slashes at the very beginning stay;
+    a path of backslashes alone keeps them. Nothing left is a dot."""
+    root = F.when(path.rlike("^//([^/]|$)"), "//").when(path.startswith("/"), "/").otherwise("")
+    parts = F.array_join(F.filter(F.split(path, "/"), lambda x: (x != "") & (x != ".")), "/")
+    slashes = F.concat(root, parts)
     back = F.regexp_replace(F.regexp_replace(path, r"(?<=.)\\+", r"\\"), r"(?<=[^:])\\$", "")
-    return F.when(path.contains("\\") & ~path.contains("/"), back).when(path == "", ".").otherwise(slashes)
+    return F.when(path.contains("\\") & ~path.contains("/"), back).when(slashes == "", ".").otherwise(slashes)
 
 
 def stem_of(name: Column) -> Column:
@@ -42,9 +45,11 @@ def stem_of(name: Column) -> Column:
 
 
 def shot_number(name: Column) -> Column:
-    """Capture order: the first run of digits in the stem, else 0."""
-    digits = F.regexp_extract(stem_of(name), r"(\d+)", 1)
-    return F.when(digits == "", F.lit(0)).otherwise(digits).cast("decimal(38,0)")
+    """Capture order: the first run of digits in the stem, else 0. Numbers of more than 38 digits, besides zeros before
+    them, count as the largest of 38."""
+    digits = F.regexp_replace(F.regexp_extract(stem_of(name), r"(\d+)", 1), "^0+", "")
+    number = F.coalesce(digits.try_cast("decimal(38,0)"), F.lit("9" * 38).cast("decimal(38,0)"))
+    return F.when(digits == "", F.lit("0").cast("decimal(38,0)")).otherwise(number)
 
 
 def edited_stem(stem: Column) -> Column:

@@ -19,25 +19,81 @@ class SetRun:
     summary: DataFrame  # one row per set
     events: DataFrame  # set_id, value: the event log's lines
 
+    def documents(self, settings: DataFrame) -> DataFrame:
+        """Report documents of the sets of this pass, for write_reports(). settings: set_id, settings (struct)."""
+        notes = settings.select("set_id", "settings").join(self.summary.select("set_id", "set_note"), "set_id")
+        return reports.report_documents(reports.nested(self.photos), notes)
 
-def run_sets(listing: DataFrame, report: DataFrame, measures: DataFrame, key: Column, sidecars: DataFrame | None = None, force: bool = False) -> SetRun:
-    """From a listing (set_id, source, size, mtime_ns), the saved report's rows (see classify(), plus its grade, reasons,
-    output, head_size and backdrop_luma) and measures of photos (set_id, source, output, ...): unchanged rows are taken
-    over, hand-edited ones judged anew without the upscale check, all others judged and decided. The decided rows, which
-    the checks over the set, the summary and the events all need, are computed once, at the call."""
-    classified = inventory.classify(inventory.pick_sources(listing, sidecars), report, key, force).select("set_id", "source", "class")
-    saved = report.join(classified.filter(F.col("class") == "reuse"), ["set_id", "source"]).select("set_id", "source", "class", "output", "grade", "reasons", "head_size", "backdrop_luma")
-    todo = classified.filter(F.col("class") != "reuse").join(measures, ["set_id", "source"])
-    fresh = grading.decide(grading.stored(grading.judge(todo.filter(F.col("class") == "todo"))))
-    edited = todo.filter(F.col("class") == "hand_edited").withColumn("notes", F.array().cast("array<string>"))
-    again = grading.decide(grading.stored(grading.rejudged(edited)))
-    photos = computed_once(inventory.merged_report(inventory.merged_report(fresh, again), saved).withColumn("reused", F.col("class") == "reuse"))
+
+NO_MEASURES = "couldn't process (no measures)"
+_TEXTS = "array<string>"
+# What the measures of a photo may hold besides what is judged; all of it is taken into the report.
+_MEASURED = ["planned_head", "width", "height", *[c for c in reports.METRIC_TYPES if c not in ("size", "planned_head_size")]]
+_FRAMED = ["src_wh", "face_box", "box"]
+
+
+def with_output_times(report: DataFrame, outputs: DataFrame) -> DataFrame:
+    """The report's rows with now_mtime_ns, the time that their output file has now. outputs: a listing of the polished
+    files (set_id, source, mtime_ns)."""
+    now = outputs.select("set_id", F.col("source").alias("output"), F.col("mtime_ns").alias("now_mtime_ns"))
+    return report.drop("now_mtime_ns").join(now, ["set_id", "output"], "left")
+
+
+def run_sets(listing: DataFrame, report: DataFrame, measures: DataFrame, key: Column, sidecars: DataFrame | None = None, force: bool = False, look: str | None = None, by: str = "local") -> SetRun:
+    """One grading pass. listing: set_id, source, size, mtime_ns. report: the saved rows (see classify(); with grade,
+    reasons, notes, decide and a column for each metric, as far as they are known, see flat()). measures: set_id,
+    source, output and any metrics, or skip_reason for a photo that has no output.
+
+    Unchanged rows are taken over; those edited by hand keep their entry and notes and are judged anew, without the
+    upscale check; all others are judged. All are decided, taken over or not. A listed photo without measures is an
+    entry too, SKIPPED with its reason; edited by hand, it keeps its metrics and time until there are new ones. look:
+    the column of measures with scores of another decider, whose saved decisions are taken again on an equal basis.
+    The rows, which the checks over the set, the summary and the events all need, are computed once, at the call."""
+    none = F.lit(None)
+    classified = inventory.classify(inventory.pick_sources(listing, sidecars), report, key, force).withColumn("_key", key)
+    known = [c for c in ("size", "mtime_ns", "key", "output", "out_mtime_ns", "hand_edited", "grade", "reasons", "notes", "decide", *_MEASURED, *_FRAMED) if c in report.columns]
+    old = report.select("set_id", "source", *known, "now_mtime_ns")
+    listed = lambda kind: classified.filter(F.col("class") == kind).select("set_id", "source", "class")
+    texts = lambda df, c: F.coalesce(F.col(c).cast(_TEXTS) if c in df.columns else none.cast(_TEXTS), F.array().cast(_TEXTS))
+
+    reused = old.join(listed("reuse"), ["set_id", "source"]).drop("now_mtime_ns")
+    reused = reused.withColumns({"reasons": texts(reused, "reasons"), "notes": texts(reused, "notes")})
+
+    kept = [c for c in (*_MEASURED, *_FRAMED, "skip_reason", "output", "out_mtime_ns", *([look] if look else [])) if c in measures.columns]
+    given = measures.select("set_id", "source", *kept, F.lit(True).alias("_measured"), *([F.col("notes").alias("_more")] if "notes" in measures.columns else []))
+    todo = classified.filter(F.col("class") == "todo")
+    todo = todo.withColumn("notes", texts(todo, "notes")).select("set_id", "source", "class", "size", "mtime_ns", F.col("_key").alias("key"), "notes").join(given, ["set_id", "source"], "left")
+    todo = todo.withColumn("notes", F.concat("notes", texts(todo, "_more"))).drop("_more")
+    judged = grading.stored(grading.judge(todo))
+    why = F.coalesce(F.col("skip_reason") if "skip_reason" in todo.columns else none.cast("string"), F.when(F.col("_measured").isNull(), F.lit(NO_MEASURES)))
+    lost = F.col("output").isNull()
+    fresh = judged.withColumns({"reasons": F.when(lost, F.filter(F.concat(F.array(why), F.when(why.isNull(), F.col("reasons")).otherwise(F.array().cast(_TEXTS))), lambda r: r.isNotNull())).otherwise(F.col("reasons")), "grade": F.when(lost, "SKIPPED").otherwise(F.col("grade"))}).drop("skip_reason", "_measured")
+
+    edited = old.join(listed("hand_edited"), ["set_id", "source"])
+    edited = edited.withColumn("notes", texts(edited, "notes"))
+    metrics = [c for c in (*_MEASURED, *([look] if look else [])) if c in measures.columns and c != "planned_head"]
+    seen = edited.drop(*metrics, "grade", "reasons").join(given.select("set_id", "source", *metrics), ["set_id", "source"])
+    again = grading.stored(grading.rejudged(seen)).withColumn("out_mtime_ns", F.col("now_mtime_ns")).drop("now_mtime_ns")
+    unseen = edited.join(given.select("set_id", "source"), ["set_id", "source"], "left_anti").drop("now_mtime_ns")
+    unseen = unseen.withColumn("reasons", texts(unseen, "reasons"))
+
+    photos = fresh
+    for part in (again, unseen, reused):
+        photos = inventory.merged_report(photos, part)
+    saved = "decide" in photos.columns
+    if saved:
+        photos = photos.withColumnRenamed("decide", "_saved")
+    score = F.col(look).cast("double") if look else None
+    photos = grading.decide(photos, score, by, F.col("_saved") if saved and by != "local" else None).drop("_saved")
+    photos = computed_once(photos.withColumn("reused", F.col("class") == "reuse"))
     photos = sets.with_final_grade(sets.judge_set(photos))
-    none = F.array().cast("array<string>")
-    events = photos.select("set_id", reports.event_line("photo", F.col("source"), F.col("final_grade").alias("grade"), F.concat("reasons", "set_reasons").alias("reasons"), F.coalesce("notes", none).alias("notes"), F.col("output")).alias("value"))
-    totals = inventory.start_totals(classified)
-    start = totals.select("set_id", reports.event_line("start", F.col("total"), F.col("unchanged")).alias("value"))
-    return SetRun(photos, sets.run_summary(photos), start.unionByName(events))
+    summary = sets.run_summary(photos)
+    told = F.when(~F.col("reused"), F.col("decide"))
+    event = reports.event_line("photo", F.col("source"), F.col("final_grade").alias("grade"), F.col("reasons"), F.col("notes"), F.col("output"), told["confidence"].alias("confidence"), told.alias("decide"))
+    start = inventory.start_totals(classified).select("set_id", reports.event_line("start", F.col("total"), F.col("unchanged")).alias("value"))
+    counts = F.create_map(*[x for g in (*grading.GRADES, "SKIPPED") for x in (F.lit(g), F.col(f"n_{g.lower()}"))])
+    done = summary.select("set_id", reports.event_line("polished", F.col("processed"), F.col("unchanged"), counts.alias("counts"), F.col("n_flagged").alias("flagged"), F.col("set_note"), F.col("pages")).alias("value"))
+    return SetRun(photos, summary, start.unionByName(photos.select("set_id", event.alias("value"))).unionByName(done))
 
 
 @dataclass(frozen=True)

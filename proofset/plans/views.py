@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from proofset.operators import grouping, inventory, sets
 from proofset.plans import passes, tables
 from proofset.plans.oracle import _CHECKS, _FINAL, _FLAG, _GRADE, _JUDGED, _SETS, _VECS
 from proofset.plans.queries import _members, graded, incremental_inputs, pixels
+from proofset.session import shared_dir
 from proofset.sources import report as reports
 
 QUERIES: dict = {}
@@ -249,25 +252,59 @@ ORACLE_SQL["pixel_shares"] = f"""WITH p AS (SELECT l_suppkey AS photo_id, l_part
         round(least(quantile_cont(y / 255, 0.0005), 0.05e0), 6) AS black_point, round(greatest(quantile_cont(peak / 255.0e0, 0.9995), 0.92e0), 6) AS white_point, round(median(gray), 6) AS backdrop_luma FROM q GROUP BY photo_id"""
 
 
-@query(f"""WITH {_JUDGED}, {_AGAIN}, c AS (SELECT q.*, k, {_CLASS} AS class FROM (SELECT *, photo_id AS k FROM q) q),
-    t AS (SELECT *, {_GRADE("list_max(CASE WHEN class = 'hand_edited' THEN again ELSE (SELECT ranks FROM r WHERE r.photo_id = c.photo_id) END)")} AS own FROM c),
-    {_NEAR_SQL.format(grade='own', n='0', rows='t')},
-    d AS (SELECT set_id, photo_id, class, CASE WHEN class = 'reuse' THEN CASE WHEN k % 5 = 0 THEN 'REVIEW' ELSE 'PASS' END WHEN output IS NULL THEN grade WHEN grade = 'PASS' AND len(CASE WHEN class = 'hand_edited' THEN list_filter(hits, lambda x: NOT starts_with(x, 'upscale')) ELSE hits END) > 0 THEN 'REVIEW' ELSE grade END AS g,
-        CASE WHEN class = 'reuse' THEN CASE WHEN k % 23 > 0 THEN 'out.jpg' END ELSE output END AS output, round_even(head_size, 3) AS head_size FROM near),
+def _pass_sql(kind: str, bare: str) -> str:
+    """Final grades of a pass, as f: kind is the class of photo k, bare whether it has no measures."""
+    return f"""WITH {_JUDGED}, {_AGAIN}, c AS (SELECT q.*, r.ranks, k, {kind} AS class, {bare} AS bare FROM (SELECT *, photo_id AS k FROM q) q JOIN r ON r.photo_id = q.photo_id),
+    t AS (SELECT * REPLACE (CASE WHEN bare AND class = 'todo' THEN NULL ELSE output END AS output), {_GRADE("list_max(CASE WHEN class = 'hand_edited' THEN again ELSE ranks END)")} AS judged FROM c),
+    o AS (SELECT *, CASE WHEN class = 'reuse' OR (class = 'hand_edited' AND bare) THEN CASE WHEN k % 5 = 0 THEN 'REVIEW' ELSE 'PASS' END WHEN output IS NULL THEN 'SKIPPED' ELSE judged END AS own FROM t),
+    {_NEAR_SQL.format(grade='own', n='0', rows='o')},
+    d AS (SELECT set_id, photo_id, class, output, CASE WHEN own = 'PASS' AND len(CASE WHEN class = 'hand_edited' AND NOT bare THEN list_filter(hits, lambda x: NOT starts_with(x, 'upscale')) ELSE hits END) > 0 THEN 'REVIEW' ELSE own END AS g, round_even(head_size, 3) AS head_size FROM near),
     s AS (SELECT set_id, median(head_size) FILTER (output IS NOT NULL) AS head_median, count(head_size) FILTER (output IS NOT NULL) AS n_heads FROM d GROUP BY set_id),
-    f AS (SELECT d.*, CASE WHEN output IS NULL THEN 'SKIPPED' WHEN g = 'PASS' AND {_FLAG} THEN 'REVIEW' ELSE g END AS final, {_FLAG} AS flag FROM d JOIN s ON d.set_id = s.set_id)
-    SELECT set_id, count(*) FILTER (class <> 'reuse') AS processed, count(*) FILTER (class = 'reuse') AS unchanged, count(*) FILTER (flag) AS n_flagged, count(*) FILTER (final = 'PASS') AS n_pass, count(*) FILTER (final = 'REVIEW') AS n_review, count(*) FILTER (final = 'FAIL') AS n_fail, count(*) FILTER (final = 'SKIPPED') AS n_skipped FROM f GROUP BY set_id""")
+    f AS (SELECT d.*, CASE WHEN output IS NULL THEN 'SKIPPED' WHEN g = 'PASS' AND {_FLAG} THEN 'REVIEW' ELSE g END AS final, {_FLAG} AS flag FROM d JOIN s ON d.set_id = s.set_id)"""
+
+
+_FINALS = "count(*) FILTER (flag) AS n_flagged, count(*) FILTER (final = 'PASS') AS n_pass, count(*) FILTER (final = 'REVIEW') AS n_review, count(*) FILTER (final = 'FAIL') AS n_fail, count(*) FILTER (final = 'SKIPPED') AS n_skipped"
+
+
+def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of all photos, as a pass takes them; of every 47th there are none."""
+    m = tables.measures(spark, sf_dir)
+    return m.filter("photo_id % 47 > 0").withColumn("source", F.col("photo_id").cast("string"))
+
+
+@query(f"""{_pass_sql(_CLASS, 'k % 47 = 0')}
+    SELECT set_id, count(*) FILTER (class <> 'reuse') AS processed, count(*) FILTER (class = 'reuse') AS unchanged, {_FINALS} FROM f GROUP BY set_id""")
 def run_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole grading pass over all sets: listing, report, measures, decisions, checks over the set, summary."""
+    """A whole grading pass over all sets: listing, report, measures, decisions (on unchanged photos too), photos
+    without measures, checks over the set, summary."""
     files, report = incremental_inputs(spark, sf_dir)
-    photo = lambda c: F.concat(F.lit("P"), F.col(c).cast("string"), F.lit(".jpg"))
-    m = tables.measures(spark, sf_dir)
+    m = grading.stored(tables.measures(spark, sf_dir)).withColumn("source", F.col("photo_id").cast("string")).drop("set_id", "photo_id", "output")
     k = F.col("source").cast("long")
-    saved = report.withColumns({"grade": F.when(k % 5 == 0, "REVIEW").otherwise("PASS"), "reasons": F.array().cast("array<string>")}).join(m.select(F.col("photo_id").cast("string").alias("source"), F.bround("head_size", 3).alias("head_size"), "backdrop_luma"), "source")
-    run = passes.run_sets(files.withColumn("source", photo("source")), saved.withColumn("source", photo("source")), m.withColumn("source", photo("photo_id")), F.lit("key"))
+    saved = report.withColumns({"grade": F.when(k % 5 == 0, "REVIEW").otherwise("PASS"), "reasons": F.array().cast("array<string>")}).join(m, "source")
+    photo = lambda df: df.withColumn("source", F.concat(F.lit("P"), F.col("source"), F.lit(".jpg")))
+    run = passes.run_sets(photo(files), photo(saved), photo(_measures(spark, sf_dir)), F.lit("key"))
     return run.summary.select("set_id", "processed", "unchanged", "n_flagged", "n_pass", "n_review", "n_fail", "n_skipped")
 
 
+@query(f"""{_pass_sql("'todo'", 'k % 47 = 0')}
+    SELECT set_id, 0::BIGINT AS processed, count(*) AS unchanged, {_FINALS} FROM f GROUP BY set_id""")
+def second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pass over all sets whose reports are stored and read again as the next pass's own: nothing is new, and every
+    grade stays."""
+    files, _ = incremental_inputs(spark, sf_dir)
+    files = files.withColumn("source", F.concat(F.lit("P"), F.col("source"), F.lit(".jpg")))
+    m = _measures(spark, sf_dir).withColumns({"source": F.concat(F.lit("P"), F.col("source"), F.lit(".jpg")), "out_mtime_ns": F.col("photo_id") * 7, "set_id": F.col("set_id").cast("string")})
+    files = files.withColumn("set_id", F.col("set_id").cast("string"))
+    none = reports.flat(spark.createDataFrame([], "set_id string, " + ", ".join(f"{c} {t}" for c, t in reports.PHOTO_TYPES.items()))).withColumn("now_mtime_ns", F.lit(None).cast("long"))
+    first = passes.run_sets(files, none, m, F.lit("key"))
+    root = f"{shared_dir(spark)}/proofset/reports-{uuid.uuid4().hex}"
+    settings = files.select("set_id", F.lit(None).cast(reports.SETTINGS).alias("settings")).distinct()
+    reports.write_reports(first.documents(settings), root, folders=False)
+    saved = reports.flat(reports.report_index(reports.stored_reports(spark, root, folders=False))).withColumn("now_mtime_ns", F.col("out_mtime_ns"))
+    run = passes.run_sets(files, saved, m, F.lit("key"))
+    return run.summary.select(F.col("set_id").cast("long").alias("set_id"), "processed", "unchanged", "n_flagged", "n_pass", "n_review", "n_fail", "n_skipped")
+
+
 @query(None)
 def analysis_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole grouping pass over all sets: the text summary."""

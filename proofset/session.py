@@ -27,13 +27,22 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(target))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir of the session. Only a local session
+    may go without; a temporary folder is made and set then."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-proofset-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 def computed_once(df: DataFrame) -> DataFrame:
     """df, computed now and once: a checkpoint in the folder that the session names in spark.checkpoint.dir. Only a
     local session may go without; a temporary folder is taken then."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", "") or ""
-        if not base and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="spark-proofset-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

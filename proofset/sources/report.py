@@ -7,12 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from proofset.functions.paths import PHOTO_EXTENSIONS, extension_of
+from proofset.sources import store
 
 DECIDE = "struct<by:string,grade:string,confidence:double,note:string,basis:string,requested:string>"
 METRICS = "struct<size:array<long>,srgb:boolean,metadata_tags:long,face:long,eye_line:double,headroom:double,center:double,head_size:double,planned_head_size:double,other_faces:long,face_blown:double,skin_hue:double,skin_chroma:double,eye_sharpness:double,backdrop_luma:double,fidelity_ssim:double,clipping_added:double,crushing_added:double,face_lightness_change:double,sharpen_gain:double,upscale:double>"
 PHOTO = f"struct<source:string,size:long,mtime_ns:long,key:string,output:string,out_mtime_ns:long,grade:string,reasons:array<string>,notes:array<string>,metrics:{METRICS},src_wh:array<long>,face_box:array<long>,box:array<double>,planned_head:double,hand_edited:boolean,set_reasons:array<string>,decide:{DECIDE}>"
 SETTINGS = "struct<ratio:double,width:int,zoom:double,eye_line:double,finish:boolean,bw:boolean>"
 REPORT = f"settings {SETTINGS}, set_note string, photos array<{PHOTO}>"
+STUDENTS = "student string, photo string, source string, frame_of string, fit_to_group double, grade string, pick string"
+
+
+def _fields(struct: str) -> dict[str, str]:
+    """Names and types of a struct's own fields."""
+    out, depth, start, body = {}, 0, 0, struct.removeprefix("struct<")[:-1] + ","
+    for k, c in enumerate(body):
+        depth += (c == "<") - (c == ">")
+        if c == "," and depth == 0:
+            name, kind = body[start:k].split(":", 1)
+            out[name], start = kind, k + 1
+    return out
+
+
+METRIC_TYPES, PHOTO_TYPES = _fields(METRICS), _fields(PHOTO)
 
 # The kinds of events, their fields, and those that must be there.
 EVENTS = {
@@ -42,7 +58,8 @@ def list_outputs(spark: SparkSession, folder: str) -> DataFrame:
 def read_reports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per report document; a broken one has no photos. set_id is the name of the report's folder."""
     rows = spark.read.schema(REPORT).option("multiLine", True).option("mode", "PERMISSIVE").json(paths)
-    return rows.withColumn("set_id", F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -2)))
+    folder = F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -2))
+    return rows.withColumn("set_id", F.regexp_replace(folder, "^set_id=", ""))
 
 
 def report_index(reports: DataFrame, by: str = "source") -> DataFrame:
@@ -60,8 +77,29 @@ def report_documents(photos: DataFrame, settings: DataFrame) -> DataFrame:
     return settings.select("set_id", "settings", "set_note").join(docs, "set_id", "left").withColumn("photos", F.coalesce("photos", F.array().cast(docs.schema["photos"].dataType)))
 
 
-def write_reports(documents: DataFrame, path: str) -> None:
-    documents.repartition("set_id").write.partitionBy("set_id").mode("overwrite").json(path)
+def flat(entries: DataFrame) -> DataFrame:
+    """Report entries (report_index()) with a column for each metric, as the passes take them."""
+    out = entries.select("*", *[F.col(f"metrics.{c}").alias(c) for c in METRIC_TYPES if c not in ("size", "planned_head_size")])
+    return out.withColumns({"width": F.col("metrics.size")[0], "height": F.col("metrics.size")[1]}).drop("metrics")
+
+
+def nested(photos: DataFrame) -> DataFrame:
+    """Entries of a pass, with a column for each metric, as a report keeps them. Columns that photos lack are null."""
+    have = set(photos.columns)
+    col = lambda c, kind: (F.col(c) if c in have else F.lit(None)).cast(kind)
+    named = {"size": F.when(col("width", "long").isNotNull(), F.array(col("width", "long"), col("height", "long"))), "planned_head_size": col("planned_head", "double")}
+    metrics = F.struct(*[named.get(c, col(c, kind)).alias(c) for c, kind in METRIC_TYPES.items()])
+    return photos.select("set_id", *[(metrics if c == "metrics" else col(c, kind)).alias(c) for c, kind in PHOTO_TYPES.items()])
+
+
+def write_reports(documents: DataFrame, root: str, sets: DataFrame | None = None, folders: bool = True) -> int:
+    """Documents of some sets, as their newest generation; all other sets keep theirs. folders: one for each set."""
+    return store.save(documents, root, "json", sets, folders=folders)
+
+
+def stored_reports(spark: SparkSession, root: str, folders: bool = True) -> DataFrame:
+    """What write_reports() keeps: set_id, settings, set_note, photos."""
+    return store.load(spark, root, "json", REPORT, folders)
 
 
 def students_table(members: DataFrame) -> DataFrame:
@@ -69,8 +107,13 @@ def students_table(members: DataFrame) -> DataFrame:
     return members.select("set_id", "student", F.col("name").alias("photo"), F.coalesce("source", F.lit("")).alias("source"), "frame_of", F.col("fit").alias("fit_to_group"), F.coalesce("grade", F.lit("")).alias("grade"), F.when(F.col("pick"), "pick").otherwise("").alias("pick"))
 
 
-def write_students(members: DataFrame, path: str) -> None:
-    students_table(members).repartition("set_id").sortWithinPartitions("set_id", "student", "frame_of").write.partitionBy("set_id").option("header", True).mode("overwrite").csv(path)
+def write_students(members: DataFrame, root: str, sets: DataFrame | None = None) -> int:
+    return store.save(students_table(members), root, "csv", sets, ("student", "frame_of"), header=True)
+
+
+def stored_students(spark: SparkSession, root: str) -> DataFrame:
+    rows = store.load(spark, root, "csv", STUDENTS, header=True)
+    return rows.fillna("", ["source", "grade", "pick"])
 
 
 def summary_lines(totals: DataFrame, cut: DataFrame, changes: DataFrame, apart: DataFrame, sizes: DataFrame, closest: DataFrame, picked: DataFrame, broken: DataFrame | None = None, weakest: DataFrame | None = None, lonely: DataFrame | None = None, weak: DataFrame | None = None, skipped: DataFrame | None = None) -> DataFrame:
@@ -106,8 +149,14 @@ def summary_lines(totals: DataFrame, cut: DataFrame, changes: DataFrame, apart:
     return out
 
 
-def write_summary(lines: DataFrame, path: str) -> None:
-    lines.repartition("set_id").sortWithinPartitions("set_id", "section", "ordinal").select("set_id", "line").write.partitionBy("set_id").mode("overwrite").text(path)
+def write_summary(lines: DataFrame, root: str, sets: DataFrame | None = None) -> int:
+    rows = lines.select("set_id", F.col("section").alias("_section"), F.col("ordinal").alias("_ordinal"), F.col("line").alias("value"))
+    return store.save(rows, root, "text", sets, ("_section", "_ordinal"))
+
+
+def stored_summary(spark: SparkSession, root: str) -> DataFrame:
+    """set_id, value: each set's whole text."""
+    return store.load(spark, root, "text", "value string", wholetext=True)
 
 
 def event_line(kind: str, *fields: Column) -> Column:

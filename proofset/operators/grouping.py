@@ -3,8 +3,11 @@ never written."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,8 +56,8 @@ def pairs(kept: DataFrame, floor: float | None = None) -> DataFrame:
 
 def _tiles(kept: DataFrame, block: int, *more: str) -> DataFrame:
     """Rows of (set_id, idx, vec, ...) dealt to pairs of blocks (lo, hi) of their set; _p is a row's own block."""
-    parts = kept.groupBy("set_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_parts"))
-    rows = kept.select("set_id", "idx", "vec", *more).join(parts, "set_id").withColumn("_p", F.floor(F.col("idx") / block).cast("int"))
+    parts = kept.groupBy(F.col("set_id").alias("_s")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_parts"))
+    rows = kept.select("set_id", "idx", "vec", *more).join(parts, F.col("set_id").eqNullSafe(F.col("_s"))).withColumn("_p", F.floor(F.col("idx") / block).cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda q: F.struct(F.least("_p", q).alias("lo"), F.greatest("_p", q).alias("hi")))
     return rows.select("set_id", "idx", "vec", *more, "_p", F.explode(F.array_distinct(tiles)).alias("t")).select("set_id", "idx", "vec", *more, "_p", "t.lo", "t.hi")
 
@@ -116,15 +119,16 @@ def group_links(kept: DataFrame, members: DataFrame, block: int = 1024) -> DataF
     return found.groupBy("set_id", "a", "b").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), least).select("set_id", "a", "b", "n", "total", "w.*")
 
 
-def merge_history(sim: np.ndarray) -> list[tuple[int, int, float]]:
+def merge_history(sim: np.ndarray, sizes: np.ndarray | None = None) -> list[tuple[int, int, float]]:
     """Average-linkage merges (kept slot, absorbed slot, height), highest first, until one group is left; ties go to
-    the smallest slots. Each slot remembers its best partner, so a merge costs one row of means."""
+    the smallest slots. Each slot remembers its best partner, so a merge costs one row of means. sizes: of groups that
+    are there already, with their means in sim."""
     n = len(sim)
     if n < 2:
         return []
     mean = sim.astype(float).copy()
     np.fill_diagonal(mean, -np.inf)
-    size = np.ones(n)
+    size = np.ones(n) if sizes is None else sizes.astype(float)
     best = mean.argmax(1)
     top = mean[np.arange(n), best]
     out = []
@@ -149,22 +153,132 @@ def merge_history(sim: np.ndarray) -> list[tuple[int, int, float]]:
     return out
 
 
-def histories(kept: DataFrame, most: int = 5000) -> DataFrame:
-    """set_id, step, i, j, height (running minimum) for each set: one history answers every cut. A set beyond `most`
-    photos is refused; see assign_large() for those."""
+_HISTORY = "i long, j long, height double"
+
+
+def _key(t: pa.Table, n: int) -> pa.Array:
+    return t.column("set_id").slice(0, 1).combine_chunks().take(pa.array(np.zeros(n, np.int64)))
+
+
+def histories(kept: DataFrame, local: int = 2000, floor: float = -1.0, block: int = 1024) -> DataFrame:
+    """set_id, step, i, j (the groups' smallest idx: j joins i), height (running minimum) for each set: one history answers every cut. A set of up to `local`
+    photos is one task's work; a larger one goes by rounds (linked_history()), down to `floor` at least."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("idx")
-        if t.num_rows > most:
-            raise ValueError(f"a set has {t.num_rows} photos; more than {most} need a cut, see assign_large()")
-        v = _vectors(t)
+        idx, v = t.column("idx").to_numpy(), _vectors(t)
         found = merge_history(np.clip(v @ v.T, -1, 1))
         low = np.minimum.accumulate([h for *_, h in found]) if found else []
-        key = pa.array([t.column("set_id")[0].as_py()] * len(found), t.schema.field("set_id").type)
-        return pa.table({"set_id": key, "step": pa.array(range(len(found)), pa.int64()), "i": pa.array([x[0] for x in found], pa.int64()), "j": pa.array([x[1] for x in found], pa.int64()), "height": pa.array(low, pa.float64())})
+        return pa.table({"set_id": _key(t, len(found)), "step": pa.array(range(len(found)), pa.int64()), "i": pa.array([idx[x[0]] for x in found], pa.int64()), "j": pa.array([idx[x[1]] for x in found], pa.int64()), "height": pa.array(low, pa.float64())})
+
+    kind = kept.schema["set_id"].dataType.simpleString()
+    small = lambda rows: rows.select("set_id", "idx", "vec").groupBy("set_id").applyInArrow(run, f"set_id {kind}, step long, {_HISTORY}")
+    large = computed_once(kept.groupBy("set_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > local).select(F.col("set_id").alias("_s")))
+    if not large.limit(1).count():
+        return small(kept)
+    met = F.col("set_id").eqNullSafe(F.col("_s"))
+    return small(kept.join(large, met, "left_anti")).unionByName(linked_history(kept.join(large, met, "left_semi"), local, floor, block))
+
+
+def group_means(rows: DataFrame) -> DataFrame:
+    """set_id, g, n, vec: size and mean vector of groups, from (set_id, g, vec). Vectors are added up in their task
+    first, so a task gets a sum for each group and batch, never a group's photos."""
+    kind = rows.schema["set_id"].dataType.simpleString()
+
+    def added(t: pa.Table, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes = t.column("set_id").combine_chunks().dictionary_encode().indices
+        g, v = t.column("g").to_numpy(), _vectors(t)
+        order = np.lexsort((g, codes.fill_null(-1).to_numpy()))
+        c, g = codes.fill_null(-1).to_numpy()[order], g[order]
+        first = np.flatnonzero((np.diff(c, prepend=c[0] - 1) != 0) | (np.diff(g, prepend=g[0] - 1) != 0))
+        return order[first], np.add.reduceat(n[order], first), np.add.reduceat(v[order], first)
+
+    def table(t: pa.Table, at: np.ndarray, n: np.ndarray, v: np.ndarray) -> dict:
+        flat = pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32), v.ravel())
+        return {"set_id": t.column("set_id").combine_chunks().take(pa.array(at)), "g": t.column("g").to_numpy()[at], "n": n, "vec": flat}
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = pa.compute.list_value_length(b.column("vec"))
+            for size in pa.compute.unique(sizes).to_pylist():  # sets may have vectors of different length
+                t = pa.Table.from_batches([b]).filter(pa.compute.equal(sizes, size))
+                yield from pa.table(table(t, *added(t, np.ones(t.num_rows, np.int64)))).combine_chunks().to_batches()
+
+    def whole(t: pa.Table) -> pa.Table:
+        at, n, v = added(t, t.column("n").to_numpy())
+        return pa.table(table(t, at, n, v / n[:, None]))
+
+    ddl = f"set_id {kind}, g long, n long, vec array<double>"
+    return rows.select("set_id", "g", "vec").mapInArrow(partial, ddl).groupBy("set_id", "g").applyInArrow(whole, ddl)
+
+
+def nearest_groups(means: DataFrame, block: int = 1024) -> DataFrame:
+    """set_id, g, sim, partner: the group with the highest mean similarity to each; ties (to 12 digits) go to the
+    smallest. The mean over all pairs of two groups is the product of their mean vectors, so tiles of blocks of groups
+    are enough."""
+    place = (F.row_number().over(Window.partitionBy("set_id").orderBy("g")) - 1).cast("long")
+
+    def best(t: pa.Table) -> pa.Table:
+        t, a, b, sim, keep = _product(t)
+        g = t.column("g").to_numpy()
+        sim = np.where(keep, np.round(sim, 12), -np.inf)
+        r, c = sim.argmax(1), sim.argmax(0)  # in order of g: of equal ones the smallest
+        own = np.concatenate((a, b))
+        top = np.concatenate((sim[np.arange(len(a)), r], sim[c, np.arange(len(b))]))
+        other = np.concatenate((g[b][r], g[a][c]))
+        have = np.flatnonzero(top > -np.inf)
+        return pa.table({"set_id": _key(t, len(have)), "g": g[own][have], "sim": top[have], "partner": other[have]})
+
+    kind = means.schema["set_id"].dataType.simpleString()
+    found = _tiles(means.withColumn("idx", place), block, "g").groupBy("set_id", "lo", "hi").applyInArrow(best, f"set_id {kind}, g long, sim double, partner long")
+    return found.groupBy("set_id", "g").agg(F.max(F.struct("sim", (-F.col("partner")).alias("p"))).alias("b")).select("set_id", "g", F.col("b.sim").alias("sim"), (-F.col("b.p")).alias("partner"))
 
+
+def linked_history(kept: DataFrame, local: int = 2000, floor: float = -1.0, block: int = 1024) -> DataFrame:
+    """histories() of sets of any size, in rounds. In a round every two groups that are each other's nearest join at
+    once. Joining groups never brings one nearer to a third than its nearer part was, so these joins are those of the
+    greedy order, at the same heights. When a set has `local` groups left, one task finishes it. Labels and joins are
+    computed once; vectors are added up anew each round, as they are never stored."""
     kind = kept.schema["set_id"].dataType.simpleString()
-    return kept.select("set_id", "idx", "vec").groupBy("set_id").applyInArrow(run, f"set_id {kind}, step long, i long, j long, height double")
+    label = computed_once(kept.select("set_id", "idx", F.col("idx").alias("g")))
+    joins, k = None, 0
+    met = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+
+    def with_groups(sets: DataFrame) -> DataFrame:
+        """Vectors with their group, of some sets (_s)."""
+        own = label.join(sets, met("set_id", "_s"), "left_semi").select(F.col("set_id").alias("_t"), F.col("idx").alias("_i"), "g")
+        return kept.join(own, met("set_id", "_t") & (F.col("idx") == F.col("_i"))).select("set_id", "g", "vec")
+
+    while True:
+        counts = computed_once(label.groupBy(F.col("set_id").alias("_s")).agg(F.countDistinct("g").alias("_n")))
+        large = counts.filter(F.col("_n") > local)
+        if not large.limit(1).count():
+            break
+        near = computed_once(nearest_groups(group_means(with_groups(large)), block).filter(F.col("sim") >= floor))
+        back = near.select(F.col("set_id").alias("_t"), F.col("g").alias("_g"), F.col("partner").alias("_p"))
+        mutual = near.join(back, met("set_id", "_t") & (F.col("partner") == F.col("_g")) & (F.col("g") == F.col("_p"))).filter("g < partner")
+        now = computed_once(mutual.select("set_id", F.lit(k).alias("round"), F.col("g").alias("i"), F.col("partner").alias("j"), F.col("sim").alias("height")))
+        if not now.limit(1).count():
+            break  # what is left lies below the floor
+        moved = now.select(F.col("set_id").alias("_t"), F.col("j").alias("_j"), F.col("i").alias("_to"))
+        label = computed_once(label.join(moved, met("set_id", "_t") & (F.col("g") == F.col("_j")), "left").select("set_id", "idx", F.coalesce("_to", "g").alias("g")))
+        joins, k = (now if joins is None else joins.unionByName(now)), k + 1
+
+    def finish(t: pa.Table) -> pa.Table:
+        t = t.sort_by("g")
+        g, v = t.column("g").to_numpy(), _vectors(t)
+        found = [(s, g[i], g[j], h) for s, (i, j, h) in enumerate(merge_history(np.clip(v @ v.T, -1, 1), t.column("n").to_numpy()))]
+        cols = [pa.array([x[c] for x in found], kind_) for c, kind_ in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
+        return pa.table([_key(t, len(found)), *cols], names=["set_id", "late", "i", "j", "height"])
+
+    rest = group_means(with_groups(counts.filter(F.col("_n") <= local))).groupBy("set_id").applyInArrow(finish, f"set_id {kind}, late long, {_HISTORY}")
+    rest = rest.select("set_id", F.lit(k).alias("round"), "late", "i", "j", "height")
+    whole = rest if joins is None else joins.withColumn("late", F.lit(0).cast("long")).unionByName(rest)
+    # a join is never higher than what it joins, but for the last digits
+    order = Window.partitionBy("set_id").orderBy(F.desc(F.round("height", 12)), "round", "late", "i", "j")
+    whole = whole.withColumn("step", (F.row_number().over(order) - 1).cast("long"))
+    low = F.min("height").over(Window.partitionBy("set_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    return whole.select("set_id", "step", "i", "j", low.alias("height"))
 
 
 def sweep(history: DataFrame, kept: DataFrame) -> DataFrame:
@@ -216,8 +330,10 @@ def assign(history: DataFrame, kept: DataFrame, cut: DataFrame) -> DataFrame:
     def replay(t: pa.Table, m: pa.Table) -> pa.Table:
         idx = np.sort(t.column("idx").to_numpy())
         slot = np.arange(len(idx))
-        for i, j in zip(*(m.sort_by("step").column(c).to_pylist() for c in ("i", "j")), strict=True) if m.num_rows else ():
-            slot[slot == j] = i
+        if m.num_rows:  # each slot is absorbed once, so its last owner is found by leaps
+            slot[np.searchsorted(idx, m.column("j").to_numpy())] = np.searchsorted(idx, m.column("i").to_numpy())
+            while (slot[slot] != slot).any():
+                slot = slot[slot]
         return pa.table({"set_id": pa.array([t.column("set_id")[0].as_py()] * len(idx), t.schema.field("set_id").type), "idx": idx, "first": idx[slot] if len(idx) else idx})
 
     kind = kept.schema["set_id"].dataType.simpleString()
@@ -233,7 +349,7 @@ def numbered(members: DataFrame) -> DataFrame:
 
 def near_components(kept: DataFrame, cut: float) -> DataFrame:
     """set_id, idx, part: components of the pairs at or above a cut, by shortest labels; no merge crosses them, so a
-    set too large for one task is clustered part by part."""
+    set can be clustered part by part."""
     edges = pair_blocks(kept, cut)
     both = computed_once(edges.select("set_id", "i", "j").unionByName(edges.select("set_id", F.col("j").alias("i"), F.col("i").alias("j"))))
     label = computed_once(kept.select("set_id", F.col("idx").alias("i"), F.col("idx").alias("part")))
@@ -247,13 +363,14 @@ def near_components(kept: DataFrame, cut: float) -> DataFrame:
         label = new
 
 
-def assign_large(kept: DataFrame, cut: float, most: int = 5000) -> DataFrame:
-    """assign() at one given cut for sets of any size whose components of near pairs fit a task."""
+def assign_large(kept: DataFrame, cut: float, local: int = 2000) -> DataFrame:
+    """assign() at one given cut, by components of near pairs: cheaper than a history where the cut leaves small ones.
+    A component beyond `local` photos goes by rounds, down to the cut."""
     parts = near_components(kept, cut)
     keyed = kept.join(parts, ["set_id", "idx"]).withColumn("_set", F.struct("set_id", "part")).select(F.col("_set").alias("set_id"), "idx", "vec")
     flat = keyed.withColumn("set_id", F.to_json("set_id"))
     own = flat.join(keyed.select("idx", F.col("set_id.set_id").alias("real"), F.to_json("set_id").alias("set_id")), ["set_id", "idx"])
-    found = assign(histories(flat, most), flat, flat.select("set_id").distinct().withColumn("cut", F.lit(cut)))
+    found = assign(histories(flat, local, cut), flat, flat.select("set_id").distinct().withColumn("cut", F.lit(cut)))
     return numbered(found.select(F.col("set_id").alias("key"), "idx", "first").join(own.select(F.col("set_id").alias("key"), "idx", F.col("real").alias("set_id")), ["key", "idx"]).select("set_id", "idx", "first"))
 
 

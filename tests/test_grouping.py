@@ -106,11 +106,50 @@ def test_large_sets_by_components_give_the_same_groups(spark):
     kept, _, _ = gr.intake(fans(spark))
     cut = 0.8
     small = gr.assign(gr.histories(kept), kept, kept.select("set_id").distinct().withColumn("cut", F.lit(cut)))
-    large = gr.assign_large(kept, cut, most=6)
+    large = gr.assign_large(kept, cut, local=4)
     key = lambda df: sorted((r.set_id, r.idx, r.group_no) for r in df.collect())
     assert key(small) == key(large)
-    with pytest.raises(Exception, match="more than 6"):
-        gr.histories(kept, most=6).collect()
+
+
+def same_history(rounds, greedy):
+    """Equal heights, and equal groups after each distinct height."""
+    assert [h for *_, h in rounds] == pytest.approx([h for *_, h in greedy], abs=1e-9)
+    for cut in {round(h, 9) for *_, h in greedy}:
+        owner = {}
+        for name, found in (("rounds", rounds), ("greedy", greedy)):
+            slot = list(range(len(greedy) + 1))
+            for i, j, h in found:
+                if h >= cut - 1e-9:
+                    slot = [i if x == j else x for x in slot]
+            owner[name] = slot
+        assert owner["rounds"] == owner["greedy"]
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_rounds_of_nearest_pairs_are_the_greedy_merges(spark, seed):
+    """Sets of vectors with many exact ties (components of plus or minus a half) and of random ones."""
+    rng = np.random.default_rng(seed)
+    sets_ = {"ties": rng.choice([-0.5, 0.5], (50, 4)), "random": rng.normal(size=(60, 8)), "few": rng.normal(size=(5, 8)), None: rng.normal(size=(30, 3))}
+    rows = [(s, k, [float(x) for x in v / np.linalg.norm(v)]) for s, vs in sets_.items() for k, v in enumerate(vs)]
+    kept = spark.createDataFrame(rows, "set_id string, idx long, vec array<double>").repartition(3)
+    got = {}
+    for r in gr.histories(kept, local=20, block=16).orderBy("set_id", "step").collect():
+        got.setdefault(r.set_id, []).append((r.i, r.j, r.height))
+    for s, vs in sets_.items():
+        v = np.array([x for t, _, x in rows if t == s])
+        same_history(got[s], gr.merge_history(np.clip(v @ v.T, -1, 1)))
+
+
+def test_rounds_end_at_the_floor(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(80, 16))
+    kept = spark.createDataFrame([("s", k, [float(x) for x in u / np.linalg.norm(u)]) for k, u in enumerate(v)], "set_id string, idx long, vec array<double>")
+    some = gr.histories(kept, local=30, floor=0.4).cache()
+    every = gr.histories(kept).collect()
+    assert some.filter("height >= 0.4").count() == sum(r.height >= 0.4 for r in every) > 0
+    cut = kept.select("set_id").distinct().withColumn("cut", F.lit(0.4))
+    key = lambda df: sorted((r.idx, r.group_no) for r in df.collect())
+    assert key(gr.assign(some, kept, cut)) == key(gr.assign(gr.histories(kept), kept, cut))
 
 
 def test_pairs_of_blocks_are_all_pairs(spark):

@@ -2,8 +2,9 @@
 
 The turns of a conversation stream past in order. Running sums of their tokens choose spans that begin and end
 at turns and fit the budget; each window repeats the system turn and as much of the latest history as its own
-small budget allows, then brings new turns. Only assistant turns that a window brings for the first time are
-under its loss mask, so that every assistant text is learned from once.
+small budget allows, then brings new turns. No window exceeds its budget but for a single turn beyond it; where the
+system turn and the first new turn do not fit together, that window goes without the system turn. Only assistant turns
+that a window brings for the first time are under its loss mask, so that every assistant text is learned from once.
 
 Nothing holds a whole conversation: turns are sorted within partitions and pass by one at a time, and a window
 is bounded by the budget (or by one turn: a turn beyond the budget gets a window of its own, whole).
@@ -90,8 +91,10 @@ class Windows:
         self.seen += 1
 
     def _begin(self, tokens: int) -> None:
-        """The repeated part: the system turn, then the longest suffix of the history that fits its budget."""
-        self.repeated = [self.system] if self.window and self.system else []
+        """The repeated part: the system turn, if it leaves room for the first new turn, then the longest suffix of the
+        history that fits its budget."""
+        fits = self.system and self.system[2] + tokens <= self.budget
+        self.repeated = [self.system] if self.window and fits else []
         self.used = sum(t[2] for t in self.repeated)
         room, kept = min(self.history, self.budget - self.used - tokens), []
         for turn in reversed(self.past):

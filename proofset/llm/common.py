@@ -33,6 +33,17 @@ def free_name(taken: Iterable[str], name: str) -> str:
     return name
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def text_key(text: Column) -> tuple[Column, Column]:
+    """Two hashes of 64 bits of a text that know nothing of each other (Spark seeds each argument's hash with the one
+    before, so the constant comes first)."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir of the session. Only a local session
     may go without: a temporary folder is made and set then."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofset.llm.common import block_count, free_name, slices, table, text_bytes, utf8, written
+from proofset.llm.common import block_count, free_name, slices, table, text_bytes, text_key, utf8, written
 
 WORD_BYTES = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(0x80, 0x100))
 TO_WORDS = bytes(c if c in WORD_BYTES else 32 for c in bytes(range(256)).lower())
@@ -200,7 +200,7 @@ def _matched(docs: DataFrame, benchmark: DataFrame, text: str, window: int, item
 
         return docs.mapInArrow(scan, ddl)
 
-    bodies = docs.select(F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"), F.col(text).alias("body")).filter("body is not null")
+    bodies = docs.select(*[h.alias(c) for h, c in zip(text_key(F.col(text)), "ab", strict=True)], F.col(text).alias("body")).filter("body is not null")
     hits = None
     for group in chain([first, second], groups):
         model = spark.sparkContext.broadcast(SuffixAutomaton(group, window))
@@ -217,7 +217,7 @@ def _matched(docs: DataFrame, benchmark: DataFrame, text: str, window: int, item
     hits = written(hits, "benchmark-hits").groupBy("a", "b").agg(F.collect_list("hit").alias("hits"))  # one for each group at most
     a, b, key = (free_name(docs.columns, n) for n in ("text_a", "text_b", "hits"))
     hits = hits.select(F.col("a").alias(a), F.col("b").alias(b), F.col("hits").alias(key))
-    marked = docs.withColumns({a: F.xxhash64(text), b: F.xxhash64(text, F.lit(1))}).join(hits, [a, b], "left").drop(a, b)
+    marked = docs.withColumns(dict(zip((a, b), text_key(F.col(text)), strict=True))).join(hits, [a, b], "left").drop(a, b)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, 4 << 20):
@@ -277,7 +277,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "tex
                 out = out.set_column(at, cols[at], pa.array(n, out.schema.field(at).type))
         return out if len(keep) == b.num_rows else out.take(pa.array(keep, pa.int64()))
 
-    return _matched(docs, benchmark, text, window, item_id, item_text, group_bytes, cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    return _matched(docs, benchmark, text, window, item_id, item_text, group_bytes, cut, docs.schema)
 
 
 def cut_words(text: str, spans: list[int]) -> str:

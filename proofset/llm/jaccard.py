@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofset.llm.common import free_name, slices, table, utf8, written
+from proofset.llm.common import free_name, quoted, slices, table, utf8, written
 from proofset.llm.components import components
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -308,11 +308,13 @@ def tile_plan(members: DataFrame, rule: Rule, tile_hashes: int) -> DataFrame:
 
 def exact_edges(docs: DataFrame, sets: DataFrame, near: DataFrame, rule: Rule, doc_id: str, text: str, tile_hashes: int = 1_500_000) -> DataFrame:
     """a, b: spanning forests of the exact links inside the components of near pairs."""
-    sized = sets.filter("set_hash is not null").groupBy("set_hash").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"))
+    sized = sets.filter("set_hash is not null").groupBy("set_hash").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "mark")).alias("rep"))
     members = near.select(F.col("node").alias("set_hash"), "component").join(sized, "set_hash")
     plan = tile_plan(members.select("set_hash", "component", "n"), rule, tile_hashes).join(members.select("set_hash", "rep"), "set_hash")
     bodies = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text is not null")
-    wanted = bodies.join(plan.select("rep", "set_hash", "tiles"), F.col("doc_id").eqNullSafe(F.col("rep")))
+    # by id and text: many texts may stand under one id, or under none; of rows that are equal in both, one is enough
+    named = plan.select(F.col("rep.doc_id").alias("rep"), F.col("rep.mark").alias("mark"), "set_hash", "tiles")
+    wanted = bodies.join(named, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.xxhash64("text") == F.col("mark")))
     return wanted.select("set_hash", "text", F.explode("tiles").alias("tile")).groupBy("tile").applyInArrow(lambda t: verified(t, rule), "a long, b long")
 
 
@@ -373,8 +375,9 @@ def keep_one(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text:
     names = [free_name(docs.columns, n) for n in ("kept_id", "kept_mark", "kept_rows")]
     stay = first.select(*[F.col(f"first.{c}").alias(n) for c, n in zip(("doc_id", "mark", "rows"), names, strict=True)])
     kept = docs.filter(~blank).join(stay.hint("merge"), F.col(doc_id).cast("long").eqNullSafe(F.col(names[0])) & (F.xxhash64(F.col(text)) == F.col(names[1])))
-    once = kept.filter(F.col(names[2]) == 1).select(*docs.columns)
-    repeated = kept.filter(F.col(names[2]) > 1).select(*docs.columns).dropDuplicates([doc_id, text])  # only rows that stand several times
+    own = [quoted(c) for c in docs.columns]
+    once = kept.filter(F.col(names[2]) == 1).select(*own)
+    repeated = kept.filter(F.col(names[2]) > 1).select(*own).dropDuplicates([doc_id, text])  # only rows that stand several times
     return docs.filter(blank).unionByName(once).unionByName(repeated)
 
 

@@ -26,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 from pyspark.sql.window import Window
 
-from proofset.llm.common import crc_of_id, free_name, slices, table, utf8
+from proofset.llm.common import crc_of_id, free_name, quoted, slices, table, utf8
 
 SEGMENT, CONTEXT = 224, 32
 PAD, HOLD = 256, 1e4  # not a byte; at it the update gate is held at 1, so states stay, and no gradient passes
@@ -183,7 +184,7 @@ def pooled(net: ByteNet, texts: list[bytes], most_rows: int = 1024) -> tuple[np.
         scores = net.log_scores(np.ascontiguousarray(rows[pick, :steps].T).astype(np.intp))
         place = np.arange(steps)[:, None] - first[pick]
         inside = (place >= 0) & (place < length[pick])
-        top, best = scores[0].copy(), np.zeros(scores.shape[1:], np.int8)
+        top, best = scores[0].copy(), np.zeros(scores.shape[1:], np.int32)
         for k in range(1, langs):
             better = scores[k] > top
             best[better] = k
@@ -252,8 +253,9 @@ def identify(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFr
     asked of the JVM."""
     letters = free_name(docs.columns, "letters")
     marked = docs.withColumn(letters, has_letter(F.col(text)))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name.lower() not in OUTPUTS)
-    return marked.mapInArrow(labelled_batches(net, text, letters), f"{fields}, lang_pred string, score double, positions array<long>")
+    schema = StructType([f for f in docs.schema.fields if f.name.lower() not in OUTPUTS])
+    schema = schema.add("lang_pred", "string").add("score", "double").add("positions", ArrayType(LongType()))
+    return marked.mapInArrow(labelled_batches(net, text, letters), schema)
 
 
 def keep_identified(docs: DataFrame, net: ByteNet | None, least_score: float, text: str = "text") -> DataFrame:
@@ -262,7 +264,7 @@ def keep_identified(docs: DataFrame, net: ByteNet | None, least_score: float, te
     if net is None:
         return docs.filter(has_letter(F.col(text)))
     cols = docs.columns
-    whole = docs.select(F.col(text).alias("body"), F.struct(*[F.col(c) for c in cols]).alias("row"))
+    whole = docs.select(F.col(text).alias("body"), F.struct(*[quoted(c).alias(c) for c in cols]).alias("row"))
     kept = identify(whole, net, "body").filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
     return kept.select(*[F.col("row")[c].alias(c) for c in cols])
 

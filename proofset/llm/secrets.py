@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofset.llm.common import free_name, written
+from proofset.llm.common import free_name, quoted, text_key, written
 
 # Patterns of the base kinds, in the order in which ties on the start are listed.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -135,7 +135,7 @@ def redact_live(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", own
 
     Every text is matched once. What is stored in between has places and hashes of values, and no text; it is
     joined to the documents by a hash of 128 bits of the text."""
-    of_text = lambda t: F.struct(F.xxhash64(t).alias("a"), F.xxhash64(t, F.lit(1)).alias("b"))
+    of_text = lambda t: F.struct(*[h.alias(c) for h, c in zip(text_key(t), "ab", strict=True)])
     rows = docs.select(F.col(owner).alias("owner"), F.col(repository).alias("repository"), of_text(F.col(text)).alias("key"), F.col(text).alias("text"))
     has = written(find_candidates(rows).filter(F.size("candidates") > 0), "secrets")
     spans = label_candidates(has.dropDuplicates(["key"]), ownership(has), "key", copied_owners, copied_repositories)
@@ -153,7 +153,7 @@ def redact_live(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", own
     if "n_chars" in docs.columns:
         size = F.char_length(F.array_join(kept, mask))
         fixed["n_chars"] = F.when(at.isNotNull(), size.cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return hit.withColumns(fixed).select(*docs.columns)
+    return hit.withColumns(fixed).select(*[quoted(c) for c in docs.columns])
 
 
 def op10_secret_scans(spark, sf_dir: str) -> DataFrame:

@@ -255,7 +255,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, most_coverage: float = 0.5, item_id: str = "item_id", item_text: str = "text", group_bytes: int = 1 << 20) -> DataFrame:
     """docs with the hit spans cut out of their texts; a document is dropped when more than most_coverage of
     its words are hit. Same columns; n_chars, where there is one, follows the text."""
-    cols = docs.columns
+    names, cols = docs.columns, [f"c{k}" for k in range(len(docs.columns))]  # Spark's Python steps take no dots in names
+    rows, body_at = docs.toDF(*cols), names.index(text)
+    chars_at = names.index("n_chars") if "n_chars" in names else None
+    text = cols[body_at]
 
     def cut(b: pa.RecordBatch, found: tuple) -> pa.RecordBatch:
         spans, _, words = found
@@ -267,17 +270,15 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "tex
             body = b.column(text).to_pylist()
             for i in hit:
                 body[i] = cut_words(body[i], spans[i])
-            at = cols.index(text)
-            out = out.set_column(at, cols[at], pa.array(body, out.schema.field(at).type))
-            if "n_chars" in cols:
-                at = cols.index("n_chars")
-                n = out.column(at).to_pylist()
+            out = out.set_column(body_at, text, pa.array(body, out.schema.field(body_at).type))
+            if chars_at is not None:
+                n = out.column(chars_at).to_pylist()
                 for i in hit:
                     n[i] = len(body[i])
-                out = out.set_column(at, cols[at], pa.array(n, out.schema.field(at).type))
+                out = out.set_column(chars_at, cols[chars_at], pa.array(n, out.schema.field(chars_at).type))
         return out if len(keep) == b.num_rows else out.take(pa.array(keep, pa.int64()))
 
-    return _matched(docs, benchmark, text, window, item_id, item_text, group_bytes, cut, docs.schema)
+    return _matched(rows, benchmark, text, window, item_id, item_text, group_bytes, cut, rows.schema).toDF(*names)
 
 
 def cut_words(text: str, spans: list[int]) -> str:

@@ -7,7 +7,7 @@ from proofset.llm import chat, decontaminate, jaccard, language_id, secrets
 from proofset.llm.common import text_key
 
 WORDS = "the of and to in that it was for on are with as his they be at one have this from".split()
-DOTTED = "doc_id long, text string, lang string, source string, `meta.url` string, `odd``name` long"
+DOTTED = "doc_id long, text string, lang string, source string, `meta.url` string, `odd name` long"
 
 
 def dotted(spark):

@@ -305,6 +305,28 @@ def second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.summary.select(F.col("set_id").cast("long").alias("set_id"), "processed", "unchanged", "n_flagged", "n_pass", "n_review", "n_fail", "n_skipped")
 
 
+# Clustering step by step: r holds all pairs of groups after each merge; the best of a step is the next merge.
+_MERGES = f"""WITH RECURSIVE {_VECS},
+    r AS (SELECT set_id, 0 AS step, i AS a, j AS b, sim AS total, 1 AS na, 1 AS nb FROM p
+        UNION ALL SELECT set_id, step + 1 AS step, least(x, y) AS a, greatest(x, y) AS b, sum(total) AS total, max(CASE WHEN x < y THEN nx ELSE ny END) AS na, max(CASE WHEN x < y THEN ny ELSE nx END) AS nb
+        FROM (SELECT set_id, step, total, CASE WHEN a = bj THEN bi ELSE a END AS x, CASE WHEN b = bj THEN bi ELSE b END AS y, CASE WHEN a IN (bi, bj) THEN ni + nj ELSE na END AS nx, CASE WHEN b IN (bi, bj) THEN ni + nj ELSE nb END AS ny
+            FROM (SELECT *, first_value(a) OVER o AS bi, first_value(b) OVER o AS bj, first_value(na) OVER o AS ni, first_value(nb) OVER o AS nj FROM r WINDOW o AS (PARTITION BY set_id ORDER BY total / (na * nb) DESC, a, b)))
+        WHERE x <> y GROUP BY set_id, step, least(x, y), greatest(x, y)),
+    m AS (SELECT set_id, step, a AS i, b AS j, min(h) OVER (PARTITION BY set_id ORDER BY step) AS low FROM (SELECT *, total / (na * nb) AS h, row_number() OVER (PARTITION BY set_id, step ORDER BY total / (na * nb) DESC, a, b) AS n FROM r) WHERE n = 1),
+    cuts(raw, cut) AS (VALUES {", ".join(f"({raw!r}::DOUBLE, {cut!r}::DOUBLE)" for raw, cut in grouping.cuts())}),
+    n AS (SELECT set_id, count(*) AS n FROM u GROUP BY set_id),
+    sw AS (SELECT n.set_id, cut, CAST(n.n - count(m.low) AS INTEGER) AS students FROM n CROSS JOIN cuts LEFT JOIN m ON m.set_id = n.set_id AND m.low >= cuts.raw GROUP BY n.set_id, cut, n.n)"""
+ORACLE_SQL["cut_sweep"] = f"""{_MERGES} SELECT set_id, cut, students, abs(cut - 0.363e0) < 0.005e0 AS marked FROM (SELECT *, lag(students) OVER (PARTITION BY set_id ORDER BY cut) AS was FROM sw)
+    WHERE was IS NULL OR was <> students OR abs(cut - 0.363e0) < 0.005e0"""
+ORACLE_SQL["clustering"] = f"""{_MERGES},
+    st AS (SELECT *, CASE WHEN students = lag(students) OVER (PARTITION BY set_id ORDER BY cut) THEN 0 ELSE 1 END AS new FROM sw WHERE cut BETWEEN 0.3e0 - 1e-9 AND 0.78e0 + 1e-9),
+    runs AS (SELECT set_id, run, list(cut ORDER BY cut) AS c FROM (SELECT *, sum(new) OVER (PARTITION BY set_id ORDER BY cut ROWS UNBOUNDED PRECEDING) AS run FROM st) GROUP BY set_id, run),
+    chosen AS (SELECT set_id, c[len(c) // 2 + 1] AS cut FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY len(c) DESC, c[1] DESC) AS n FROM runs) WHERE n = 1),
+    g AS (SELECT set_id, idx, idx AS cur FROM u UNION ALL SELECT g.set_id, g.idx, m.i AS cur FROM g JOIN chosen ON chosen.set_id = g.set_id JOIN m ON m.set_id = g.set_id AND m.j = g.cur AND m.low >= chosen.cut),
+    f AS (SELECT set_id, idx, min(cur) AS first FROM g GROUP BY ALL)
+    SELECT set_id, idx, CAST(dense_rank() OVER (PARTITION BY set_id ORDER BY first) AS INTEGER) AS group_no, 'S' || lpad(CAST(dense_rank() OVER (PARTITION BY set_id ORDER BY first) AS VARCHAR), 2, '0') AS student FROM f"""
+
+
 @query(None)
 def analysis_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole grouping pass over all sets: the text summary."""

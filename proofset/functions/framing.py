@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from proofset.functions.grading import percent
+from proofset.functions.grading import as_column, percent
 
 HEAD_TO_FRAME = 3.4
 # Fixed values of the crop search.
@@ -117,12 +117,14 @@ def search_boxes(cx, ey, scale, w, h, crown, ratio: float, zoom: float, eye_line
     return np.stack([lefts, tops, lefts + broad, tops + high, 1 - high / ideal, drift, np.abs(lefts - (cx - broad / 2)) / broad, none.astype(float)], 1)
 
 
-def plan_crops(faces: DataFrame, ratio: float = 0.8, zoom: float = 1.0, eye_line: float = 0.42, batch: int = 256) -> DataFrame:
+def plan_crops(faces: DataFrame, ratio: float | Column = 0.8, zoom: float | Column = 1.0, eye_line: float | Column = 0.42, batch: int = 256) -> DataFrame:
     """faces (one per photo, with w, h and crown or NULL) plus crop (struct), planned_head and notes; a face that
-    the photo cuts off gets skip_reason and no crop. The 2,412 candidates of a face never become rows."""
+    the photo cuts off gets skip_reason and no crop. The 2,412 candidates of a face never become rows. Settings may be
+    columns: faces of equal settings are searched together."""
     ex, ey = eye_middle()
     rows = faces.withColumns({"skip_reason": skip_reason(F.col("w"), F.col("h")), "_s": face_scale(), "_x": ex, "_y": ey})
     rows = rows.withColumns({"_w": F.col("w").cast("double"), "_h": F.col("h").cast("double"), "_c": F.col("crown").cast("double")})
+    rows = rows.withColumns({k: as_column(v).cast("double") for k, v in (("_ratio", ratio), ("_zoom", zoom), ("_line", eye_line))})
     names = ["left", "top", "right", "bottom", "zoom_in", "drift", "slide", "fallback"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +132,12 @@ def plan_crops(faces: DataFrame, ratio: float = 0.8, zoom: float = 1.0, eye_line
             for at in range(0, whole.num_rows, batch):
                 b = whole.slice(at, batch)
                 col = lambda n, b=b: b.column(n).to_numpy(zero_copy_only=False).astype(float)
+                how, which = np.unique(np.stack([col("_ratio"), col("_zoom"), col("_line")], 1), axis=0, return_inverse=True)
+                face, found = np.stack([col(n) for n in ("_x", "_y", "_s", "_w", "_h", "_c")]), np.zeros((b.num_rows, len(names)))
                 with np.errstate(invalid="ignore", divide="ignore"):
-                    found = search_boxes(col("_x"), col("_y"), col("_s"), col("_w"), col("_h"), col("_c"), ratio, zoom, eye_line)
+                    for k, (r, z, line) in enumerate(how.tolist()):
+                        own = which.ravel() == k
+                        found[own] = search_boxes(*face[:, own], r, z, line)
                 plan = pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(8)], names)
                 yield pa.record_batch([*b.columns, plan], names=[*b.schema.names, "crop"])
 
@@ -145,8 +151,8 @@ def plan_crops(faces: DataFrame, ratio: float = 0.8, zoom: float = 1.0, eye_line
         F.when(crop["slide"] > 0.05, F.concat(percent(crop["slide"]), F.lit(" off-center (subject near the edge)"))),
     )
     kept = F.col("skip_reason").isNull()
-    head = F.bround(HEAD_TO_FRAME * F.col("_s") / zoom / (crop["bottom"] - crop["top"]), 3)
-    return out.withColumns({"planned_head": F.when(kept, head), "notes": F.when(kept, F.filter(notes, lambda n: n.isNotNull())), "crop": F.when(kept, crop)}).drop("_s", "_x", "_y", "_w", "_h", "_c")
+    head = F.bround(HEAD_TO_FRAME * F.col("_s") / F.col("_zoom") / (crop["bottom"] - crop["top"]), 3)
+    return out.withColumns({"planned_head": F.when(kept, head), "notes": F.when(kept, F.filter(notes, lambda n: n.isNotNull())), "crop": F.when(kept, crop)}).drop("_s", "_x", "_y", "_w", "_h", "_c", "_ratio", "_zoom", "_line")
 
 
 def report_boxes() -> dict[str, Column]:

@@ -37,32 +37,38 @@ def band(x: Column, ok: tuple[float, float], review: tuple[float, float]) -> Col
     return F.when(x.between(*ok), 0).when(x.between(*review), 1).otherwise(2)
 
 
-def judge(measures: DataFrame, size: tuple[int, int] = (1600, 2000), eye_line: float = 0.42, zoom: float = 1.0, bw: bool = False) -> DataFrame:
+def as_column(value) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def judge(measures: DataFrame, size: tuple = (1600, 2000), eye_line: float | Column = 0.42, zoom: float | Column = 1.0, bw: bool | Column = False) -> DataFrame:
     """measures plus grade and reasons (array, in the order of the checks). Columns that are missing count as
-    checks that did not run; without a face only the first four checks run."""
+    checks that did not run; without a face only the first four checks run. Any of the settings may be a column, so
+    that every set is judged by its own; see with_settings()."""
     have = set(measures.columns)
+    width, height, line, zoom, bw = (as_column(v) for v in (*size, eye_line, zoom, bw))
     c = lambda name: F.col(name) if name in have else F.lit(None).cast("double")
     hit = lambda when, rank, why: F.when(when, F.struct(F.lit(rank).alias("rank"), why.alias("why")))
     graded = lambda x, r, why: F.when(x.isNotNull() & (r > 0), F.struct(r.alias("rank"), why.alias("why")))
     text = F.lit
     eye, centre, head, plan = c("eye_line"), c("center") - 0.5, c("head_size"), c("planned_head")
     room, hue, chroma, change = c("headroom"), c("skin_hue"), c("skin_chroma"), F.abs(c("face_lightness_change"))
-    roomy = 0.2 + 0.4 * max(0.0, 1 - zoom)
+    roomy = 0.2 + 0.4 * F.greatest(F.lit(0.0), 1 - zoom)
     face = F.coalesce(c("face"), F.lit(1)) > 0
     first = [
-        hit((c("width") != size[0]) | (c("height") != size[1]), 2, F.concat(text("size "), c("width").cast("long").cast("string"), text("x"), c("height").cast("long").cast("string"), text(f", expected {size[0]}x{size[1]}"))),
+        hit((c("width") != width) | (c("height") != height), 2, F.concat(text("size "), c("width").cast("long").cast("string"), text("x"), c("height").cast("long").cast("string"), text(", expected "), width.cast("long").cast("string"), text("x"), height.cast("long").cast("string"))),
         hit(~c("srgb").cast("boolean"), 2, text("no sRGB color profile")),
         hit(c("metadata_tags") > 0, 2, text("metadata (EXIF/GPS) not stripped")),
         hit(~face, 2, text("no face found in the output")),
     ]
     rest = [
-        graded(eye, band(eye - eye_line, (-0.03, 0.11), (-0.10, 0.16)), F.concat(text("eyes at "), percent(eye), text(f" from the top, not {eye_line:.0%}"))),
+        graded(eye, band(eye - line, (-0.03, 0.11), (-0.10, 0.16)), F.concat(text("eyes at "), percent(eye), text(" from the top, not "), percent(line))),
         hit(~room.between(0.02, roomy), 1, F.when(room < 0.005, "top of the head is cut off").when(room < 0.02, "top of the head is tight to the edge").otherwise("a lot of empty space above the head")),
         graded(centre, band(centre, (-0.04, 0.04), (-0.15, 0.15)), F.concat(text("face "), percent(F.abs(centre)), text(" off-center"))),
         graded(head, F.when(plan.isNull(), band(head, (0.9, 1.1), (0.75, 1.3))).otherwise(band(head / plan, (0.92, 1.08), (0.8, 1.25))), F.when(plan.isNull(), F.concat(text("head "), fixed(head, 2), text("x the standard size"))).otherwise(F.concat(text("head "), fixed(head, 2), text("x the requested size, but the crop planned "), fixed(plan, 2), text("x")))),
         hit(c("other_faces") > 0, 1, text("someone else's face is in the frame")),
         hit(c("face_blown") > 0.03, 1, F.concat(percent(c("face_blown")), text(" of the face is blown out (harsh light or shine)"))),
-        hit(F.lit(not bw) & hue.isNotNull() & ~((chroma < 6) | (hue.between(28, 77) & (chroma <= 57))), 1, F.concat(text("skin color looks off (hue "), F.bround(hue).cast("int").cast("string"), text(", chroma "), F.bround(chroma).cast("int").cast("string"), text(")"))),
+        hit(~bw & hue.isNotNull() & ~((chroma < 6) | (hue.between(28, 77) & (chroma <= 57))), 1, F.concat(text("skin color looks off (hue "), F.bround(hue).cast("int").cast("string"), text(", chroma "), F.bround(chroma).cast("int").cast("string"), text(")"))),
         hit(F.isnan(c("eye_sharpness")) | (c("eye_sharpness") < 0.6), 1, text("eyes look soft (focus miss or motion?)")),
         graded(c("fidelity_ssim"), band(c("fidelity_ssim"), (0.9, 1.0), (0.8, 1.0)), F.concat(text("edit changed the photo a lot (SSIM "), fixed(c("fidelity_ssim"), 2), text(")"))),
         hit(c("clipping_added") > 0.005, 1, F.concat(text("the edit blew out "), fixed(c("clipping_added") * 100, 1), text("% of the face"))),
@@ -76,6 +82,27 @@ def judge(measures: DataFrame, size: tuple[int, int] = (1600, 2000), eye_line: f
     return out.withColumns({"grade": grade_of(F.coalesce(F.array_max(F.transform("_hits", lambda x: x["rank"])), F.lit(0))), "reasons": F.transform("_hits", lambda x: x["why"])}).drop("_hits")
 
 
+def with_settings(rows: DataFrame, settings: DataFrame) -> tuple[DataFrame, dict]:
+    """rows joined with their set's settings (set_id, ratio, width, zoom, eye_line, bw; the defaults where a set has
+    none), under names that begin with _set_, and what judge() takes for them. One row of settings for each set."""
+    names = {"ratio": 0.8, "width": 1600, "zoom": 1.0, "eye_line": 0.42, "bw": False}
+    own = settings.select(F.col("set_id").alias("_set_id"), *[F.col(c).alias(f"_set_{c}") for c in names])
+    out = rows.join(own, F.col("set_id").eqNullSafe(F.col("_set_id")), "left").drop("_set_id")
+    out = out.withColumns({f"_set_{c}": F.coalesce(f"_set_{c}", F.lit(v)) for c, v in names.items()})
+    size = (F.col("_set_width"), F.bround(F.col("_set_width") / F.col("_set_ratio")).cast("long"))
+    return out, {"size": size, "eye_line": F.col("_set_eye_line"), "zoom": F.col("_set_zoom"), "bw": F.col("_set_bw")}
+
+
+def without_settings(rows: DataFrame) -> DataFrame:
+    return rows.drop(*[c for c in rows.columns if c.startswith("_set_")])
+
+
+def judge_sets(measures: DataFrame, settings: DataFrame) -> DataFrame:
+    """judge() with each set's own settings."""
+    rows, how = with_settings(measures, settings)
+    return without_settings(judge(rows, **how))
+
+
 def stored(measures: DataFrame) -> DataFrame:
     """The measures as the report keeps them: rounded half to even."""
     return measures.withColumns({k: F.bround(F.col(k), n) for k, n in ROUNDED.items() if k in measures.columns})

@@ -39,7 +39,7 @@ def with_output_times(report: DataFrame, outputs: DataFrame) -> DataFrame:
     return report.drop("now_mtime_ns").join(now, ["set_id", "output"], "left")
 
 
-def run_sets(listing: DataFrame, report: DataFrame, measures: DataFrame, key: Column, sidecars: DataFrame | None = None, force: bool = False, look: str | None = None, by: str = "local") -> SetRun:
+def run_sets(listing: DataFrame, report: DataFrame, measures: DataFrame, key: Column, sidecars: DataFrame | None = None, force: bool = False, look: str | None = None, by: str = "local", settings: DataFrame | None = None) -> SetRun:
     """One grading pass. listing: set_id, source, size, mtime_ns. report: the saved rows (see classify(); with grade,
     reasons, notes, decide and a column for each metric, as far as they are known, see flat()). measures: set_id,
     source, output and any metrics, or skip_reason for a photo that has no output.
@@ -48,6 +48,7 @@ def run_sets(listing: DataFrame, report: DataFrame, measures: DataFrame, key: Co
     upscale check; all others are judged. All are decided, taken over or not. A listed photo without measures is an
     entry too, SKIPPED with its reason; edited by hand, it keeps its metrics and time until there are new ones. look:
     the column of measures with scores of another decider, whose saved decisions are taken again on an equal basis.
+    settings: each set's own (see with_settings()), by which its photos are judged; key should tell them apart.
     The rows, which the checks over the set, the summary and the events all need, are computed once, at the call."""
     none = F.lit(None)
     classified = inventory.classify(inventory.pick_sources(listing, sidecars), report, key, force).withColumn("_key", key)
@@ -64,7 +65,10 @@ def run_sets(listing: DataFrame, report: DataFrame, measures: DataFrame, key: Co
     todo = classified.filter(F.col("class") == "todo")
     todo = todo.withColumn("notes", texts(todo, "notes")).select("set_id", "source", "class", "size", "mtime_ns", F.col("_key").alias("key"), "notes").join(given, ["set_id", "source"], "left")
     todo = todo.withColumn("notes", F.concat("notes", texts(todo, "_more"))).drop("_more")
-    judged = grading.stored(grading.judge(todo))
+    how: dict = {}
+    if settings is not None:
+        todo, how = grading.with_settings(todo, settings)
+    judged = grading.without_settings(grading.stored(grading.judge(todo, **how)))
     why = F.coalesce(F.col("skip_reason") if "skip_reason" in todo.columns else none.cast("string"), F.when(F.col("_measured").isNull(), F.lit(NO_MEASURES)))
     lost = F.col("output").isNull()
     fresh = judged.withColumns({"reasons": F.when(lost, F.filter(F.concat(F.array(why), F.when(why.isNull(), F.col("reasons")).otherwise(F.array().cast(_TEXTS))), lambda r: r.isNotNull())).otherwise(F.col("reasons")), "grade": F.when(lost, "SKIPPED").otherwise(F.col("grade"))}).drop("skip_reason", "_measured")
@@ -73,7 +77,9 @@ def run_sets(listing: DataFrame, report: DataFrame, measures: DataFrame, key: Co
     edited = edited.withColumn("notes", texts(edited, "notes"))
     metrics = [c for c in (*_MEASURED, *([look] if look else [])) if c in measures.columns and c != "planned_head"]
     seen = edited.drop(*metrics, "grade", "reasons").join(given.select("set_id", "source", *metrics), ["set_id", "source"])
-    again = grading.stored(grading.rejudged(seen)).withColumn("out_mtime_ns", F.col("now_mtime_ns")).drop("now_mtime_ns")
+    if settings is not None:
+        seen, how = grading.with_settings(seen, settings)
+    again = grading.without_settings(grading.stored(grading.rejudged(seen, **how))).withColumn("out_mtime_ns", F.col("now_mtime_ns")).drop("now_mtime_ns")
     unseen = edited.join(given.select("set_id", "source"), ["set_id", "source"], "left_anti").drop("now_mtime_ns")
     unseen = unseen.withColumn("reasons", texts(unseen, "reasons"))
 

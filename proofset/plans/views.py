@@ -252,6 +252,30 @@ ORACLE_SQL["pixel_shares"] = f"""WITH p AS (SELECT l_suppkey AS photo_id, l_part
         round(least(quantile_cont(y / 255, 0.0005), 0.05e0), 6) AS black_point, round(greatest(quantile_cont(peak / 255.0e0, 0.9995), 0.92e0), 6) AS white_point, round(median(gray), 6) AS backdrop_luma FROM q GROUP BY photo_id"""
 
 
+_BY_SET = {"width <> 1600 OR height <> 2000": "width <> own_width OR height <> own_height", "eye_line - 0.42e0": "eye_line - own_line", "0.02e0 AND 0.2e0": "0.02e0 AND 0.2e0 + 0.4e0 * greatest(0.0e0, 1 - own_zoom)", "WHEN NOT (skin": "WHEN NOT own_bw AND NOT (skin"}
+
+
+def _own_rank(sql: str, always: bool) -> str:
+    for a, b in _BY_SET.items():
+        sql = sql.replace(a, b)
+    return f"coalesce({sql}, 0)" if always else f"CASE WHEN face > 0 THEN coalesce({sql}, 0) ELSE 0 END"
+
+
+@query(f"""WITH m AS (SELECT *, CASE WHEN set_id % 4 = 0 THEN 1200 ELSE 1600 END AS own_width, CASE WHEN set_id % 4 = 0 THEN 1500 ELSE 2000 END AS own_height, (40 + set_id % 5) / 100.0e0 AS own_line, (70 + set_id % 50) / 100.0e0 AS own_zoom, set_id % 2 = 0 AS own_bw FROM ({tables.MEASURES_SQL})),
+    q AS (SELECT *, [{", ".join(_own_rank(sql, always) for _, sql, always in _CHECKS)}] AS ranks FROM m)
+    SELECT set_id, photo_id, {_GRADE('list_max(ranks)')} AS grade, CAST(len(list_filter(ranks, lambda x: x > 0)) AS INTEGER) AS n_reasons,
+        coalesce(CASE WHEN ranks[1] > 0 THEN 'size ' || width || 'x' || height || ', expected ' || own_width || 'x' || own_height END, '') AS size_text,
+        coalesce(CASE WHEN ranks[5] > 0 THEN 'not ' || (40 + set_id % 5) || '%' END, '') AS eye_text FROM q""")
+def judged_by_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every set judged by its own settings."""
+    m = tables.measures(spark, sf_dir)
+    s = F.col("set_id")
+    settings = m.select("set_id").distinct().select("set_id", F.lit(0.8).alias("ratio"), F.when(s % 4 == 0, 1200).otherwise(1600).alias("width"), ((70 + s % 50) / 100).alias("zoom"), ((40 + s % 5) / 100).alias("eye_line"), (s % 2 == 0).alias("bw"))
+    rows = grading.judge_sets(m, settings)
+    text = lambda start: F.coalesce(F.array_join(F.filter("reasons", lambda r: r.startswith(start)), ""), F.lit(""))
+    return rows.select("set_id", "photo_id", "grade", F.size("reasons").alias("n_reasons"), text("size").alias("size_text"), F.regexp_extract(text("eyes at"), "not .*", 0).alias("eye_text"))
+
+
 def _pass_sql(kind: str, bare: str) -> str:
     """Final grades of a pass, as f: kind is the class of photo k, bare whether it has no measures."""
     return f"""WITH {_JUDGED}, {_AGAIN}, c AS (SELECT q.*, r.ranks, k, {kind} AS class, {bare} AS bare FROM (SELECT *, photo_id AS k FROM q) q JOIN r ON r.photo_id = q.photo_id),

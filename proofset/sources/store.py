@@ -23,12 +23,13 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def _numbers(spark: SparkSession, path: str) -> list[int]:
+def marked(spark: SparkSession, path: str) -> list[int]:
+    """The numbers that mark() has set in a folder, in order."""
     fs, at = _files(spark, path)
     return sorted(int(f.getPath().getName()) for f in fs.listStatus(at)) if fs.exists(at) else []
 
 
-def _mark(spark: SparkSession, path: str) -> bool:
+def mark(spark: SparkSession, path: str) -> bool:
     """Make an empty file; False if it is there already."""
     fs, at = _files(spark, path)
     if fs.exists(at):
@@ -44,15 +45,15 @@ def _mark(spark: SparkSession, path: str) -> bool:
 
 def generations(spark: SparkSession, root: str) -> list[int]:
     """Committed generations, oldest first."""
-    return _numbers(spark, f"{root}/commits")
+    return marked(spark, f"{root}/commits")
 
 
 def save(rows: DataFrame, root: str, fmt: str, sets: DataFrame | None = None, order: tuple[str, ...] = (), folders: bool = True, **options) -> int:
     """Rows (with set_id) as the newest generation of the sets that they, or `sets` (set_id), name. order: within a
     set's file. Returns the generation."""
     spark = rows.sparkSession
-    number = max([0, *_numbers(spark, f"{root}/claims")]) + 1
-    while not _mark(spark, f"{root}/claims/{number}"):
+    number = max([0, *marked(spark, f"{root}/claims")]) + 1
+    while not mark(spark, f"{root}/claims/{number}"):
         number += 1
     named = (rows if sets is None else sets).select(F.col("set_id").cast("string")).distinct()
     named.write.parquet(f"{root}/sets/generation={number}")
@@ -60,7 +61,7 @@ def save(rows: DataFrame, root: str, fmt: str, sets: DataFrame | None = None, or
     dealt = rows.withColumn("set_id", F.coalesce(F.col("set_id").cast("string"), F.lit(NULL_SET))).repartition("set_id")
     dealt = dealt.sortWithinPartitions("set_id", *order).drop(*[c for c in order if c.startswith("_")])
     (dealt.write.partitionBy("set_id") if folders else dealt.write).format(fmt).options(**options).save(f"{root}/rows/generation={number}")
-    if not _mark(spark, f"{root}/commits/{number}"):
+    if not mark(spark, f"{root}/commits/{number}"):
         raise RuntimeError(f"generation {number} was committed by someone else")
     return number
 
@@ -98,3 +99,11 @@ def vacuum(spark: SparkSession, root: str) -> list[int]:
             fs, at = _files(spark, f"{root}/{part}")
             fs.delete(at, True)
     return gone
+
+
+def compact(spark: SparkSession, root: str, fmt: str, schema: str, folders: bool = True, **options) -> int:
+    """All sets as one new generation; the older ones go."""
+    rows = load(spark, root, fmt, schema, folders, **options)
+    number = save(rows, root, fmt, covered(spark, root), folders=folders, **options)
+    vacuum(spark, root)
+    return number

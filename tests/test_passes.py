@@ -99,9 +99,9 @@ def test_a_killed_write_was_never_there(spark, tmp_path, monkeypatch):
     root, rows = f"file://{tmp_path}/r", photos("x")
     rp.write_reports(run(spark, rows, nothing(spark)).documents(settings(spark, "x")), root)
     before = rp.stored_reports(spark, root).collect()
-    mark = store._mark
+    mark = store.mark
     with monkeypatch.context() as m:
-        m.setattr(store, "_mark", lambda s, path: (_ for _ in ()).throw(KeyboardInterrupt()) if "/commits/" in path else mark(s, path))
+        m.setattr(store, "mark", lambda s, path: (_ for _ in ()).throw(KeyboardInterrupt()) if "/commits/" in path else mark(s, path))
         with pytest.raises(KeyboardInterrupt):
             rp.write_reports(run(spark, rows[:2], nothing(spark)).documents(settings(spark, "x")), root)
     assert rp.stored_reports(spark, root).collect() == before and store.generations(spark, root) == [1]

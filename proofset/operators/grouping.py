@@ -462,8 +462,9 @@ def loneliest(best: DataFrame, members: DataFrame, n: int = 6) -> DataFrame:
 
 def with_report(members: DataFrame, report: DataFrame) -> DataFrame:
     """members (name) plus source, grade, reasons, eye_sharpness and head_size of the report's outputs; defaults
-    where the report has no such output."""
-    r = report.select("set_id", F.col("output").alias("name"), "source", "grade", "reasons", "eye_sharpness", "head_size")
+    where the report has no such output. Of several rows with one output, that with the last source counts."""
+    own = F.max(F.struct("source", "grade", "reasons", "eye_sharpness", "head_size")).alias("r")
+    r = report.filter("output is not null").groupBy("set_id", F.col("output").alias("name")).agg(own).select("set_id", "name", "r.*")
     out = members.join(r, ["set_id", "name"], "left")
     return out.withColumns({"source": F.coalesce("source", F.lit("")), "grade": F.coalesce("grade", F.lit("")), "reasons": F.coalesce("reasons", F.array().cast("array<string>")), "eye_sharpness": F.coalesce("eye_sharpness", F.lit(0.0)), "head_size": F.coalesce("head_size", F.lit(1.0))})
 
@@ -478,8 +479,7 @@ def picks(members: DataFrame) -> DataFrame:
 def fit_to_group(kept: DataFrame, members: DataFrame) -> DataFrame:
     """set_id, idx, fit: dot of each photo with its group's mean direction."""
     rows = kept.select("set_id", "idx", "vec").join(members.select("set_id", "idx", "group_no"), ["set_id", "idx"])
-    means = rows.select("set_id", "group_no", F.posexplode("vec").alias("d", "x")).groupBy("set_id", "group_no", "d").agg(F.avg("x").alias("x"))
-    centre = means.groupBy("set_id", "group_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("c"))
+    centre = group_means(rows.select("set_id", F.col("group_no").cast("long").alias("g"), "vec")).select("set_id", F.col("g").alias("group_no"), F.col("vec").alias("c"))
     norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x))
     centre = centre.withColumn("c", F.transform("c", lambda x: x / F.when(norm == 0, 1.0).otherwise(norm)))
     return rows.join(centre, ["set_id", "group_no"]).select("set_id", "idx", F.bround(cosine(F.col("vec"), F.col("c")), 3).alias("fit"))

@@ -213,3 +213,10 @@ def test_sheets_and_broken_runs(spark):
     many = spark.createDataFrame([("s", k, f"n{k:03d}", k % 30) for k in range(90)], "set_id string, idx long, name string, group_no long")
     shown = gr.broken_runs(many).collect()
     assert len(shown) == 20 and all(r.skipping.endswith(" ...") and r.skipping.count(",") == 5 for r in shown)
+
+
+def test_a_report_that_repeats_an_output_does_not_double_members(spark):
+    members = spark.createDataFrame([("s", 0, "a.jpg", 1), ("s", 1, "b.jpg", 1)], "set_id string, idx long, name string, group_no long")
+    rows = [("s", "a.jpg", n, g, [], 0.5, 1.0) for n, g in (("raw1", "PASS"), ("raw2", "FAIL"))] + [("s", None, "raw3", "SKIPPED", [], None, None)]
+    report = spark.createDataFrame(rows, "set_id string, output string, source string, grade string, reasons array<string>, eye_sharpness double, head_size double")
+    assert sorted((r.name, r.source, r.grade) for r in gr.with_report(members, report).collect()) == [("a.jpg", "raw2", "FAIL"), ("b.jpg", "", "")]

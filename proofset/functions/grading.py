@@ -5,6 +5,9 @@ half to even."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,6 +176,37 @@ def decide(rows: DataFrame, look: Column | None = None, by: str = "local", saved
     return steps.withColumn("decide", F.when(F.col("output").isNotNull() & (grade != "SKIPPED"), made)).drop("_near", "_local", "_given", "_look")
 
 
+@dataclass(frozen=True)
+class Decider:
+    """Where the looks of a decision come from. look: makes a column of scores (built-in functions or a pandas UDF) from
+    the rows; none for the local look."""
+
+    name: str
+    look: Callable[[DataFrame], Column] | None = None
+
+
+DECIDERS = {"local": Decider("local")}
+
+
+def register_decider(name: str, look: Callable[[DataFrame], Column]) -> Decider:
+    """Make a decider known by name; `local` cannot be replaced."""
+    if name == "local" or not name:
+        raise ValueError(f"{name!r} cannot name a decider of one's own")
+    DECIDERS[name] = Decider(name, look)
+    return DECIDERS[name]
+
+
+def chosen(name: str | None) -> Decider:
+    """The decider of that name; the local one if there is none."""
+    return DECIDERS.get(name or "local", DECIDERS["local"])
+
+
+def decide_by(rows: DataFrame, name: str | None, saved: Column | None = None) -> DataFrame:
+    """decide() by the decider of that name. Whoever gives the look, grades only ever rise, as decide() settles them."""
+    known = chosen(name)
+    return decide(rows, known.look(rows) if known.look else None, known.name, saved if known.look else None)
+
+
 def final_grade(set_reasons: Column, decided: Column | None = None) -> Column:
     """SKIPPED without output; the decision's grade if it is valid; at least REVIEW with reasons of the set."""
     grade = F.col("grade") if decided is None else F.when(decided.isin(*GRADES), decided).otherwise(F.col("grade"))

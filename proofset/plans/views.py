@@ -20,14 +20,22 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+def registering(queries: dict, sqls: dict[str, str]):
+    """The decorator that adds a query, and its SQL if there is one, to these."""
+
+    def query(sql: str | None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql is not None:
+                sqls[f.__name__] = sql
+            return f
+
+        return add
+
+    return query
+
+
+query = registering(QUERIES, ORACLE_SQL)
 
 
 @query(f"WITH {_JUDGED}, {_SETS}, f AS (SELECT j.set_id, photo_id, {_FINAL} AS g FROM j JOIN s ON j.set_id = s.set_id), n AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY photo_id) - 1 AS k FROM f WHERE g = 'REVIEW') SELECT set_id, photo_id, CAST(k // 3 + 1 AS BIGINT) AS page, CAST(k % 3 + 1 AS BIGINT) AS place FROM n")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from proofset.functions import grading as g
@@ -91,3 +92,16 @@ def test_set_checks(spark):
 def test_a_sharpness_that_is_no_number_is_looked_at(spark):
     m = spark.createDataFrame([(1600, 2000, True, 0, 1, x) for x in (float("nan"), 0.6, 0.59, None)], "width int, height int, srgb boolean, metadata_tags int, face int, eye_sharpness double")
     assert [r.grade for r in g.judge(m).collect()] == ["REVIEW", "PASS", "REVIEW", "PASS"]
+
+
+def test_deciders_by_name(spark):
+    rows = spark.createDataFrame([(1, "PASS", "a.jpg", 0.9), (2, "PASS", "b.jpg", 0.1), (3, "FAIL", "c.jpg", 0.1), (4, "PASS", None, 0.9)], "photo_id int, grade string, output string, score double").withColumn("reasons", F.array().cast("array<string>"))
+    g.register_decider("own", lambda df: df["score"])
+    got = {r.photo_id: r.decide for r in g.decide_by(rows, "own").collect()}
+    assert [(got[k]["by"], got[k]["grade"]) for k in (1, 2, 3)] == [("own", "REVIEW"), ("own", "PASS"), ("own", "FAIL")] and got[4] is None
+    for name in ("local", "nobody", None, ""):  # a name that nobody has is the local decider
+        got = {r.photo_id: r.decide for r in g.decide_by(rows, name).collect()}
+        assert all(got[k]["by"] == "local" and got[k]["requested"] is None for k in (1, 2, 3))
+    for name in ("local", ""):
+        with pytest.raises(ValueError):
+            g.register_decider(name, lambda df: df["score"])

@@ -1,7 +1,8 @@
 """Connected components of an edge list by alternating large-star and small-star steps, each on DataFrames.
 
-Every step keeps at most one edge per old edge and endpoint, so the list never grows; the number of rounds is
-about the logarithm of the longest path. Each round is written to the shared folder, which cuts the lineage."""
+An edge (a, b) always has a > b. No step makes more than one edge per old edge and endpoint, so the list never grows;
+the number of rounds is about the logarithm of the longest path. Each step is written to the shared folder: its plan
+reads nothing but the step before, so what the driver plans and keeps for a step is small and the same in every round."""
 
 from __future__ import annotations
 
@@ -11,16 +12,16 @@ from pyspark.sql import functions as F
 from proofset.llm.common import written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (a, b), any direction. Each node's neighbours on one side are tied to its least neighbour."""
-    if large:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        out = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        out = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each node's larger neighbours are tied to the least of itself and its neighbours. Repeated edges may come out."""
+    least = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))  # only smaller neighbours can be less than itself
+    return edges.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours are tied to the least of these."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    out = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return out.filter("a <> b").distinct()
 
 
@@ -31,7 +32,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not mark[0]:
             break
-        edges = written(_star(_star(edges, True), False), "edges")
+        edges = written(_small_star(written(_large_star(edges), "edges")), "edges")
         if (now := _mark(edges)) == mark:
             break
         mark = now

@@ -313,8 +313,9 @@ def exact_edges(docs: DataFrame, sets: DataFrame, near: DataFrame, rule: Rule, d
     plan = tile_plan(members.select("set_hash", "component", "n"), rule, tile_hashes).join(members.select("set_hash", "rep"), "set_hash")
     bodies = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text is not null")
     # by id and text: many texts may stand under one id, or under none; of rows that are equal in both, one is enough
-    named = plan.select(F.col("rep.doc_id").alias("rep"), F.col("rep.mark").alias("mark"), "set_hash", "tiles")
-    wanted = bodies.join(named, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.xxhash64("text") == F.col("mark")))
+    named = written(plan.select(F.col("rep.doc_id").alias("rep"), F.col("rep.mark").alias("mark"), "set_hash", "tiles"), "shingle-plan")
+    # merge: the size of the small file just written must not make it a broadcast, as its rows grow with the corpus
+    wanted = bodies.join(named.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.xxhash64("text") == F.col("mark")))
     return wanted.select("set_hash", "text", F.explode("tiles").alias("tile")).groupBy("tile").applyInArrow(lambda t: verified(t, rule), "a long, b long")
 
 
@@ -373,7 +374,7 @@ def keep_one(docs: DataFrame, rule: Rule = Rule(), doc_id: str = "doc_id", text:
     blank = F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
     first = similar_groups(docs, rule, doc_id, text).filter("group is not null").groupBy("group", "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows")).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "mark", "rows")).alias("first"))
     names = [free_name(docs.columns, n) for n in ("kept_id", "kept_mark", "kept_rows")]
-    stay = first.select(*[F.col(f"first.{c}").alias(n) for c, n in zip(("doc_id", "mark", "rows"), names, strict=True)])
+    stay = written(first.select(*[F.col(f"first.{c}").alias(n) for c, n in zip(("doc_id", "mark", "rows"), names, strict=True)]), "shingle-kept")  # read twice below, and narrow
     kept = docs.filter(~blank).join(stay.hint("merge"), F.col(doc_id).cast("long").eqNullSafe(F.col(names[0])) & (F.xxhash64(F.col(text)) == F.col(names[1])))
     own = [quoted(c) for c in docs.columns]
     once = kept.filter(F.col(names[2]) == 1).select(*own)

@@ -205,7 +205,7 @@ def training_sample(docs: DataFrame, allowed: Column, doc_id: str, text: str, la
     ids = labelled.select(F.col(doc_id), F.col(lang).alias("_lang"), F.xxhash64(doc_id).alias("_hash"))
     for keys in (["_lang", F.pmod("_hash", F.lit(salts))], ["_lang"]):  # a language may hold most rows: first the best of each part of it, then the best of those
         ids = ids.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_hash", doc_id))).filter(F.col("_rank") <= per_language).drop("_rank")
-    ids = ids.select(doc_id).distinct()
+    ids = ids.select(doc_id)  # an id may stand several times; the join below only asks whether it is there
     size = F.char_length(text)
     cuts = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(F.col(text), (F.floor(i * (size - piece_chars) / max(1, pieces - 1)) + 1).cast("int"), F.lit(piece_chars)))
     spread = F.when(size <= pieces * piece_chars, F.array(F.col(text))).otherwise(cuts)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from proofset.functions.paths import shot_number
-from proofset.session import computed_once
+from proofset.session import computed_once, stored_once
 
 LOW, HIGH, STEP = 0.20, 0.90, 0.01
 STABLE = (0.30, 0.78)
@@ -153,6 +153,83 @@ def merge_history(sim: np.ndarray, sizes: np.ndarray | None = None) -> list[tupl
     return out
 
 
+def near_history(vectors: np.ndarray, sizes: np.ndarray | None = None, floor: float = -1.0, cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The merges of merge_history() at or above `floor` (kept slots, absorbed slots, heights, highest first) from the
+    vectors alone, without a matrix of all pairs: `cells` similarities are held at once. Two groups that are each
+    other's nearest join at once, wherever they stand in the greedy order: joining groups never brings one nearer to a
+    third than its nearer part was. So what a group was nearest to holds until that is joined, and what it was then
+    bounds what it may be near to later; it is asked anew only when some group is nearest to it. Ties (to 12 digits)
+    go to the smallest slots."""
+    n, d = vectors.shape
+    size = np.ones(n) if sizes is None else sizes.astype(float)
+    slot, live, known = np.arange(n), np.ones(n, bool), np.zeros(n, bool)
+    best, top = np.zeros(n, np.int64), np.full(n, np.inf)
+    mean = np.zeros((n, d + 1))  # the last column takes joined groups out of every search
+    mean[:, :d] = vectors
+    total = mean[:, :d] * size[:, None]
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    asked = slot
+    while n > 1:
+        step = max(1, cells // max(1, len(slot)))
+        for k in range(0, len(asked), step):
+            a = asked[k : k + step]
+            q = mean[a]
+            q[:, d] = 1
+            sim = q @ mean.T
+            sim[np.arange(len(a)), a] = -np.inf
+            high = sim.max(1)
+            best[a], top[a], known[a] = (sim >= high[:, None] - 1e-12).argmax(1), np.clip(high, -1, 1), True
+        near = np.flatnonzero(live & known & (top >= floor))
+        to = best[near]
+        i = near[(near < to) & known[to] & (best[to] == near)]
+        j, height = best[i], top[i]
+        ask = np.zeros(len(slot), bool)
+        ask[to] = True
+        if not len(i) and not (ask & ~known).any():
+            ask = live & ~known & (top >= floor)
+            if not ask.any():
+                if not len(near):
+                    break
+                i = near[[top[near].argmax()]]  # digits beyond the twelfth may lead round in a circle
+                i, j, height = np.minimum(i, best[i]), np.maximum(i, best[i]), top[i]
+        if len(i):
+            out.append((slot[i], slot[j], height))
+            total[i] += total[j]
+            size[i] += size[j]
+            mean[i, :d] = total[i] / size[i][:, None]
+            mean[j, d] = -4
+            live[j] = False
+            joined = ~live
+            joined[i] = True
+            known &= ~joined[best] & ~joined
+            left = np.flatnonzero(live)
+            if len(left) < 2:
+                break
+            ask = np.zeros(len(slot), bool)
+            ask[best[live & known & (top >= floor)]] = True
+            ask[i] = True
+            if len(left) < 0.8 * len(slot):
+                new = np.zeros(len(slot), np.int64)
+                new[left] = np.arange(len(left))
+                slot, size, mean, total, known, top, best, ask = slot[left], size[left], mean[left], total[left], known[left], top[left], new[best[left]], ask[left]
+                live = np.ones(len(left), bool)
+        asked = np.flatnonzero(ask & live & ~known)
+    i, j, height = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(-np.round(height, 12), kind="stable")  # a join comes after those that made its parts
+    return i[order], j[order], height[order]
+
+
+MATRIX = 2000  # photos of which one task holds all pairs
+LOCAL = 100_000  # photos of 64 numbers that one task holds
+
+
+def _merges(vectors: np.ndarray, sizes: np.ndarray | None = None, floor: float = -1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if len(vectors) > MATRIX:
+        return near_history(vectors, sizes, floor)
+    found = merge_history(np.clip(vectors @ vectors.T, -1, 1), sizes)
+    return tuple(np.array([x[c] for x in found], kind) for c, kind in enumerate((np.int64, np.int64, float)))
+
+
 _HISTORY = "i long, j long, height double"
 
 
@@ -160,20 +237,25 @@ def _key(t: pa.Table, n: int) -> pa.Array:
     return t.column("set_id").slice(0, 1).combine_chunks().take(pa.array(np.zeros(n, np.int64)))
 
 
-def histories(kept: DataFrame, local: int = 2000, floor: float = -1.0, block: int = 1024) -> DataFrame:
-    """set_id, step, i, j (the groups' smallest idx: j joins i), height (running minimum) for each set: one history answers every cut. A set of up to `local`
-    photos is one task's work; a larger one goes by rounds (linked_history()), down to `floor` at least."""
+def _weight(vec: Column) -> Column:
+    """What a photo counts for in LOCAL."""
+    return F.greatest(F.lit(1.0), F.size(vec) / 64)
+
+
+def histories(kept: DataFrame, local: int = LOCAL, floor: float = -1.0, block: int = 1024) -> DataFrame:
+    """set_id, step, i, j (the groups' smallest idx: j joins i), height (running minimum) for each set, down to `floor`
+    at least: one history answers every cut above. A set of up to `local` photos (of 64 numbers; fewer, if theirs are
+    more) is one task's work; a larger one goes by rounds (linked_history()) until it is."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("idx")
-        idx, v = t.column("idx").to_numpy(), _vectors(t)
-        found = merge_history(np.clip(v @ v.T, -1, 1))
-        low = np.minimum.accumulate([h for *_, h in found]) if found else []
-        return pa.table({"set_id": _key(t, len(found)), "step": pa.array(range(len(found)), pa.int64()), "i": pa.array([idx[x[0]] for x in found], pa.int64()), "j": pa.array([idx[x[1]] for x in found], pa.int64()), "height": pa.array(low, pa.float64())})
+        idx = t.column("idx").to_numpy()
+        i, j, height = _merges(_vectors(t), None, floor)
+        return pa.table({"set_id": _key(t, len(i)), "step": np.arange(len(i)), "i": idx[i], "j": idx[j], "height": np.minimum.accumulate(height)})
 
     kind = kept.schema["set_id"].dataType.simpleString()
     small = lambda rows: rows.select("set_id", "idx", "vec").groupBy("set_id").applyInArrow(run, f"set_id {kind}, step long, {_HISTORY}")
-    large = computed_once(kept.groupBy("set_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > local).select(F.col("set_id").alias("_s")))
+    large = computed_once(kept.groupBy("set_id").agg(F.sum(_weight(F.col("vec"))).alias("_n")).filter(F.col("_n") > local).select(F.col("set_id").alias("_s")))
     if not large.limit(1).count():
         return small(kept)
     met = F.col("set_id").eqNullSafe(F.col("_s"))
@@ -234,13 +316,13 @@ def nearest_groups(means: DataFrame, block: int = 1024) -> DataFrame:
     return found.groupBy("set_id", "g").agg(F.max(F.struct("sim", (-F.col("partner")).alias("p"))).alias("b")).select("set_id", "g", F.col("b.sim").alias("sim"), (-F.col("b.p")).alias("partner"))
 
 
-def linked_history(kept: DataFrame, local: int = 2000, floor: float = -1.0, block: int = 1024) -> DataFrame:
+def linked_history(kept: DataFrame, local: int = LOCAL, floor: float = -1.0, block: int = 1024) -> DataFrame:
     """histories() of sets of any size, in rounds. In a round every two groups that are each other's nearest join at
     once. Joining groups never brings one nearer to a third than its nearer part was, so these joins are those of the
-    greedy order, at the same heights. When a set has `local` groups left, one task finishes it. Labels and joins are
-    computed once; vectors are added up anew each round, as they are never stored."""
+    greedy order, at the same heights. When a set has `local` groups left (of 64 numbers), one task finishes it. Labels
+    and joins are stored; vectors are added up anew each round, as they never are."""
     kind = kept.schema["set_id"].dataType.simpleString()
-    label = computed_once(kept.select("set_id", "idx", F.col("idx").alias("g")))
+    label = stored_once(kept.select("set_id", "idx", F.col("idx").alias("g"), _weight(F.col("vec")).alias("w")))
     joins, k = None, 0
     met = lambda a, b: F.col(a).eqNullSafe(F.col(b))
 
@@ -250,26 +332,25 @@ def linked_history(kept: DataFrame, local: int = 2000, floor: float = -1.0, bloc
         return kept.join(own, met("set_id", "_t") & (F.col("idx") == F.col("_i"))).select("set_id", "g", "vec")
 
     while True:
-        counts = computed_once(label.groupBy(F.col("set_id").alias("_s")).agg(F.countDistinct("g").alias("_n")))
+        counts = stored_once(label.groupBy(F.col("set_id").alias("_s")).agg((F.countDistinct("g") * F.max("w")).alias("_n")))
         large = counts.filter(F.col("_n") > local)
         if not large.limit(1).count():
             break
-        near = computed_once(nearest_groups(group_means(with_groups(large)), block).filter(F.col("sim") >= floor))
+        near = stored_once(nearest_groups(group_means(with_groups(large)), block).filter(F.col("sim") >= floor))
         back = near.select(F.col("set_id").alias("_t"), F.col("g").alias("_g"), F.col("partner").alias("_p"))
         mutual = near.join(back, met("set_id", "_t") & (F.col("partner") == F.col("_g")) & (F.col("g") == F.col("_p"))).filter("g < partner")
-        now = computed_once(mutual.select("set_id", F.lit(k).alias("round"), F.col("g").alias("i"), F.col("partner").alias("j"), F.col("sim").alias("height")))
+        now = stored_once(mutual.select("set_id", F.lit(k).alias("round"), F.col("g").alias("i"), F.col("partner").alias("j"), F.col("sim").alias("height")))
         if not now.limit(1).count():
             break  # what is left lies below the floor
         moved = now.select(F.col("set_id").alias("_t"), F.col("j").alias("_j"), F.col("i").alias("_to"))
-        label = computed_once(label.join(moved, met("set_id", "_t") & (F.col("g") == F.col("_j")), "left").select("set_id", "idx", F.coalesce("_to", "g").alias("g")))
+        label = stored_once(label.join(moved, met("set_id", "_t") & (F.col("g") == F.col("_j")), "left").select("set_id", "idx", F.coalesce("_to", "g").alias("g"), "w"))
         joins, k = (now if joins is None else joins.unionByName(now)), k + 1
 
     def finish(t: pa.Table) -> pa.Table:
         t = t.sort_by("g")
-        g, v = t.column("g").to_numpy(), _vectors(t)
-        found = [(s, g[i], g[j], h) for s, (i, j, h) in enumerate(merge_history(np.clip(v @ v.T, -1, 1), t.column("n").to_numpy()))]
-        cols = [pa.array([x[c] for x in found], kind_) for c, kind_ in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
-        return pa.table([_key(t, len(found)), *cols], names=["set_id", "late", "i", "j", "height"])
+        g = t.column("g").to_numpy()
+        i, j, height = _merges(_vectors(t), t.column("n").to_numpy(), floor)
+        return pa.table([_key(t, len(i)), np.arange(len(i)), g[i], g[j], height], names=["set_id", "late", "i", "j", "height"])
 
     rest = group_means(with_groups(counts.filter(F.col("_n") <= local))).groupBy("set_id").applyInArrow(finish, f"set_id {kind}, late long, {_HISTORY}")
     rest = rest.select("set_id", F.lit(k).alias("round"), "late", "i", "j", "height")
@@ -363,7 +444,7 @@ def near_components(kept: DataFrame, cut: float) -> DataFrame:
         label = new
 
 
-def assign_large(kept: DataFrame, cut: float, local: int = 2000) -> DataFrame:
+def assign_large(kept: DataFrame, cut: float, local: int = LOCAL) -> DataFrame:
     """assign() at one given cut, by components of near pairs: cheaper than a history where the cut leaves small ones.
     A component beyond `local` photos goes by rounds, down to the cut."""
     parts = near_components(kept, cut)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -46,3 +47,11 @@ def computed_once(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def stored_once(df: DataFrame) -> DataFrame:
+    """df, computed now and once, as compressed Parquet in the folder of shared_dir(), where it stays. Much smaller than
+    a checkpoint, and what Spark inferred of the values on the way does not pile up in loops."""
+    path = f"{shared_dir(df.sparkSession)}/proofset/rows-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

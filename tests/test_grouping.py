@@ -1,6 +1,7 @@
 """Photos as directions in a plane, given by an angle: two photos are as alike as the cosine of the angle between."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -220,3 +221,42 @@ def test_a_report_that_repeats_an_output_does_not_double_members(spark):
     rows = [("s", "a.jpg", n, g, [], 0.5, 1.0) for n, g in (("raw1", "PASS"), ("raw2", "FAIL"))] + [("s", None, "raw3", "SKIPPED", [], None, None)]
     report = spark.createDataFrame(rows, "set_id string, output string, source string, grade string, reasons array<string>, eye_sharpness double, head_size double")
     assert sorted((r.name, r.source, r.grade) for r in gr.with_report(members, report).collect()) == [("a.jpg", "raw2", "FAIL"), ("b.jpg", "", "")]
+
+
+def exact_merges(v, scale):
+    """The greedy merges of vectors of whole numbers / scale, by fractions; ties to the smallest slots."""
+    whole = {k: np.rint(x * scale).astype(int) for k, x in enumerate(v)}
+    size, out = dict.fromkeys(whole, 1), []
+    while len(whole) > 1:
+        height, x, y = min((-Fraction(int(whole[x] @ whole[y]), scale * scale * size[x] * size[y]), x, y) for x in whole for y in whole if x < y)
+        out.append((x, y, float(-height)))
+        whole[x], size[x] = whole[x] + whole.pop(y), size[x] + size.pop(y)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_merges_from_vectors_alone_are_the_greedy_ones(seed):
+    """Many exact ties, random vectors, copies, and a star: all are nearest to one of them."""
+    rng = np.random.default_rng(seed)
+    ties = rng.choice([-0.5, 0.5], (40, 4))
+    same_history(list(zip(*gr.near_history(ties, cells=64), strict=True)), exact_merges(ties, 2))
+    star = np.concatenate([np.eye(9)[:1], np.eye(9)[:1] + 0.1 * rng.normal(size=(60, 9))])
+    for v in (rng.normal(size=(90, 8)), np.repeat(rng.normal(size=(9, 5)), 7, axis=0), star):
+        v = v / np.linalg.norm(v, axis=1)[:, None]
+        greedy = gr.merge_history(np.clip(v @ v.T, -1, 1))
+        same_history(list(zip(*gr.near_history(v, cells=256), strict=True)), greedy)
+        assert len(gr.near_history(v, floor=0.3)[0]) == sum(h >= 0.3 for *_, h in greedy)
+    assert [len(x) for x in gr.near_history(np.ones((1, 3)))] == [0, 0, 0] == [len(x) for x in gr.near_history(np.ones((0, 3)))]
+
+
+def test_a_set_of_thousands_needs_no_rounds(spark, monkeypatch):
+    """Rounds are many jobs, each of which leaves something on the driver."""
+    monkeypatch.setattr(gr, "linked_history", None)
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(2200, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    kept = spark.createDataFrame([("s", k, u.tolist()) for k, u in enumerate(v)], "set_id string, idx long, vec array<double>")
+    got = sorted((r.step, r.i, r.j, r.height) for r in gr.histories(kept).collect())
+    greedy = gr.merge_history(np.clip(v @ v.T, -1, 1))
+    assert sorted((i, j) for _, i, j, _ in got) == sorted((i, j) for i, j, _ in greedy)
+    assert [h for *_, h in got] == pytest.approx([h for *_, h in greedy], abs=1e-9)

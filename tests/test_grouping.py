@@ -260,3 +260,14 @@ def test_a_set_of_thousands_needs_no_rounds(spark, monkeypatch):
     greedy = gr.merge_history(np.clip(v @ v.T, -1, 1))
     assert sorted((i, j) for _, i, j, _ in got) == sorted((i, j) for i, j, _ in greedy)
     assert [h for *_, h in got] == pytest.approx([h for *_, h in greedy], abs=1e-9)
+
+
+def test_the_sweep_of_a_set_of_thousands_needs_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(gr, "linked_history", None)
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(2100, 12))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    kept = spark.createDataFrame([("s", k, u.tolist()) for k, u in enumerate(v)], "set_id string, idx long, vec array<double>")
+    heights = np.minimum.accumulate([h for *_, h in gr.merge_history(np.clip(v @ v.T, -1, 1))])
+    got = {r.cut: r.students for r in gr.sweep(gr.histories(kept), kept).collect()}
+    assert got == {cut: 2100 - int((heights >= raw).sum()) for raw, cut in gr.cuts()}

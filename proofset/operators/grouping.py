@@ -54,9 +54,11 @@ def pairs(kept: DataFrame, floor: float | None = None) -> DataFrame:
     return out if floor is None else out.filter(F.col("sim") >= floor)
 
 
-def _tiles(kept: DataFrame, block: int, *more: str) -> DataFrame:
-    """Rows of (set_id, idx, vec, ...) dealt to pairs of blocks (lo, hi) of their set; _p is a row's own block."""
-    parts = kept.groupBy(F.col("set_id").alias("_s")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_parts"))
+def _tiles(kept: DataFrame, block: int, *more: str, counts: DataFrame | None = None) -> DataFrame:
+    """Rows of (set_id, idx, vec, ...) dealt to pairs of blocks (lo, hi) of their set; _p is a row's own block. counts:
+    set_id, n, if the sets' rows need not be counted."""
+    counts = kept.groupBy("set_id").agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    parts = counts.select(F.col("set_id").alias("_s"), F.ceil(F.col("n") / block).cast("int").alias("_parts"))
     rows = kept.select("set_id", "idx", "vec", *more).join(parts, F.col("set_id").eqNullSafe(F.col("_s"))).withColumn("_p", F.floor(F.col("idx") / block).cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda q: F.struct(F.least("_p", q).alias("lo"), F.greatest("_p", q).alias("hi")))
     return rows.select("set_id", "idx", "vec", *more, "_p", F.explode(F.array_distinct(tiles)).alias("t")).select("set_id", "idx", "vec", *more, "_p", "t.lo", "t.hi")
@@ -481,12 +483,14 @@ def spans(members: DataFrame) -> DataFrame:
 
 def broken_runs(members: DataFrame, most: int = 20, names: int = 6) -> DataFrame:
     """The first groups that are not one run, with the names of shots inside their span that are not theirs."""
-    broken = spans(members).filter(~F.col("one_run"))
+    at = members.select("set_id", "idx", "name", "group_no", F.row_number().over(Window.partitionBy("set_id").orderBy("idx")).alias("_at"))
+    found = at.groupBy("set_id", "group_no").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.min_by("name", "idx").alias("first_name"), F.max_by("name", "idx").alias("last_name"), (F.max("_at") - F.min("_at") + 1 - F.count(F.lit(1))).alias("_others"))
+    broken = first_rows(found.filter("_others > 0"), most, "group_no")  # only these meet the photos of their set
     inside = broken.select("set_id", "group_no", "first", "last").join(members.select("set_id", "idx", "name", F.col("group_no").alias("own")), "set_id").filter((F.col("idx") > F.col("first")) & (F.col("idx") < F.col("last")) & (F.col("own") != F.col("group_no")))
+    inside = inside.withColumn("_n", F.row_number().over(Window.partitionBy("set_id", "group_no").orderBy("idx"))).filter(F.col("_n") <= names)
     gaps = inside.groupBy("set_id", "group_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "name"))), lambda x: x["name"]).alias("g"))
-    text = F.concat(F.array_join(F.slice("g", 1, names), ", "), F.when(F.size("g") > names, " ...").otherwise(""))
-    place = F.row_number().over(Window.partitionBy("set_id").orderBy("group_no"))
-    return broken.join(gaps, ["set_id", "group_no"]).withColumn("place", place).filter(F.col("place") <= most).select("set_id", "group_no", "first_name", "last_name", text.alias("skipping"))
+    text = F.concat(F.array_join("g", ", "), F.when(F.col("_others") > names, " ...").otherwise(""))
+    return broken.join(gaps, ["set_id", "group_no"]).select("set_id", "group_no", "first_name", "last_name", text.alias("skipping"))
 
 
 def group_pairs(links: DataFrame) -> DataFrame:
@@ -499,10 +503,83 @@ def weakest_inside(links: DataFrame) -> DataFrame:
     return links.filter("a = b").select("set_id", F.col("a").alias("group_no"), "sim", "i", "j")
 
 
+def weakest_pairs(kept: DataFrame, members: DataFrame, block: int = 1024) -> DataFrame:
+    """weakest_inside() without the links between groups."""
+    rows = kept.select("set_id", "idx", "vec").join(members.select("set_id", "idx", F.col("group_no").cast("long").alias("_g")), ["set_id", "idx"])
+
+    def weakest(t: pa.Table) -> pa.Table:
+        t, a, b, sim, keep = _product(t)
+        idx, g = t.column("idx").to_numpy(), t.column("_g").to_numpy()
+        i, j = np.nonzero(keep & (g[a][:, None] == g[b][None]))
+        order = np.lexsort((idx[b][j], idx[a][i], sim[i, j], g[a][i]))
+        i, j = i[order], j[order]
+        own, first = np.unique(g[a][i], return_index=True)
+        i, j = i[first], j[first]
+        return pa.table({"set_id": _of_set(t, len(own)), "group_no": own, "sim": sim[i, j], "i": idx[a][i], "j": idx[b][j]})
+
+    kind = kept.schema["set_id"].dataType.simpleString()
+    found = _tiles(rows, block, "_g").groupBy("set_id", "lo", "hi").applyInArrow(weakest, f"set_id {kind}, group_no long, sim double, i long, j long")
+    return found.groupBy("set_id", "group_no").agg(F.min(F.struct("sim", "i", "j")).alias("w")).select("set_id", "group_no", "w.*")
+
+
+def between_groups(kept: DataFrame, members: DataFrame, n: int = 4, block: int = 2048, bins: int = 8192) -> tuple[DataFrame, DataFrame]:
+    """What closest_groups() and separation() want of group_pairs(), where no row stands for a pair of groups either:
+    set_id, closest, closest_median, n_pairs; and the n closest pairs (set_id, a, b, sim, place). group_no has no gaps
+    (numbered()). The mean of a pair of groups is the product of their mean vectors. Tiles count the means by bins;
+    the bins that hold the middle are then known, and only their values are sorted. What is stored holds no vectors."""
+    kind = kept.schema["set_id"].dataType.simpleString()
+    rows = kept.select("set_id", "idx", "vec").join(members.select("set_id", "idx", F.col("group_no").cast("long").alias("g")), ["set_id", "idx"])
+    means = group_means(rows).select("set_id", (F.col("g") - 1).alias("idx"), "vec")
+    counts = members.groupBy("set_id").agg(F.max("group_no").alias("n"))
+
+    def counted(t: pa.Table) -> pa.Table:
+        t, a, b, sim, keep = _product(t)
+        x = sim[keep]
+        held = np.bincount(np.minimum((x + 1) * (bins / 2), bins - 1).astype(np.int64), minlength=bins) if len(x) else np.zeros(0, np.int64)
+        full = np.flatnonzero(held)
+        i, j = np.nonzero(keep & (sim >= np.partition(x, -n)[-n]) if len(x) > n else keep)
+        p, q, x = t.column("idx").to_numpy()[a][i] + 1, t.column("idx").to_numpy()[b][j] + 1, sim[i, j]
+        last = np.lexsort((q, p, x))[-n:]
+        none = np.zeros(len(full), np.int64)
+        own = np.concatenate((held[full], np.zeros(len(last), np.int64)))
+        cols = {"bin": np.concatenate((full, np.full(len(last), -1))), "held": own, "sim": np.concatenate((none.astype(float), x[last])), "a": np.concatenate((none, p[last])), "b": np.concatenate((none, q[last]))}
+        return pa.table({"set_id": _of_set(t, len(own))} | cols)
+
+    tiles = _tiles(means, block, counts=counts).groupBy("set_id", "lo", "hi").applyInArrow(counted, f"set_id {kind}, bin long, held long, sim double, a long, b long")
+    seen = computed_once(tiles.groupBy("set_id", "bin", "a", "b").agg(F.sum("held").alias("held"), F.max("sim").alias("sim")))
+    closest = closest_groups(seen.filter("bin < 0").select("set_id", "a", "b", "sim"), n)
+
+    upto, whole = Window.partitionBy("set_id").orderBy("bin"), Window.partitionBy("set_id")
+    held = seen.filter("bin >= 0").select("set_id", "bin", "held", F.sum("held").over(upto).alias("_to"), F.sum("held").over(whole).alias("n_pairs"))
+    held = held.withColumns({"_r": F.floor((F.col("n_pairs") - 1) / 2), "_q": F.floor(F.col("n_pairs") / 2)})
+    within = lambda r: (F.col("_to") > F.col(r)) & (F.col("_to") - F.col("held") <= F.col(r))
+    middle = held.filter(within("_r") | within("_q")).groupBy("set_id").agg(F.min("bin").alias("_b"), F.max("bin").alias("_e"), F.max("n_pairs").alias("n_pairs"))
+    middle = computed_once(middle)
+    # means may come out with other last digits, so what lies about the bins' edges is taken too, and what lies below counted anew
+    edges = middle.select("set_id", (F.col("_b") * (2 / bins) - 1 - 1e-9).alias("_low"), ((F.col("_e") + 1) * (2 / bins) - 1 + 1e-9).alias("_high"))
+
+    def inside(t: pa.Table) -> pa.Table:
+        t, a, b, sim, keep = _product(t)
+        low, high = t.column("_low")[0].as_py(), t.column("_high")[0].as_py()
+        x = np.append(sim[keep & (sim >= low) & (sim <= high)], 0.0)
+        below = np.zeros(len(x), np.int64)
+        below[-1] = (keep & (sim < low)).sum()
+        return pa.table({"set_id": _of_set(t, len(x)), "sim": x, "below": below, "value": np.arange(len(x)) < len(x) - 1})
+
+    near = _tiles(means.join(edges, "set_id"), block, "_low", "_high", counts=counts).groupBy("set_id", "lo", "hi").applyInArrow(inside, f"set_id {kind}, sim double, below long, value boolean")
+    near = computed_once(near.filter("value or below > 0"))
+    below = near.filter("not value").groupBy("set_id").agg(F.sum("below").alias("_below"))
+    ranked = near.filter("value").select("set_id", "sim", (F.row_number().over(Window.partitionBy("set_id").orderBy("sim")) - 1).alias("_k"))
+    ranked = ranked.join(middle, "set_id").join(below, "set_id", "left").withColumn("_k", F.col("_k") + F.coalesce("_below", F.lit(0)))
+    medians = ranked.filter((F.col("_k") == F.floor((F.col("n_pairs") - 1) / 2)) | (F.col("_k") == F.floor(F.col("n_pairs") / 2))).groupBy("set_id").agg(F.avg("sim").alias("closest_median"), F.max("n_pairs").alias("n_pairs"))
+    return closest.filter("place = 1").select("set_id", F.col("sim").alias("closest")).join(medians, "set_id").select("set_id", "closest", "closest_median", "n_pairs"), closest
+
+
 def separation(inside: DataFrame, between: DataFrame) -> DataFrame:
-    """One row per set with any pair; NULL where a set has no group of two or more, or only one group."""
+    """One row per set with any pair; NULL where a set has no group of two or more, or only one group. between:
+    group_pairs(), or its summary by between_groups()."""
     a = inside.groupBy("set_id").agg(F.min("sim").alias("weakest"), F.median("sim").alias("weakest_median"))
-    b = between.groupBy("set_id").agg(F.max("sim").alias("closest"), F.median("sim").alias("closest_median"), F.count(F.lit(1)).alias("n_pairs"))
+    b = between if "closest" in between.columns else between.groupBy("set_id").agg(F.max("sim").alias("closest"), F.median("sim").alias("closest_median"), F.count(F.lit(1)).alias("n_pairs"))
     return a.join(b, "set_id", "full").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0).cast("long"))).withColumn("gap", F.col("weakest") - F.col("closest")).withColumn("verdict", F.when(F.col("gap") > 0, "clean separation, no overlap").when(F.col("gap").isNotNull(), "they overlap, so the pairs listed below decide the count"))
 
 
@@ -545,7 +622,8 @@ def with_report(members: DataFrame, report: DataFrame) -> DataFrame:
     """members (name) plus source, grade, reasons, eye_sharpness and head_size of the report's outputs; defaults
     where the report has no such output. Of several rows with one output, that with the last source counts."""
     own = F.max(F.struct("source", "grade", "reasons", "eye_sharpness", "head_size")).alias("r")
-    r = report.filter("output is not null").groupBy("set_id", F.col("output").alias("name")).agg(own).select("set_id", "name", "r.*")
+    r = report.filter("output is not null").withColumn("name", F.col("output")).join(members.select("set_id", "name"), ["set_id", "name"], "left_semi")
+    r = r.groupBy("set_id", "name").agg(own).select("set_id", "name", "r.*")
     out = members.join(r, ["set_id", "name"], "left")
     return out.withColumns({"source": F.coalesce("source", F.lit("")), "grade": F.coalesce("grade", F.lit("")), "reasons": F.coalesce("reasons", F.array().cast("array<string>")), "eye_sharpness": F.coalesce("eye_sharpness", F.lit(0.0)), "head_size": F.coalesce("head_size", F.lit(1.0))})
 

@@ -112,7 +112,7 @@ class SetAnalysis:
 def analyze_sets(prints: DataFrame, report: DataFrame, asked: float | None = None) -> SetAnalysis:
     """From fingerprints (set_id, photo_id, name, vec, detect_threshold) and the report's rows by output: groups at the
     asked cut or each set's own most stable one, picks, fits, and what to doubt. Vectors stay inside their set. What
-    several results need (merges, members, links of groups; never vectors) is computed once, at the call."""
+    several results need (merges, members, weakest and closest pairs of groups; never vectors) is computed once, at the call."""
     kept, skipped, weak = grouping.intake(prints)
     history = computed_once(grouping.histories(kept))
     counts = computed_once(grouping.sweep(history, kept))
@@ -120,9 +120,9 @@ def analyze_sets(prints: DataFrame, report: DataFrame, asked: float | None = Non
     groups = grouping.assign(history, kept, cut)
     members = grouping.frames(groups.join(kept.select("set_id", "idx", "photo_id", "name"), ["set_id", "idx"]))
     members = computed_once(grouping.picks(grouping.with_report(members, report)).join(grouping.fit_to_group(kept, members), ["set_id", "idx"]))
-    links = computed_once(grouping.group_links(kept, members))
-    inside, between = grouping.weakest_inside(links), grouping.group_pairs(links)
+    inside = computed_once(grouping.weakest_pairs(kept, members))
+    between, closest = grouping.between_groups(kept, members)
     name = lambda i, as_: members.select("set_id", F.col("idx").alias(i), F.col("name").alias(as_))
     weakest = grouping.weakest_groups(inside).join(name("i", "first_name"), ["set_id", "i"]).join(name("j", "second_name"), ["set_id", "j"])
-    lines = reports.summary_lines(grouping.totals(members), cut, grouping.change_points(counts), grouping.separation(inside, between), grouping.group_sizes(members), grouping.closest_groups(between), members, grouping.broken_runs(members), weakest, grouping.loneliest(grouping.best_other(kept), members), weak, skipped)
+    lines = reports.summary_lines(grouping.totals(members), cut, grouping.change_points(counts), grouping.separation(inside, between), grouping.group_sizes(members), closest, members, grouping.broken_runs(members), weakest, grouping.loneliest(grouping.best_other(kept), members), weak, skipped)
     return SetAnalysis(members, grouping.grouped_result(members, cut, counts), lines)

@@ -271,3 +271,49 @@ def test_the_sweep_of_a_set_of_thousands_needs_no_rounds(spark, monkeypatch):
     heights = np.minimum.accumulate([h for *_, h in gr.merge_history(np.clip(v @ v.T, -1, 1))])
     got = {r.cut: r.students for r in gr.sweep(gr.histories(kept), kept).collect()}
     assert got == {cut: 2100 - int((heights >= raw).sum()) for raw, cut in gr.cuts()}
+
+
+def test_closest_groups_and_their_median_without_pairs_of_groups(spark):
+    """Sets with an odd, an even and no number of pairs of groups; one of equal means."""
+    rng = np.random.default_rng(4)
+    sizes = {"odd": 30, "even": 33, "one": 4, "two": 2, "same": 12}
+    rows, own = [], []
+    for s, n in sizes.items():
+        v = np.ones((n, 3)) if s == "same" else rng.normal(size=(n, 3))
+        for k, u in enumerate(v):
+            rows.append((s, k, (u / np.linalg.norm(u)).tolist()))
+            own.append((s, k, {"odd": k // 2, "even": k // 3, "one": 0}.get(s, k) + 1))
+    kept = spark.createDataFrame(rows, "set_id string, idx long, vec array<double>")
+    members = spark.createDataFrame(own, "set_id string, idx long, group_no int")
+    links = gr.group_links(kept, members).cache()
+    want = {r.set_id: r for r in gr.separation(gr.weakest_inside(links), gr.group_pairs(links)).collect()}
+    near = sorted((r.set_id, r.place, r.a, r.b) for r in gr.closest_groups(gr.group_pairs(links).filter("set_id <> 'same'")).collect())
+    weak = sorted((r.set_id, r.group_no, r.i, r.j) for r in gr.weakest_inside(links).collect())
+    for block, bins in ((4, 8), (1024, 8192)):
+        assert sorted((r.set_id, r.group_no, r.i, r.j) for r in gr.weakest_pairs(kept, members, block).collect()) == weak
+        between, closest = gr.between_groups(kept, members, block=block, bins=bins)
+        got = {r.set_id: r for r in gr.separation(gr.weakest_pairs(kept, members, block), between).collect()}
+        assert got.keys() == want.keys() and got["one"].n_pairs == 0 and got["two"].n_pairs == 1
+        for s, r in want.items():
+            assert (got[s].n_pairs, got[s].verdict) == (r.n_pairs, r.verdict)
+            assert all(got[s][c] == pytest.approx(r[c], abs=1e-12) for c in ("weakest", "weakest_median", "closest", "closest_median", "gap"))
+        assert sorted((r.set_id, r.place, r.a, r.b) for r in closest.collect() if r.set_id != "same") == near
+
+
+def test_a_pass_makes_no_row_for_a_pair_of_groups(spark, monkeypatch):
+    """Sets of strangers: each photo is a group, so there are as many pairs of groups as of photos."""
+    monkeypatch.setattr(gr, "group_links", None)
+    monkeypatch.setattr(gr, "group_pairs", None)
+    v = np.eye(40)
+    prints = spark.createDataFrame([("s", k, f"n{k:02d}.jpg", u.tolist(), 0.9) for k, u in enumerate(v)], PRINTS)
+    report = spark.createDataFrame([], "set_id string, output string, source string, grade string, reasons array<string>, eye_sharpness double, head_size double")
+    lines = [r.line for r in passes.analyze_sets(prints, report).lines.filter("section = 2").collect()]
+    assert any("(median 0.000 over 780 pairs)" in t for t in lines)
+
+
+def test_broken_runs_of_photos_with_gaps_between(spark):
+    """A gap without photos is no break; only the first broken groups meet the photos of their set."""
+    rows = [("s", k, f"n{k:02d}", g) for k, g in ((0, 1), (5, 1), (6, 2), (7, 3), (9, 2), (12, 3), (13, 4))]
+    members = spark.createDataFrame(rows, "set_id string, idx long, name string, group_no long")
+    assert [(r.group_no, r.first_name, r.last_name, r.skipping) for r in gr.broken_runs(members, most=1).collect()] == [(2, "n06", "n09", "n07")]
+    assert {r.group_no: r.skipping for r in gr.broken_runs(members).collect()} == {2: "n07", 3: "n09"}

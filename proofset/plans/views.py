@@ -13,7 +13,7 @@ from proofset.operators import grouping, inventory, sets
 from proofset.plans import passes, tables
 from proofset.plans.oracle import _CHECKS, _FINAL, _FLAG, _GRADE, _JUDGED, _SETS, _VECS
 from proofset.plans.queries import _members, graded, incremental_inputs, pixels
-from proofset.session import shared_dir
+from proofset.session import remove, scratch, shared_dir, stored_once
 from proofset.sources import report as reports
 
 QUERIES: dict = {}
@@ -328,11 +328,17 @@ def second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _measures(spark, sf_dir).withColumns({"source": F.concat(F.lit("P"), F.col("source"), F.lit(".jpg")), "out_mtime_ns": F.col("photo_id") * 7, "set_id": F.col("set_id").cast("string")})
     files = files.withColumn("set_id", F.col("set_id").cast("string"))
     none = reports.flat(spark.createDataFrame([], "set_id string, " + ", ".join(f"{c} {t}" for c, t in reports.PHOTO_TYPES.items()))).withColumn("now_mtime_ns", F.lit(None).cast("long"))
-    first = passes.run_sets(files, none, m, F.lit("key"))
     root = f"{shared_dir(spark)}/proofset/reports-{uuid.uuid4().hex}"
     settings = files.select("set_id", F.lit(None).cast(reports.SETTINGS).alias("settings")).distinct()
-    reports.write_reports(first.documents(settings), root, folders=False)
-    saved = reports.flat(reports.report_index(reports.stored_reports(spark, root, folders=False))).withColumn("now_mtime_ns", F.col("out_mtime_ns"))
+    with scratch(spark):
+        with scratch(spark):  # of the first pass only its reports stay
+            documents = stored_once(passes.run_sets(files, none, m, F.lit("key")).documents(settings), keep=True)
+        reports.write_reports(documents, root, folders=False)
+    with scratch(spark):
+        documents = stored_once(reports.stored_reports(spark, root, folders=False))
+        remove(spark, root)
+        saved = stored_once(reports.report_index(documents), keep=True)
+    saved = reports.flat(saved).withColumn("now_mtime_ns", F.col("out_mtime_ns"))
     run = passes.run_sets(files, saved, m, F.lit("key"))
     return run.summary.select(F.col("set_id").cast("long").alias("set_id"), "processed", "unchanged", "n_flagged", "n_pass", "n_review", "n_fail", "n_skipped")
 

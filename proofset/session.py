@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,9 +53,56 @@ def computed_once(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored_once(df: DataFrame) -> DataFrame:
-    """df, computed now and once, as compressed Parquet in the folder of shared_dir(), where it stays. Much smaller than
-    a checkpoint, and what Spark inferred of the values on the way does not pile up in loops."""
-    path = f"{shared_dir(df.sparkSession)}/proofset/rows-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK = threading.Lock()
+_CLEANING: dict[int, list] = {}  # session: [writes under way, the setting before them]
+_SCRATCH: ContextVar[tuple] = ContextVar("rows", default=())  # paths, by scratch()
+
+
+@contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """While any write of this session is under way, Spark removes shuffle files as soon as their query ends."""
+    with _LOCK:
+        own = _CLEANING.setdefault(id(spark), [0, None])
+        if own[0] == 0:
+            own[1] = spark.conf.get(CLEANUP)
+            spark.conf.set(CLEANUP, "true")
+        own[0] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            own[0] -= 1
+            if own[0] == 0:
+                spark.conf.set(CLEANUP, own[1])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What stored_once() stores inside is deleted at the end: nothing may be read from it later."""
+    held: list[str] = []
+    mark = _SCRATCH.set((*_SCRATCH.get(), held))
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(mark)
+        for path in held:
+            remove(spark, path)
+
+
+def stored_once(df: DataFrame, keep: bool = False) -> DataFrame:
+    """df, computed now and once, as compressed Parquet in the folder of shared_dir(), where it stays until the
+    surrounding scratch() ends (with keep: the one around that), or where there is none until the cluster clears the folder. Much
+    smaller than a checkpoint, and what Spark inferred of the values on the way does not pile up in loops."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/proofset/rows-{uuid.uuid4().hex}"
+    if held := _SCRATCH.get()[:-1] if keep else _SCRATCH.get():
+        held[-1].append(path)
+    with cleaning(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

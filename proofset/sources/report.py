@@ -93,8 +93,9 @@ def nested(photos: DataFrame) -> DataFrame:
 
 
 def write_reports(documents: DataFrame, root: str, sets: DataFrame | None = None, folders: bool = True) -> int:
-    """Documents of some sets, as their newest generation; all other sets keep theirs. folders: one for each set."""
-    return store.save(documents, root, "json", sets, folders=folders)
+    """Documents of some sets, as their newest generation; all other sets keep theirs. folders: one for each set;
+    without them files are packed by gzip."""
+    return store.save(documents, root, "json", sets, folders=folders, **({} if folders else {"deal": False, "compression": "gzip"}))
 
 
 def stored_reports(spark: SparkSession, root: str, folders: bool = True) -> DataFrame:

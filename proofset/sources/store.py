@@ -6,7 +6,8 @@ rows are there. Readers take each set from the last committed generation that co
 and has no rows any more is empty, and a generation without a commit was never there. Two passes at once get numbers
 of their own; of a set that both cover, the higher number counts.
 
-Layout: rows/generation=N/set_id=S/..., sets/generation=N/..., claims/N, commits/N. A null or empty set_id is read back
+Layout: rows/generation=N/set_id=S/..., sets/generation=N/..., claims/N, commits/N, and own/N if a generation covers the
+sets of its rows and no others, so that while it is the last, its rows need not be looked up. A null or empty set_id is read back
 as null. Without folders for sets, which suits a great many small ones, set_id is a column of the rows."""
 
 from __future__ import annotations
@@ -48,9 +49,9 @@ def generations(spark: SparkSession, root: str) -> list[int]:
     return marked(spark, f"{root}/commits")
 
 
-def save(rows: DataFrame, root: str, fmt: str, sets: DataFrame | None = None, order: tuple[str, ...] = (), folders: bool = True, **options) -> int:
+def save(rows: DataFrame, root: str, fmt: str, sets: DataFrame | None = None, order: tuple[str, ...] = (), folders: bool = True, deal: bool = True, **options) -> int:
     """Rows (with set_id) as the newest generation of the sets that they, or `sets` (set_id), name. order: within a
-    set's file. Returns the generation."""
+    set's file. Without deal, which is for sets of one row each, rows stay where they are. Returns the generation."""
     spark = rows.sparkSession
     number = max([0, *marked(spark, f"{root}/claims")]) + 1
     while not mark(spark, f"{root}/claims/{number}"):
@@ -58,9 +59,12 @@ def save(rows: DataFrame, root: str, fmt: str, sets: DataFrame | None = None, or
     named = (rows if sets is None else sets).select(F.col("set_id").cast("string")).distinct()
     named.write.parquet(f"{root}/sets/generation={number}")
     # a set_id that cannot be null keeps the order of rows: Spark would sort anew to make empty ones null
-    dealt = rows.withColumn("set_id", F.coalesce(F.col("set_id").cast("string"), F.lit(NULL_SET))).repartition("set_id")
-    dealt = dealt.sortWithinPartitions("set_id", *order).drop(*[c for c in order if c.startswith("_")])
+    dealt = rows.withColumn("set_id", F.coalesce(F.col("set_id").cast("string"), F.lit(NULL_SET)))
+    dealt = dealt.repartition("set_id").sortWithinPartitions("set_id", *order) if deal else dealt
+    dealt = dealt.drop(*[c for c in order if c.startswith("_")])
     (dealt.write.partitionBy("set_id") if folders else dealt.write).format(fmt).options(**options).save(f"{root}/rows/generation={number}")
+    if sets is None:
+        mark(spark, f"{root}/own/{number}")
     if not mark(spark, f"{root}/commits/{number}"):
         raise RuntimeError(f"generation {number} was committed by someone else")
     return number
@@ -86,7 +90,11 @@ def load(spark: SparkSession, root: str, fmt: str, schema: str, folders: bool =
     rows = spark.read.format(fmt).schema(whole).options(**options).option("basePath", f"{root}/rows").load([f"{root}/rows/generation={n}" for n in kept])
     rows = rows if folders else rows.withColumn("set_id", F.nullif(F.nullif("set_id", F.lit(NULL_SET)), F.lit("")))
     met = (F.col("generation") == F.col("_g")) & F.col("set_id").eqNullSafe(F.col("_s"))
-    return rows.join(latest, met).select("set_id", *names)
+    last = generations(spark, root)[-1]
+    if last not in marked(spark, f"{root}/own"):
+        return rows.join(latest, met).select("set_id", *names)
+    found = rows.filter(F.col("generation") == last).select("set_id", *names)
+    return found if kept == [last] else found.unionByName(rows.filter(F.col("generation") < last).join(latest, met).select("set_id", *names))
 
 
 def vacuum(spark: SparkSession, root: str) -> list[int]:
@@ -95,7 +103,7 @@ def vacuum(spark: SparkSession, root: str) -> list[int]:
     live = {r.generation for r in covered(spark, root).select("generation").distinct().collect()}  # one row a generation
     gone = [n for n in generations(spark, root) if n not in live]
     for n in gone:
-        for part in (f"commits/{n}", f"rows/generation={n}", f"sets/generation={n}"):
+        for part in (f"commits/{n}", f"rows/generation={n}", f"sets/generation={n}", f"own/{n}"):
             fs, at = _files(spark, f"{root}/{part}")
             fs.delete(at, True)
     return gone

@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from proofset import session
 from proofset.functions import paths
 from proofset.plans import passes
 from proofset.sources import report as rp
@@ -185,3 +186,34 @@ def test_long_numbers_and_dots_in_paths(spark):
     assert [int(v) for v in col([f"IMG_{n}.jpg" for n in long], paths.shot_number)] == [int("1" * 20), int("2" * 38), int("9" * 38), 7, 0]
     given = ["/a/./b", "./a", "a/./", "//a//b", "///a", "/", "//", ".", "./.", "a/../b", ""]
     assert col(given, paths.normal_path) == ["/a/b", "a", "a", "//a/b", "/a", "/", "//", ".", ".", "a/../b", "."]
+
+
+def test_a_last_generation_of_its_own_sets_is_read_without_a_lookup(spark, tmp_path):
+    root = str(tmp_path / "r")
+    rows = lambda *pairs: spark.createDataFrame(pairs, "set_id string, a long")
+    read = lambda: store.load(spark, root, "parquet", "a long", folders=False)
+    plan = lambda: read()._jdf.queryExecution().optimizedPlan().toString()
+    store.save(rows(("s", 1), ("t", 2), (None, 3)), root, "parquet", folders=False)
+    assert "Join" not in plan() and sorted(map(tuple, read().collect()), key=str) == [("s", 1), ("t", 2), (None, 3)]
+    store.save(rows(("t", 20), (None, 30)), root, "parquet", folders=False)
+    assert sorted(map(tuple, read().collect()), key=str) == [("s", 1), ("t", 20), (None, 30)]
+    store.save(rows(("u", 9), ("s", 5)), root, "parquet", spark.createDataFrame([("u",)], "set_id string"), folders=False)  # s was not covered
+    assert "Join" in plan() and sorted(map(tuple, read().collect()), key=str) == [("s", 1), ("t", 20), ("u", 9), (None, 30)]
+
+
+def test_reports_without_folders_are_packed_and_passes_leave_little(spark, tmp_path):
+    kept = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    seen = lambda: {os.path.join(d, n) for d, _, names in os.walk(kept) for n in names}
+    before = seen()
+    rows = photos("a", "b")
+    with session.scratch(spark):
+        with session.scratch(spark):
+            first = run(spark, rows, nothing(spark), measured(spark, rows))
+            documents = session.stored_once(first.documents(settings(spark, "a", "b")), keep=True)
+            assert len(seen()) > len(before)
+        assert documents.count() == 2
+        rp.write_reports(documents, str(tmp_path / "flat"), folders=False)
+    assert seen() == before
+    files = [n for _, _, names in os.walk(tmp_path / "flat" / "rows") for n in names if n.startswith("part-")]
+    assert files and all(n.endswith(".json.gz") for n in files)
+    assert rp.report_index(rp.stored_reports(spark, str(tmp_path / "flat"), folders=False)).count() == 12
